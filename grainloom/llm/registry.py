@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sharding
+from . import bpe, langid, secrets, sharding, toxicity
 from .common import count_kind, span_digest, table
 
 
@@ -24,8 +24,33 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def vocabulary_path() -> str:
+    """The production vocabulary: its place is found at run time and it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_texts(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 QUERIES: dict = {
     "op2_sharding": op2_sharding,
     "op4_secrets": op4_secrets,
+    "op5_language": op5_language,
+    "op7_toxicity": op7_toxicity,
+    "op10_bpe": op10_bpe,
 }
 ORACLES: dict = {}
