@@ -1,20 +1,23 @@
 """Toxicity as severity grades, by cumulative-link ordinal regression on sparse text features.
 
 P(grade > k | x) = sigmoid(w.x - b_k), with one weight vector w for all
-thresholds b_1 < b_2. Features are the presence of each word, hashed.
-Grades come from labels: 0 for a clean text, and for toxic texts 1 or 2,
-as the share of words that tell toxic from clean texts in the labelled
-sample is below the toxic median or not. The expected severity of a text
-is the sum of P(grade > k); texts from REJECT on are rejected.
+thresholds b_1 < b_2. Units are words and word beginnings of 3 to 7
+letters; each unit gives two features, its presence and its rate among
+the text's words. Grades come from labels: 0 for a clean text, and for
+toxic texts 1 or 2, as the rate of words with telling units is below the
+toxic median or not. The expected severity of a text is the sum of
+P(grade > k); texts from REJECT on are rejected.
 
 Defined cases: a null or empty text has no features and severity 0 (it
-carries no words to be toxic); without labelled texts of both kinds every
-severity is 0; texts are used whole; labels of repeated documents count
-once per row; extra columns are ignored and pass through nothing.
+carries no words to be toxic); without labelled texts of both kinds, or
+without telling units, every severity is 0; texts are used whole; a group
+of near copies teaches once; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import zlib
 from collections import Counter
@@ -26,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 18
 #: Labelled texts of a kind (toxic, clean) are sampled evenly by key down to about this many (documented bound of the fit).
 TRAIN_ROWS = 4000
 #: Expected severity (0 to 2) from which a text is rejected.
 REJECT = 0.5
-#: Words must occur in so many toxic or clean training texts to be features.
+#: Words must occur in so many toxic training texts, and so many standard errors more often than in clean ones, to be features.
 MIN_TEXTS = 5
+MIN_Z = 6.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,101 +44,131 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-_SLOTS: dict[str, int] = {}
+def units(word: str) -> list[str]:
+    """A word and its beginnings, those marked."""
+    return [word, *(f"^{word[:n]}" for n in range(3, min(7, len(word)) + 1))]
 
 
-def slot(word: str) -> int:
-    """The feature of a word; what a worker has seen is remembered within bounds."""
-    if (k := _SLOTS.get(word)) is None:
-        if len(_SLOTS) > 400_000:
-            _SLOTS.clear()
-        k = _SLOTS[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-    return k
+def rate(n: float, of: int) -> float:
+    return math.log2(1 + 100 * n / of)
 
 
-def features(text: str | None) -> list[int]:
-    return sorted({slot(w) for w in set(words(text))})
+def sketch(text: str, size: int = 4) -> list[int]:
+    """The smallest hashes of a text's five-word shingles: near copies share most of them."""
+    w = words(text)
+    return heapq.nsmallest(size, {zlib.crc32(" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 4))})
+
+
+def distinct(texts: list[str]) -> list[int]:
+    """Positions of texts that are no near copy of an earlier one, so that a group of copies teaches its words once."""
+    seen: set[int] = set()
+    out = []
+    for i, t in enumerate(texts):
+        if seen.isdisjoint(s := sketch(t)):
+            out.append(i)
+        seen.update(s)
+    return out
 
 
 @dataclass
 class Severity:
-    """Weights by feature, and the ordered thresholds."""
+    """Telling units with the weights of their presence and rate, and the ordered thresholds."""
 
-    weights: np.ndarray
+    telling: dict[str, tuple[float, float]]
     thresholds: np.ndarray
 
-    def expected(self, text: str | None) -> float:
-        if not len(self.thresholds) or not (x := features(text)):
-            return 0.0
-        s = float(self.weights[x].sum(dtype=np.float64))
-        return float((1 / (1 + np.exp(-np.clip(s - self.thresholds, -500, 500)))).sum())
+    def scorer(self):
+        """A function from texts to expected severities; it remembers the telling units of words, within bounds."""
+        known: dict[str, tuple] = {}
+
+        def expected(text: str | None) -> float:
+            if not len(self.thresholds) or not (w := words(text)):
+                return 0.0
+            found: Counter = Counter()
+            for word, n in Counter(w).items():
+                if (u := known.get(word)) is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    u = known[word] = tuple(x for x in units(word) if x in self.telling)
+                for x in u:
+                    found[x] += n
+            s = sum(self.telling[u][0] + self.telling[u][1] * rate(n, len(w)) for u, n in sorted(found.items()))
+            return float((1 / (1 + np.exp(-np.clip(s - self.thresholds, -500, 500)))).sum())
+
+        return expected
+
+
+def select(bags: list[Counter], y: np.ndarray) -> list[str]:
+    """Units that toxic texts hold more often, by far more than chance over so many units tried."""
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    in1, in0 = Counter(), Counter()
+    for x, t in zip(bags, y, strict=True):
+        (in1 if t else in0).update(x.keys())
+    kept = []
+    for u, k in in1.items():
+        p1, p0 = k / n1, in0[u] / n0
+        p = (k + in0[u]) / (n1 + n0)
+        if k >= MIN_TEXTS and p1 >= 3 * p0 and (p1 - p0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0)) >= MIN_Z:
+            kept.append(u)
+    return sorted(kept)
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> Severity:
+def fit(texts: list[str], toxic: list[int], steps: int = 400, speed: float = 0.1, ridge: float = 2e-4) -> Severity:
     """Fits the regression to labelled texts by full gradient steps (Adam)."""
-    y = np.asarray(toxic)
-    none = Severity(np.zeros(BUCKETS, np.float32), np.zeros(0))
+    once = distinct(texts)
+    split, y = [words(texts[i]) for i in once], np.asarray([toxic[i] for i in once])
+    none = Severity({}, np.zeros(0))
     if not len(y) or y.min() == y.max():
         return none
-    bags = [features(t) for t in texts]
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    in1, in0 = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for x, t in zip(bags, y, strict=True):
-        (in1 if t else in0)[x] += 1
-    # Kept features: words whose share differs between toxic and clean texts by more than chance.
-    p1, p0, p = in1 / n1, in0 / n0, (in1 + in0) / (n1 + n0)
-    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero((np.abs(z) >= 4) & (in1 + in0 >= min(MIN_TEXTS, max(1, len(y) // 4))))
-    if not len(kept):
+    bags = []
+    for w in split:
+        bag: Counter = Counter()
+        for word, n in Counter(w).items():
+            for u in units(word):
+                bag[u] += n
+        bags.append(bag)
+    kept = select(bags, y)
+    if not kept:
         return none
-    telling = set(np.flatnonzero((z >= 4) & (p1 >= 10 * p0)).tolist())
-    share = np.zeros(len(y))
-    for i, t in enumerate(texts):
-        if y[i]:
-            found = Counter(slot(w) for w in words(t))
-            share[i] = sum(n for k, n in found.items() if k in telling) / max(1, sum(found.values()))
+    index = {u: i for i, u in enumerate(kept)}
+    share = np.array([sum(n for word, n in Counter(w).items() if any(u in index for u in units(word))) / max(1, len(w)) for w in split])
     grade = np.where(y == 0, 0, np.where(share >= np.median(share[y == 1]), 2, 1))
     if (grade == 1).sum() == 0 or (grade == 2).sum() == 0:
         grade = np.where(y == 0, 0, 1)
     levels = int(grade.max())
 
-    index = np.full(BUCKETS, -1)
-    index[kept] = np.arange(len(kept))
-    rows, cols = [], []
-    for i, x in enumerate(bags):
-        c = index[x]
-        c = c[c >= 0]
-        rows.append(np.full(len(c), i))
-        cols.append(c)
-    rows, cols = np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64)
+    entries = [(i, index[u], n) for i, bag in enumerate(bags) for u, n in bag.items() if u in index]
+    rows = np.array([e[0] for e in entries] * 2, np.int64)
+    cols = np.array([e[1] for e in entries] + [e[1] + len(kept) for e in entries], np.int64)
+    vals = np.array([1.0] * len(entries) + [rate(n, len(split[i])) for i, _, n in entries])
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)  # both kinds count alike
-    w = np.zeros(len(kept))
+    w = np.zeros(2 * len(kept))
     b = np.concatenate([[0.0], np.full(levels - 1, 0.5)])  # first threshold, then log steps upwards
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
+    at = np.arange(len(y))
     for t in range(1, steps + 1):
         cut = b[0] + np.concatenate([[0.0], np.cumsum(np.exp(b[1:]))])
-        s = np.bincount(rows, w[cols], len(y))
+        s = np.bincount(rows, w[cols] * vals, len(y))
         # P(grade = g) = F(g) - F(g + 1), with F(0) = 1 and F(levels + 1) = 0
         above = 1 / (1 + np.exp(-np.clip(s[:, None] - cut[None, :], -50, 50)))
-        full = np.concatenate([np.ones((len(y), 1)), above, np.zeros((len(y), 1))], axis=1)
-        slope = np.concatenate([np.zeros((len(y), 1)), above * (1 - above), np.zeros((len(y), 1))], axis=1)
-        at = np.arange(len(y))
+        edge = np.zeros((len(y), 1))
+        full = np.concatenate([edge + 1, above, edge], axis=1)
+        slope = np.concatenate([edge, above * (1 - above), edge], axis=1)
         prob = np.maximum(full[at, grade] - full[at, grade + 1], 1e-9)
         g_s = -weight * (slope[at, grade] - slope[at, grade + 1]) / prob
-        g_cut = np.zeros(levels)
-        for k in range(1, levels + 1):
-            g_cut[k - 1] = np.sum(weight / prob * slope[:, k] * ((grade == k).astype(float) - (grade == k - 1).astype(float)))
-        g_w = np.bincount(cols, g_s[rows], len(w)) + ridge * w
+        g_cut = np.array([np.sum(weight / prob * slope[:, k] * ((grade == k).astype(float) - (grade == k - 1).astype(float))) for k in range(1, levels + 1)])
+        g_w = np.bincount(cols, g_s[rows] * vals, len(w)) + ridge * w
         g_b = np.concatenate([[g_cut.sum()], [np.exp(b[k]) * g_cut[k:].sum() for k in range(1, levels)]])
         for v, g, m, q in ((w, g_w, *state[:2]), (b, g_b, *state[2:])):
             m *= 0.9
             m += 0.1 * g
             q *= 0.999
             q += 0.001 * g * g
-            v -= rate * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
-    out = np.zeros(BUCKETS, np.float32)
-    out[kept] = w
-    return Severity(out, b[0] + np.concatenate([[0.0], np.cumsum(np.exp(b[1:]))]))
+            v -= speed * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
+        w[:] = np.maximum(w, 0)  # a telling unit never speaks for a text
+    cut = b[0] + np.concatenate([[0.0], np.cumsum(np.exp(b[1:]))])
+    return Severity({u: (float(w[i]), float(w[i + len(kept)])) for u, i in index.items()}, cut)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Severity:
@@ -155,12 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def grade(df: DataFrame, model: Severity, key: str = "doc_id", text: str = "text", reject: float = REJECT) -> DataFrame:
     """key, severity (0 to 2), grade (nearest) and toxic (rejected) of each row of df."""
     kind = df.schema[key].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Severity(*shared.value)
+        expected = model.scorer()
         for b in batches:
-            s = np.array([m.expected(t) for t in b.column(1).to_pylist()], np.float64)
+            s = np.array([expected(t) for t in b.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.round(s, 6)), pa.array(np.rint(s).astype(np.int32)), pa.array(s >= reject)], [key, "severity", "grade", "toxic"]
             )
