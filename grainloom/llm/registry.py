@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, langid, secrets, sharding, toxicity
+from . import bpe, chatfmt, langid, pii, secrets, sharding, toxicity
 from .common import count_kind, span_digest, table
 
 
@@ -13,6 +13,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "iban")
+    return found.select(
+        "doc_id",
+        *(count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")),
+        F.sha2(span_digest(base), 256).alias("base_sha256"),
+        span_digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "literal")
@@ -55,10 +66,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op2_sharding": op2_sharding,
+    "op3_pii": op3_pii,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict = {}
+#: Conversations in SQL: constants of the template cost 3 characters a conversation and 20 a turn, and each escaped character one more.
+_ESCAPED_LENGTH = r"length({0}) + length(regexp_replace({0}, '[^<\[\\]', '', 'g'))"
+ORACLES: dict = {
+    "op6_chat": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               (3 + sum(20 + {_ESCAPED_LENGTH.format("role")} + {_ESCAPED_LENGTH.format("text")}))::BIGINT AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+}
