@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, decontam, jaccard, langid, pii, secrets, sharding, toxicity
+from . import bpe, chatfmt, decontam, jaccard, langid, neardup, pii, secrets, sharding, toxicity
 from .common import count_kind, span_digest, table
 
 
@@ -57,6 +57,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict = {
     "op5_language": op5_language,
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
+    "op8_embeddings": op8_embeddings,
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
 }
