@@ -114,7 +114,7 @@ def search(postings: DataFrame, key: str, plan: DataFrame, reach: int, slack: in
 
 
 def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", size: int = WINDOW, slack: int = SLACK) -> DataFrame:
-    """key, n_words, n_hit, n_items, items_sha256, contaminated and n_near (items with exact or proximity matches) of each row of docs."""
+    """key, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with exact or proximity matches) and text_hash (xxhash64 of the text) of each row of docs."""
     reach = size - 1 + slack
     found = stored(windows(tests, item, "text", size).withColumn("id", F.monotonically_increasing_id()), "windows")
     vocabulary = found.select(F.explode("window").alias("word")).distinct()
@@ -136,5 +136,5 @@ def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text:
     ids = F.coalesce("ids", F.expr("cast(array() as array<string>)"))
     return out.select(
         key, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), texts["h"].alias("text_hash"),
     )

@@ -198,3 +198,15 @@ def grade(df: DataFrame, model: Severity, key: str = "doc_id", text: str = "text
             )
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, severity double, grade int, toxic boolean")
+
+
+def clean(df: DataFrame, model: Severity, text: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows of df, with all their columns, whose text is not rejected."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expected = model.scorer()
+        for b in batches:
+            yield b.filter(pa.array([expected(t) < reject for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
