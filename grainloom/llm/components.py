@@ -1,10 +1,11 @@
 """Connected components of links, distributed.
 
-Each round first reduces the links of a partition to a forest (a union-find
-over that partition alone, at most as many links as vertices, so groups of
-copies collapse early), then hooks every vertex to the smallest vertex
-it sees and follows labels one step. Rounds go on until no label changes.
-Nothing is gathered on the driver but one number a round.
+Links are reduced to forests by tasks that hold about TASK of them each (a
+union-find, at most as many links as vertices are left, so groups of
+copies collapse early). If more than one task was needed, rounds follow
+that hook every vertex to the smallest vertex it sees and reduce again,
+until all links are stars around the smallest vertex. The number of tasks
+grows with the links; nothing is gathered on the driver but counts.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored
 
-#: Links that one union-find holds.
-CHUNK = 2_000_000
+#: Links that one task reduces, and that one union-find holds.
+TASK, CHUNK = 1_000_000, 2_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +63,34 @@ def _reduce(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _fewer(links: DataFrame) -> tuple[DataFrame, int]:
+    """links (a stored table) in as many partitions as its number asks for, without a shuffle."""
+    n = max(1, -(-links.count() // TASK))
+    return links.coalesce(n), n
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """id and component (smallest id reachable) of each vertex of the undirected links (a, b: bigint, not null)."""
-    edges = stored(_reduce(links.where(F.col("a") != F.col("b"))), "links")
+    raw = stored(_reduce(links.where(F.col("a") != F.col("b"))), "links")
+    edges, tasks = _fewer(raw)
+    edges = stored(_reduce(edges), "links")
+    discard(raw)
     for _ in range(rounds):
+        if tasks == 1:  # one union-find has seen all links
+            break
         # Each vertex hooks to the smallest vertex it sees; links between neighbours move to their least ones.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         moved = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         hooks = least.where(F.col("a") != F.col("m")).select("a", F.col("m").alias("b"))
-        new = stored(_reduce(moved.unionByName(hooks).where(F.col("a") != F.col("b")).distinct()), "links")
+        new = stored(moved.unionByName(hooks).where(F.col("a") != F.col("b")).distinct(), "links")
+        discard(edges)
+        few, tasks = _fewer(new)
+        edges = stored(_reduce(few), "links")
+        discard(new)
         # Stars only: nobody is both a member and a centre, and no member has two centres.
-        sides = new.select(F.col("a").alias("v"), F.lit(1).alias("as_a"), F.lit(0).alias("as_b")).unionByName(new.select(F.col("b").alias("v"), F.lit(0).alias("as_a"), F.lit(1).alias("as_b")))
+        sides = edges.select(F.col("a").alias("v"), F.lit(1).alias("as_a"), F.lit(0).alias("as_b")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("as_a"), F.lit(1).alias("as_b")))
         bad = sides.groupBy("v").agg(F.sum("as_a").alias("n"), F.max("as_b").alias("c")).where((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("c") == 1)))
-        discard(edges)
-        edges = new
         if bad.isEmpty():
             break
     else:

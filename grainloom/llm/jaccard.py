@@ -10,8 +10,8 @@ exact and goes in steps:
    T - ceil(0.8 t) + 1 shingles of their prefixes, where a prefix is the
    first s - ceil(0.8 s) + 1 shingles and T the overlap that they need.
    The inverted index holds prefixes only.
-3. Every list proposes links to its least document; T-occurrence search
-   verifies them, and components of verified links collapse the groups of
+3. Every list proposes links to its least and to its most central document;
+   T-occurrence search verifies them, and components of verified links collapse the groups of
    near copies, whose pairs would grow with the square of the group.
 4. Lists that still hold several components propose all their pairs
    between components; pairs that share enough prefix shingles are
@@ -295,6 +295,48 @@ def stars(found: DataFrame) -> DataFrame:
     return found.select("least", "least_size", "ids", "sizes").mapInArrow(run, _PAIRS)
 
 
+def central_stars(postings: DataFrame) -> DataFrame:
+    """Pairs of each list's most central document with its others; postings (token, id, n, score), sorted by token in each partition.
+
+    Of a group of near copies the one that the others were made from stands in the longest lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        n = 0
+        for token, doc, size, score in _whole_lists(batches):
+            order = np.lexsort((doc, -score, token))
+            token, doc, size = token[order], doc[order], size[order].astype(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            lens = np.diff(np.concatenate([begin, [len(token)]]))
+            top, top_n = np.repeat(doc[begin], lens), np.repeat(size[begin], lens)
+            fit = (top != doc) & (np.minimum(size, top_n) * 100 >= PERCENT * np.maximum(size, top_n))
+            for h, x in zip(held, (top[fit], doc[fit], top_n[fit], size[fit]), strict=True):
+                h.append(x)
+            n += int(fit.sum())
+            if n > 1_000_000:
+                yield _pair_batch(*held)
+                held, n = [[], [], [], []], 0
+        if n:
+            yield _pair_batch(*held)
+
+    return postings.select("token", "id", "n", "score").mapInArrow(run, _PAIRS)
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of rows sorted by their first one, in runs that do not cut a value of it."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        rest = cols if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+        stop = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+        if stop:
+            yield tuple(r[:stop] for r in rest)
+            rest = [r[stop:] for r in rest]
+    if rest is not None and len(rest[0]):
+        yield tuple(rest)
+
+
 def across(postings: DataFrame) -> DataFrame:
     """All pairs of different components within the lists of postings (token, id, n, comp), sorted by token in each partition."""
 
@@ -318,20 +360,8 @@ def across(postings: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
-        rest = [np.zeros(0, np.int64)] * 4
         n = 0
-        for batch in _with_end(batches):
-            if batch is not None:
-                rest = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
-                if not len(rest[0]):
-                    continue
-                stop = int(np.searchsorted(rest[0], rest[0][-1]))  # the last token may go on
-            else:
-                stop = len(rest[0])
-            token, doc, size, comp = (r[:stop] for r in rest)
-            rest = [r[stop:] for r in rest]
-            if not len(token):
-                continue
+        for token, doc, size, comp in _whole_lists(batches):
             begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             end = np.concatenate([begin[1:], [len(token)]])
             for k in np.flatnonzero(np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)):
@@ -346,11 +376,6 @@ def across(postings: DataFrame) -> DataFrame:
     return postings.select("token", "id", "n", "comp").mapInArrow(run, _PAIRS)
 
 
-def _with_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
-
-
 def t_occurrence(query: np.ndarray, members: list[np.ndarray]) -> list[int]:
     """Positions of the members that link with query, by DivideSkip over the members' inverted lists."""
     s = len(query)
@@ -389,58 +414,68 @@ def _reaches(m: int, count: int, long: list[list[int]], need: int) -> bool:
     return count >= need
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link; sets: id and packed set of every document in them."""
-    crowd = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("salts"))
-    queries = crowd.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "packed")
-    members = pairs.join(crowd, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b").join(sets, F.col("b") == F.col("id")).select("a", "salt", "b", "packed")
-    grouped = queries.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, once: bool) -> DataFrame:
+    """The pairs (a, b; a stored table) that link; owners: id and the document that holds it; once: no document stands in docs twice.
+
+    Pairs are dealt by the component of candidates that they belong to, large ones in a grid of blocks,
+    so each block gets the sets of its documents once. Sets are computed anew from the texts.
+    """
+    group = components(pairs)
+    placed = pairs.join(group.withColumnRenamed("component", "g"), F.col("a") == F.col("id")).drop("id")
+    sides = placed.groupBy("g").agg(F.ceil(F.greatest(F.sqrt(F.count(F.lit(1)) / 20_000), F.least(F.count(F.lit(1)) + 1, F.countDistinct("a") + F.countDistinct("b")) / 8_000)).cast("int").alias("side"))
+    cut = lambda c: F.pmod(F.xxhash64(c), F.col("side")).cast("int")
+    placed = stored(placed.join(sides, "g").select("g", cut("a").alias("x"), cut("b").alias("y"), "a", "b"), "placed")
+    wanted = placed.select("g", "x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(owners, "id")
+    wanted = stored(wanted.select("g", "x", "y", "id", "doc"), "wanted")
+    few = wanted.count() <= BROADCAST_KEYS
+    keys = wanted.select("doc").distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owned, found in _blocks(batches):
+            full = [(k, s) for k, s in zip(owned, found, strict=True) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int64()), pa.array([digest(s)[0] for _, s in full], pa.int64()), pa.array([s.tobytes() for _, s in full], pa.binary())], ["doc", "id", "packed"])
+
+    packed = docs.join(F.broadcast(keys) if few else keys, "doc", "left_semi").mapInArrow(sets, "doc bigint, id bigint, packed binary")
+    packed = packed if once else packed.dropDuplicates(["doc", "id"])
+    # A key may have several texts: only the one with the class's digest counts.
+    members = packed.join(F.broadcast(wanted) if few else wanted, ["doc", "id"]).select("g", "x", "y", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
+    rows = members.unionByName(placed.withColumn("packed", F.lit(None).cast("binary")))
+    block = ["g", "x", "y"]
+    rows = rows.repartition(*block).sortWithinPartitions(*block, F.col("packed").isNull(), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, query, ids, held = None, None, [], []
+        now, known, query, others = None, {}, None, []
         links: list[tuple[int, int]] = []
 
         def search() -> None:
-            links.extend((a, ids[i]) for i in t_occurrence(query, held))
-            ids.clear()
-            held.clear()
+            if others:
+                links.extend((query, others[i]) for i in t_occurrence(known[query], [known[b] for b in others]))
+                others.clear()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+            links.clear()
+            return batch
 
         for batch in batches:
-            for x, b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                s = np.frombuffer(packed, np.uint64)
-                if b is None:
-                    search() if held else None
-                    a, query = x, s
+            for g, x, y, a, b, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, x, y) != now:
+                    search()
+                    now, known, query = (g, x, y), {}, None
+                if s is not None:
+                    known[a] = np.frombuffer(s, np.uint64)
                 else:
-                    ids.append(b)
-                    held.append(s)
-                    if len(held) >= BLOCK:
+                    if a != query or len(others) >= BLOCK:
                         search()
+                    query = a
+                    others.append(b)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
-                links.clear()
-        if held:
-            search()
+                yield out()
+        search()
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
-
-    return grouped.select("a", "b", "packed").mapInArrow(run, "a bigint, b bigint")
-
-
-def sets_of(pairs: DataFrame, owners: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and packed set of all documents in pairs, computed anew from their texts; owners: id, doc that holds it."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(owners, "id")
-    ids = stored(ids.select("id", "doc"), "ids")
-    wanted = ids.select("doc").distinct()
-    texts = docs.join(F.broadcast(wanted) if ids.count() <= BROADCAST_KEYS else wanted, "doc", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sets in _blocks(batches):
-            full = [(k, s) for k, s in zip(keys, sets, strict=True) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int64()), pa.array([digest(s)[0] for _, s in full], pa.int64()), pa.array([s.tobytes() for _, s in full], pa.binary())], ["doc", "id", "packed"])
+            yield out()
 
-    # A key may have several texts: only the one with the class's digest counts, once.
-    return texts.mapInArrow(run, "doc bigint, id bigint, packed binary").join(ids, ["doc", "id"]).select("id", "packed").dropDuplicates(["id"])
+    return rows.select(*block, "a", "b", "packed").mapInArrow(run, "a bigint, b bigint")
 
 
 def _enough(c: str):
@@ -463,16 +498,20 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-postings // PART))
     found = stored(lists(reps, parts), "lists")
 
-    # Near copies of the least document of their lists; sharing less only means that step 4 finds them.
-    first = stored(stars(found).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(F.col("c") * 3 >= F.ceil(F.least("na", "nb") * 0.09)).select("a", "b"), "stars")
-    near = stored(verified(first, stored(sets_of(first, owners, docs), "packed")), "links")
+    # Near copies of the least or the most central document of their lists; sharing less only means that step 4 finds them.
+    each = found.select("token", F.size("ids").alias("len"), F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select("token", "len", F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"))
+    score = each.groupBy("id").agg((F.sum("len") / F.max("n")).alias("score"))
+    central = central_stars(each.select("token", "id", "n").join(score, "id").repartition("token").sortWithinPartitions("token"))
+    proposed = stars(found).unionByName(central).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "na": F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")), "nb": F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))})
+    first = stored(proposed.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(F.col("c") * 3 >= F.ceil(F.least("na", "nb") * 0.09)).select("a", "b"), "stars")
+    once = reps.count() <= classes.count()
+    near = stored(verified(first, owners, docs, once), "links")
     collapsed = stored(components(near), "collapsed")
 
-    each = found.select("token", F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select("token", F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"))
-    each = each.join(collapsed, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
-    mixed = across(each.repartition("token").sortWithinPartitions("token")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    still = each.select("token", "id", "n").join(collapsed, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
+    mixed = across(still.repartition("token").sortWithinPartitions("token")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     second = stored(mixed.where(_enough("c")).select("a", "b"), "pairs")
-    more = stored(verified(second, stored(sets_of(second, owners, docs), "packed")), "links")
+    more = stored(verified(second, owners, docs, once), "links")
 
     by_doc = collapsed.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     by_doc = by_doc.join(owners.withColumnRenamed("doc", "x"), F.col("a") == F.col("id")).drop("id").join(owners.withColumnRenamed("doc", "y"), F.col("b") == F.col("id")).select(F.col("x").alias("a"), F.col("y").alias("b"))

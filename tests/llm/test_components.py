@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from grainloom.llm import components as module
 from grainloom.llm.components import components
 
 
@@ -21,7 +22,9 @@ def plain(links):
 
 
 @pytest.mark.parametrize("kind", ["random", "path", "star", "none"])
-def test_against_union_find(spark, kind):
+@pytest.mark.parametrize("task", [1_000_000, 60])
+def test_against_union_find(spark, kind, task, monkeypatch):
+    monkeypatch.setattr(module, "TASK", task)
     r = random.Random(1)
     links = {
         "random": [(r.randrange(300), r.randrange(300)) for _ in range(220)],
