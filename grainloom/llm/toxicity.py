@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled texts of a kind (toxic, clean) are sampled evenly by key down to about this many (documented bound of the fit).
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 #: Expected severity (0 to 2) from which a text is rejected.
 REJECT = 0.5
 #: Words must occur in so many toxic training texts, and so many standard errors more often than in clean ones, to be features.
@@ -98,17 +98,24 @@ class Severity:
         return expected
 
 
-def select(bags: list[Counter], y: np.ndarray) -> list[str]:
+def select(split: list[list[str]], y: np.ndarray) -> list[str]:
     """Units that toxic texts hold more often, by far more than chance over so many units tried."""
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    in1, in0 = Counter(), Counter()
-    for x, t in zip(bags, y, strict=True):
-        (in1 if t else in0).update(x.keys())
+    held = lambda w: {u for word in set(w) for u in units(word)}
+    in1: Counter = Counter()
+    for w, t in zip(split, y, strict=True):
+        if t:
+            in1.update(held(w))
+    in1 = Counter({u: k for u, k in in1.items() if k >= MIN_TEXTS})
+    in0: Counter = Counter()
+    for w, t in zip(split, y, strict=True):
+        if not t:
+            in0.update(in1.keys() & held(w))
     kept = []
     for u, k in in1.items():
         p1, p0 = k / n1, in0[u] / n0
         p = (k + in0[u]) / (n1 + n0)
-        if k >= MIN_TEXTS and p1 >= 3 * p0 and (p1 - p0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0)) >= MIN_Z:
+        if p1 >= 3 * p0 and (p1 - p0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0)) >= MIN_Z:
             kept.append(u)
     return sorted(kept)
 
@@ -120,14 +127,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, speed: float = 0.1
     none = Severity({}, np.zeros(0))
     if not len(y) or y.min() == y.max():
         return none
-    bags = []
-    for w in split:
-        bag: Counter = Counter()
-        for word, n in Counter(w).items():
-            for u in units(word):
-                bag[u] += n
-        bags.append(bag)
-    kept = select(bags, y)
+    kept = select(split, y)
     if not kept:
         return none
     index = {u: i for i, u in enumerate(kept)}
@@ -137,7 +137,14 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, speed: float = 0.1
         grade = np.where(y == 0, 0, 1)
     levels = int(grade.max())
 
-    entries = [(i, index[u], n) for i, bag in enumerate(bags) for u, n in bag.items() if u in index]
+    entries = []
+    for i, w in enumerate(split):
+        found: Counter = Counter()
+        for word, n in Counter(w).items():
+            for u in units(word):
+                if u in index:
+                    found[u] += n
+        entries += [(i, index[u], n) for u, n in found.items()]
     rows = np.array([e[0] for e in entries] * 2, np.int64)
     cols = np.array([e[1] for e in entries] + [e[1] + len(kept) for e in entries], np.int64)
     vals = np.array([1.0] * len(entries) + [rate(n, len(split[i])) for i, _, n in entries])
