@@ -10,7 +10,8 @@ from .common import count_kind, span_digest, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +89,38 @@ QUERIES: dict = {
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
 }
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_PLACED = """SELECT doc_id, {k} AS k, '{name}' AS kind, vals[j] AS v, (list_sum(list_transform(gaps[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:j-1], lambda g: length(g))), 0))::BIGINT AS s
+            FROM (SELECT doc_id, gaps, vals, unnest(range(1, len(vals) + 1)) AS j FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS vals FROM t WHERE regexp_matches(text, '{pattern}')))"""
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+}
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {_DIGITS}[-i]::INT WHEN {_DIGITS}[-i]::INT > 4 THEN 2 * {_DIGITS}[-i]::INT - 9 ELSE 2 * {_DIGITS}[-i]::INT END)) % 10 = 0"
+_MOD97 = "list_reduce(list_prepend(0, list_transform(string_split(replace(v, ' ', '')[5:] || replace(v, ' ', '')[1:4], ''), lambda c: ascii(c))), lambda acc, c: CASE WHEN c < 58 THEN (acc * 10 + c - 48) % 97 ELSE (acc * 100 + c - 55) % 97 END) = 1"
+
 #: Conversations in SQL: constants of the template cost 3 characters a conversation and 20 a turn, and each escaped character one more.
 _ESCAPED_LENGTH = r"length({0}) + length(regexp_replace({0}, '[^<\[\\]', '', 'g'))"
 ORACLES: dict = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+             bw AS (SELECT DISTINCT item_id, len(x) AS k, array_to_string(x, ' ') AS win FROM (SELECT item_id, w[i + 1:i + 10] AS x FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0))),
+             dw AS (SELECT doc_id, k, i, array_to_string(w[i + 1:i + k], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+             m AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (win, k)),
+             h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM m)) GROUP BY doc_id),
+             it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op3_pii": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+             raw AS ({" UNION ALL ".join(_PLACED.format(k=k, name=n, pattern=p) for k, (n, p) in enumerate(_KINDS.items()))}),
+             ok AS (SELECT doc_id, k, kind, s, kind || ':' || s || ':' || (s + length(v)) AS span FROM raw WHERE CASE kind
+                    WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(nullif(ltrim(x, '0'), '') AS INT), 0) <= 255))
+                    WHEN 'card' THEN length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN} WHEN 'phone' THEN length({_DIGITS}) BETWEEN 8 AND 15 WHEN 'iban' THEN {_MOD97} ELSE true END),
+             g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in _KINDS)}, string_agg(span, ',' ORDER BY k, s) FILTER (kind <> 'iban') AS base, string_agg(span, ',' ORDER BY k, s) AS spans FROM ok GROUP BY doc_id)
+        SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0)::BIGINT AS n_{n}" for n in ("email", "ip", "card", "phone"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)""",
     "op6_chat": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
