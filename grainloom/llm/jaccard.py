@@ -10,12 +10,13 @@ exact and goes in steps:
    T - ceil(0.8 t) + 1 shingles of their prefixes, where a prefix is the
    first s - ceil(0.8 s) + 1 shingles and T the overlap that they need.
    The inverted index holds prefixes only.
-3. Every list proposes links to its least and to its most central document;
-   T-occurrence search verifies them, and components of verified links collapse the groups of
-   near copies, whose pairs would grow with the square of the group.
-4. Lists that still hold several components propose all their pairs
-   between components; pairs that share enough prefix shingles are
-   verified by T-occurrence search.
+3. Every list proposes its least and its most central document to its others;
+   what shares enough lists forms a family. Families are searched whole by
+   T-occurrence, so their pairs, which grow with the square of a group of
+   near copies, never become rows.
+4. Lists that hold several families propose all their pairs between
+   families; pairs that share enough prefix shingles are verified by
+   T-occurrence search.
 
 The search takes one document as the query over the inverted lists of its
 candidates: short lists are merged by a heap, documents that occur often
@@ -59,8 +60,8 @@ FREQUENT_MAX = 500_000
 BROADCAST_KEYS = 2_000_000
 #: Postings that one part of the inverted index holds on average.
 PART = 600_000
-#: Members that one search indexes at once.
-BLOCK = 512
+#: Members that one search indexes at once, and documents of a family that one side of a block holds.
+BLOCK, FAMILY = 512, 4000
 #: Of DivideSkip: weight of the long lists in its rule for their number.
 MU = 0.01
 
@@ -427,18 +428,7 @@ def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, once: bool) -
     placed = stored(placed.join(sides, "g").select("g", cut("a").alias("x"), cut("b").alias("y"), "a", "b"), "placed")
     wanted = placed.select("g", "x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(owners, "id")
     wanted = stored(wanted.select("g", "x", "y", "id", "doc"), "wanted")
-    few = wanted.count() <= BROADCAST_KEYS
-    keys = wanted.select("doc").distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owned, found in _blocks(batches):
-            full = [(k, s) for k, s in zip(owned, found, strict=True) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int64()), pa.array([digest(s)[0] for _, s in full], pa.int64()), pa.array([s.tobytes() for _, s in full], pa.binary())], ["doc", "id", "packed"])
-
-    packed = docs.join(F.broadcast(keys) if few else keys, "doc", "left_semi").mapInArrow(sets, "doc bigint, id bigint, packed binary")
-    packed = packed if once else packed.dropDuplicates(["doc", "id"])
-    # A key may have several texts: only the one with the class's digest counts.
-    members = packed.join(F.broadcast(wanted) if few else wanted, ["doc", "id"]).select("g", "x", "y", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
+    members = with_sets(wanted, docs, once).select("g", "x", "y", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
     rows = members.unionByName(placed.withColumn("packed", F.lit(None).cast("binary")))
     block = ["g", "x", "y"]
     rows = rows.repartition(*block).sortWithinPartitions(*block, F.col("packed").isNull(), "a")
@@ -478,6 +468,119 @@ def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, once: bool) -
     return rows.select(*block, "a", "b", "packed").mapInArrow(run, "a bigint, b bigint")
 
 
+class Family:
+    """The inverted index of a few thousand documents, for exact search among them."""
+
+    def __init__(self, sets: list[np.ndarray], owner: np.ndarray):
+        self.sets, self.size = sets, np.array([len(x) for x in sets])
+        token = np.concatenate(sets)
+        at = np.repeat(np.arange(len(sets)), self.size)
+        order = np.lexsort((at, token))
+        token, self.at = token[order], at[order]
+        self.begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        self.token, self.end = token[self.begin], np.concatenate([self.begin[1:], [len(token)]])
+        self.root = np.arange(len(sets))
+        self.owner = owner
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root[i], self.root[j]
+        if a != b:
+            self.root[self.root == max(a, b)] = min(a, b)
+
+    def search(self, i: int, allowed: np.ndarray) -> np.ndarray:
+        """The allowed members that link with i and are in no component with it yet, by DivideSkip.
+
+        Short lists are merged by counting (they are long together here), long ones probed by binary
+        search for the members that can still reach their overlap.
+        """
+        q = self.sets[i]
+        k = np.searchsorted(self.token, q)  # all are there: q is a member
+        k = k[np.argsort(self.end[k] - self.begin[k], kind="stable")]
+        n_long = least(len(q)) // 2
+        short, long = k[: len(k) - n_long], k[len(k) - n_long :]
+        count = np.bincount(np.concatenate([self.at[self.begin[x] : self.end[x]] for x in short]), minlength=len(self.sets))
+        both = self.size + len(q)
+        need = -(-PERCENT * both // (100 + PERCENT))
+        fit = np.minimum(self.size, len(q)) * 100 >= PERCENT * np.maximum(self.size, len(q))
+        found = np.flatnonzero(allowed & fit & (self.root != self.root[i]) & (count + n_long >= need))
+        have, need = count[found], need[found]
+        for n, x in enumerate(long):
+            if not len(found):
+                break
+            members = self.at[self.begin[x] : self.end[x]]
+            have = have + (members[np.minimum(np.searchsorted(members, found), len(members) - 1)] == found)
+            on = have + (n_long - n - 1) >= need
+            found, have, need = found[on], have[on], need[on]
+        return found
+
+    def links(self, side: np.ndarray) -> list[tuple[int, int]]:
+        """Links that connect what is linked, within one side, or between two; central documents first, so that groups meet early."""
+        weight = np.zeros(len(self.sets))
+        np.add.at(weight, self.at, np.repeat(self.end - self.begin, self.end - self.begin))
+        two = side.min() != side.max()
+        out = []
+        left = np.ones(len(self.sets), bool)
+        for i in np.argsort(-weight / self.size, kind="stable"):
+            left[i] = False
+            allowed = left & (side != side[i]) if two else left
+            for j in self.search(int(i), allowed):
+                out.append((int(i), int(j)))
+                self.join(int(i), int(j))
+        return out
+
+
+def within(families: DataFrame, owners: DataFrame, docs: DataFrame, once: bool) -> DataFrame:
+    """Links (a, b) that connect what is linked inside each family (id, component); large families go in a grid of blocks."""
+    sides = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("sides"))
+    placed = families.join(sides, "component").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    wanted = placed.select(F.col("component").alias("g"), F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "id").join(owners, "id")
+    wanted = stored(wanted, "wanted")
+    rows = with_sets(wanted, docs, once)
+    block = ["g", "x", "y"]
+    rows = rows.repartition(*block).sortWithinPartitions(*block, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch | None:
+            side = np.array([h[0] for h in held])
+            if len(held) < 2 or now[1] != now[2] and side.min() == side.max():
+                return None
+            ids = np.array([h[1] for h in held])
+            found = Family([np.frombuffer(h[2], np.uint64) for h in held], ids).links(side)
+            return pa.RecordBatch.from_arrays([pa.array(ids[[i for i, _ in found]], pa.int64()), pa.array(ids[[j for _, j in found]], pa.int64())], ["a", "b"]) if found else None
+
+        for batch in batches:
+            for g, x, y, side, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, x, y) != now:
+                    if (out := done()) is not None:
+                        yield out
+                    now, held = (g, x, y), []
+                if not held or held[-1][1] != i:
+                    held.append((side, i, s))
+        if (out := done()) is not None:
+            yield out
+
+    return rows.select(*block, "side", "id", "packed").mapInArrow(run, "a bigint, b bigint")
+
+
+def with_sets(wanted: DataFrame, docs: DataFrame, once: bool) -> DataFrame:
+    """wanted (a stored table with id and doc) with the packed set of each id, computed anew from the texts; once: no document stands in docs twice."""
+    few = wanted.count() <= BROADCAST_KEYS
+    keys = wanted.select("doc").distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owned, found in _blocks(batches):
+            full = [(k, s) for k, s in zip(owned, found, strict=True) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int64()), pa.array([digest(s)[0] for _, s in full], pa.int64()), pa.array([s.tobytes() for _, s in full], pa.binary())], ["doc", "id", "packed"])
+
+    packed = docs.join(F.broadcast(keys) if few else keys, "doc", "left_semi").mapInArrow(sets, "doc bigint, id bigint, packed binary")
+    packed = packed if once else packed.dropDuplicates(["doc", "id"])
+    # A key may have several texts: only the one with the class's digest counts.
+    return packed.join(F.broadcast(wanted) if few else wanted, ["doc", "id"])
+
+
 def _enough(c: str):
     """Whether a pair shares as many prefix shingles as linked documents of its sizes must."""
     t = F.ceil(F.lit(PERCENT) * (F.col("na") + F.col("nb")) / F.lit(100 + PERCENT)) - F.ceil(F.lit(PERCENT) * F.greatest("na", "nb") / F.lit(100)) + 1
@@ -498,22 +601,22 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-postings // PART))
     found = stored(lists(reps, parts), "lists")
 
-    # Near copies of the least or the most central document of their lists; sharing less only means that step 4 finds them.
+    # Proposals only shape the families: pairs between families are all found below.
     each = found.select("token", F.size("ids").alias("len"), F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select("token", "len", F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"))
     score = each.groupBy("id").agg((F.sum("len") / F.max("n")).alias("score"))
     central = central_stars(each.select("token", "id", "n").join(score, "id").repartition("token").sortWithinPartitions("token"))
     proposed = stars(found).unionByName(central).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "na": F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")), "nb": F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))})
     first = stored(proposed.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(F.col("c") * 3 >= F.ceil(F.least("na", "nb") * 0.09)).select("a", "b"), "stars")
     once = reps.count() <= classes.count()
-    near = stored(verified(first, owners, docs, once), "links")
-    collapsed = stored(components(near), "collapsed")
+    families = stored(components(first), "families")
+    near = stored(within(families, owners, docs, once), "links")
 
-    still = each.select("token", "id", "n").join(collapsed, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
+    still = each.select("token", "id", "n").join(families, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
     mixed = across(still.repartition("token").sortWithinPartitions("token")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     second = stored(mixed.where(_enough("c")).select("a", "b"), "pairs")
     more = stored(verified(second, owners, docs, once), "links")
 
-    by_doc = collapsed.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+    by_doc = near.unionByName(more)
     by_doc = by_doc.join(owners.withColumnRenamed("doc", "x"), F.col("a") == F.col("id")).drop("id").join(owners.withColumnRenamed("doc", "y"), F.col("b") == F.col("id")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     whole = components(by_doc.unionByName(copies))
     out = rows.select("doc", "n").join(whole, F.col("doc") == F.col("id"), "left")

@@ -55,6 +55,7 @@ def test_against_all_pairs(spark, seed, monkeypatch):
     if seed == 2:  # frequent shingles last
         monkeypatch.setattr(jaccard, "COMMON", 4)
         monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(jaccard, "FAMILY", 3)
     rows = list(enumerate(texts(seed)))
     rows += [rows[30], rows[30], (31, "quite another text of six words"), (500, "quite another text of six words"), (None, rows[31][1])]
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, n int, id int").repartition(5)
