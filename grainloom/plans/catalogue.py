@@ -38,6 +38,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def r(c, digits: int = 4):
+    """Rounded as in the SQL. Means of decimals that often end on a half get 1e-7 first, on both sides, as sums may differ in their last bit."""
     return F.round(c, digits)
 
 
@@ -130,12 +131,12 @@ def exposure_groups(spark, d):
 
 
 @query("""
-    SELECT user_id, strftime(ts, '%Y-%m-%d') AS window_id, count(*) AS n_events, count(DISTINCT event_type) AS n_types, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, round(max(value), 4) AS largest
+    SELECT user_id, strftime(ts, '%Y-%m-%d') AS window_id, count(*) AS n_events, count(DISTINCT event_type) AS n_types, round(sum(value), 4) AS total, round(avg(value) + 1e-7, 4) AS mean, round(max(value), 4) AS largest
     FROM events GROUP BY ALL""")
 def events_user_window_profile(spark, d):
     """The batch twin of the stream."""
     e = features.windowed(read(spark, d, "events"), "ts", "day")
-    return e.groupBy("user_id", "window_id").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_type").alias("n_types"), r(F.sum("value")).alias("total"), r(F.avg("value")).alias("mean"), r(F.max("value")).alias("largest"))
+    return e.groupBy("user_id", "window_id").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_type").alias("n_types"), r(F.sum("value")).alias("total"), r(F.avg("value") + 1e-7).alias("mean"), r(F.max("value")).alias("largest"))
 
 
 @query("""
@@ -402,20 +403,20 @@ def _mapped(spark, d):
 
 @query(f"""
     WITH o AS (SELECT p_partkey AS item, 'price' AS feature, p_retailprice AS value FROM part WHERE p_partkey % 3 <> 0), m AS ({_MAPPED})
-    SELECT item, feature, round(coalesce(o.value, m.value), 2) AS value, CASE WHEN o.value IS NOT NULL THEN 'observed' ELSE 'mapped' END AS method FROM o FULL JOIN m USING (item, feature) WHERE coalesce(o.value, m.value) IS NOT NULL""")
+    SELECT item, feature, round(coalesce(o.value, m.value) + 1e-7, 2) AS value, CASE WHEN o.value IS NOT NULL THEN 'observed' ELSE 'mapped' END AS method FROM o FULL JOIN m USING (item, feature) WHERE coalesce(o.value, m.value) IS NOT NULL""")
 def impute_with_provenance(spark, d):
     """A07-A10."""
-    return fuse.imputed(_observed(spark, d), _mapped(spark, d), ["item", "feature"]).withColumn("value", r("value", 2))
+    return fuse.imputed(_observed(spark, d), _mapped(spark, d), ["item", "feature"]).withColumn("value", r(F.col("value") + 1e-7, 2))
 
 
 @query(f"""
-    WITH m AS ({_MAPPED}) SELECT p_partkey AS item, round(coalesce({_MASKED}, value), 2) AS price, CASE WHEN {_MASKED} IS NOT NULL THEN 'observed' WHEN value IS NOT NULL THEN 'mapped' ELSE 'missing' END AS price_source
+    WITH m AS ({_MAPPED}) SELECT p_partkey AS item, round(coalesce({_MASKED}, value) + 1e-7, 2) AS price, CASE WHEN {_MASKED} IS NOT NULL THEN 'observed' WHEN value IS NOT NULL THEN 'mapped' ELSE 'missing' END AS price_source
     FROM part LEFT JOIN m ON item = p_partkey""")
 def scenario_hybrid_coalesce(spark, d):
     """A10 P22 P23."""
     m = _mapped(spark, d).select("item", F.col("value").alias("mapped"))
     p = read(spark, d, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")).alias("observed")).join(m, "item", "left")
-    return fuse.hybrid(p, "observed", "mapped", "price").select("item", r("price", 2).alias("price"), "price_source")
+    return fuse.hybrid(p, "observed", "mapped", "price").select("item", r(F.col("price") + 1e-7, 2).alias("price"), "price_source")
 
 
 @query(f"""
