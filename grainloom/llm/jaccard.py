@@ -471,7 +471,7 @@ def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, once: bool) -
 class Family:
     """The inverted index of a few thousand documents, for exact search among them."""
 
-    def __init__(self, sets: list[np.ndarray], owner: np.ndarray):
+    def __init__(self, sets: list[np.ndarray]):
         self.sets, self.size = sets, np.array([len(x) for x in sets])
         token = np.concatenate(sets)
         at = np.repeat(np.arange(len(sets)), self.size)
@@ -480,7 +480,6 @@ class Family:
         self.begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         self.token, self.end = token[self.begin], np.concatenate([self.begin[1:], [len(token)]])
         self.root = np.arange(len(sets))
-        self.owner = owner
 
     def join(self, i: int, j: int) -> None:
         a, b = self.root[i], self.root[j]
@@ -548,7 +547,7 @@ def within(families: DataFrame, owners: DataFrame, docs: DataFrame, once: bool)
             if len(held) < 2 or now[1] != now[2] and side.min() == side.max():
                 return None
             ids = np.array([h[1] for h in held])
-            found = Family([np.frombuffer(h[2], np.uint64) for h in held], ids).links(side)
+            found = Family([np.frombuffer(h[2], np.uint64) for h in held]).links(side)
             return pa.RecordBatch.from_arrays([pa.array(ids[[i for i, _ in found]], pa.int64()), pa.array(ids[[j for _, j in found]], pa.int64())], ["a", "b"]) if found else None
 
         for batch in batches:
