@@ -33,7 +33,7 @@ def whole_id(c: Column) -> Column:
 
 def tolerant_int(c: Column) -> Column:
     """0 where it cannot be read."""
-    return F.coalesce(known(F.try_cast(c.cast("string"), "double")).cast("long") if hasattr(F, "try_cast") else known(c.cast("string").try_cast("double")).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(known(c.cast("string").try_cast("double")).cast("long"), F.lit(0).cast("long"))
 
 
 def convert(c: Column, have: str, want: str) -> Column:
