@@ -586,6 +586,12 @@ def _enough(c: str):
     return F.col(c) >= F.greatest(F.lit(1), t)
 
 
+def _related():
+    """Whether a pair shares an eighth of what linked documents of one size must, and more than one shingle unless they are short."""
+    s = F.least("na", "nb")
+    return (F.col("c") * 8 >= F.ceil(s * 0.09)) & ((F.col("c") > 1) | (s <= 33))
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each row of df."""
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -605,7 +611,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     score = each.groupBy("id").agg((F.sum("len") / F.max("n")).alias("score"))
     central = central_stars(each.select("token", "id", "n").join(score, "id").repartition("token").sortWithinPartitions("token"))
     proposed = stars(found).unionByName(central).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "na": F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")), "nb": F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))})
-    first = stored(proposed.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(F.col("c") * 3 >= F.ceil(F.least("na", "nb") * 0.09)).select("a", "b"), "stars")
+    first = stored(proposed.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(_related()).select("a", "b"), "stars")
     once = reps.count() <= classes.count()
     families = stored(components(first), "families")
     near = stored(within(families, owners, docs, once), "links")
