@@ -29,7 +29,7 @@ LONG = 4096
 #: Length of a leaf of the tree.
 LEAF = 1024
 #: Pre-tokens that a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
 
 _CHARS = "a-zß-öø-ÿ"
 #: Text of these characters is cut here, other text by the tokenizer itself: ASCII and Latin-1 letters have no composition or irregular lower case.
@@ -145,6 +145,11 @@ class TreeBpe:
         out = [chunks.get(raw) or self.chunk(raw) for raw in _CHUNK.findall(text or "")]
         return [e for e in out if e[0]]
 
+    def forget(self) -> None:
+        """Frees what is remembered, so that a worker that goes on to other tasks does not hold it."""
+        self.known.clear()
+        self.chunks.clear()
+
     def decode(self, ids: list[int]) -> str:
         """As the tokenizer without a decoder does: its tokens joined by spaces."""
         return self.whole.decode(ids, skip_special_tokens=False)
@@ -171,6 +176,7 @@ def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         for b in batches:
             ids = [[int(i) for e in bpe.encode(t) for i in e[1].split(" ")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
+        bpe.forget()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -204,5 +210,6 @@ def digest_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 ids.append(hashlib.sha256(" ".join(numbers).encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

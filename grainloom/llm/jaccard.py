@@ -61,7 +61,7 @@ BROADCAST_KEYS = 2_000_000
 #: Postings that one part of the inverted index holds on average.
 PART = 600_000
 #: Members that one search indexes at once, and documents of a family that one side of a block holds.
-BLOCK, FAMILY = 512, 4000
+BLOCK, FAMILY = 512, 2000
 #: Of DivideSkip: weight of the long lists in its rule for their number.
 MU = 0.01
 
@@ -124,7 +124,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[list, list]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[list, list]]:
     """(keys, shingle sets) of about size characters at a time."""
     for b in batches:
         keys, texts, n = [], [], 0
@@ -162,7 +162,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
         for _, sets in _blocks(batches):
             held += sets
             n += sum(map(len, sets))
-            if n > 4_000_000:
+            if n > 2_000_000:
                 yield counted()
                 held, n = [], 0
         if n:
