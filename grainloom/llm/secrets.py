@@ -4,13 +4,15 @@ Source and configuration lines are lexed into name-literal pairs
 (`name = "literal"`, `"name": 'literal'`, `export NAME=bare`), constants
 are propagated (`key = "..."` followed by `token = key`, and `"a" + b`),
 and each literal is scored by how sensitive the name is that it ends up
-in. Fixed patterns (assignments to well-known names, access key ids, long
+in. Concatenations of any number of parts are kept whole: constants share
+their parts as a graph, so `a = a + a` does not grow. Fixed patterns (assignments to well-known names, access key ids, long
 hexadecimal runs) are reported as base spans and always stay; the lexer
 adds spans of kind ``literal``.
 
 Positions are code points, ends exclusive. A null text counts as empty and
 has no spans; repeated rows are scanned like any other; extra columns of
-the input are ignored. All scanning is linear in the text.
+the input are ignored. Scanning is linear in the text, except that each
+term of a scored concatenation costs as much as it has distinct characters.
 """
 
 from __future__ import annotations
@@ -34,28 +36,72 @@ _PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])["']?([A-Za-z_][A-Za-z0-9_.\-]*+)["'
 _MORE = re.compile(rf"[\x20\t]*\+[\x20\t]*{_TERM}", re.A)
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*", re.A)
 _SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?(?![a-z])|pwd|secret|token|api_?key|access_?key|private_?key|credential|auth(?!or)", re.I | re.A)
-_PLACEHOLDER = re.compile(r"example|changeme|placeholder|your[_-]|^x+$|^\*+$|^<.*>$|^\$\{", re.I | re.A)
 
 #: A literal is reported from this score on.
 MIN_SCORE = 0.6
 
 
-def entropy(s: str) -> float:
-    """Bits a character."""
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
+#: Longest placeholder word, less one: what can lie on either side of a seam.
+_SEAM = 10
+_WORDS = re.compile(r"example|changeme|placeholder|your[_-]", re.I | re.A)
+#: Numbers of characters above this are kept as floats, with a power of two apart.
+_HUGE = 2**500
+
+
+class Literal:
+    """What the score of a literal needs to know: its text is never built.
+
+    Characters are counted in units of 2**power, which is 0 up to _HUGE characters.
+    """
+
+    __slots__ = ("counts", "size", "power", "head", "tail", "marked")
+
+    def __init__(self, text: str = ""):
+        self.counts, self.size, self.power = Counter(text), len(text), 0
+        self.head, self.tail, self.marked = text[:_SEAM], text[-_SEAM:], bool(_WORDS.search(text))
+
+    @classmethod
+    def joined(cls, parts: list[Literal]) -> Literal:
+        out = cls()
+        out.power = max(p.power for p in parts)
+        for p in parts:
+            unit = 1 if p.power == out.power else 0.5 ** (out.power - p.power)
+            for c, n in p.counts.items():
+                out.counts[c] += n * unit
+            out.size += p.size * unit
+            out.marked = out.marked or p.marked or bool(_WORDS.search(out.tail + p.head))
+            out.head, out.tail = (out.head + p.head)[:_SEAM], (out.tail + p.tail)[-_SEAM:]
+            if out.size > _HUGE:
+                out.counts = Counter({c: n / _HUGE for c, n in out.counts.items()})
+                out.size, out.power = out.size / _HUGE, out.power + 500
+        return out
+
+    def entropy(self) -> float:
+        """Bits a character."""
+        return -sum(n / self.size * math.log2(n / self.size) for n in self.counts.values() if n / self.size) if self.size else 0.0
+
+    def placeholder(self) -> bool:
+        kinds = self.counts.keys()
+        return self.marked or kinds <= {"x", "X"} or kinds <= {"*"} or self.head[:1] == "<" and self.tail[-1:] == ">" or self.head.startswith("${")
+
+    def score(self) -> float:
+        """If it is assigned to a sensitive name, from 0 to 1."""
+        if not self.power and self.size < 8:
+            return 0.0
+        s = 0.5 + 0.2 * any(c in self.counts for c in "0123456789") + min(0.3, self.entropy() / 15)
+        return max(0.0, s - 0.5 * self.placeholder() - 0.3 * (" " in self.counts))
 
 
 def score(name: str, literal: str) -> float:
     """Of a literal that is assigned to name, from 0 to 1."""
-    if len(literal) < 8 or not _SENSITIVE.search(name):
-        return 0.0
-    s = 0.5 + 0.2 * bool(re.search(r"[0-9]", literal)) + min(0.3, entropy(literal) / 15)
-    return max(0.0, s - 0.5 * bool(_PLACEHOLDER.search(literal)) - 0.3 * (" " in literal))
+    return Literal(literal).score() if _SENSITIVE.search(name) else 0.0
 
 
-def lex(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(name, spans of its literal's parts) of each assignment, constants propagated."""
-    known: dict[str, list[tuple[int, int]]] = {}
+def lex(text: str) -> tuple[list[tuple[tuple[int, int] | None, list[int]]], list[tuple[str, int]]]:
+    """Nodes and (name, node) of each assignment, constants propagated; a node has a span, or else the nodes before it that it joins."""
+    nodes: list[tuple[tuple[int, int] | None, list[int]]] = []
+    assigned: list[tuple[str, int]] = []
+    known: dict[str, int] = {}
     at = 0
     for line in text.split("\n"):
         if "=" in line or ":" in line:
@@ -69,15 +115,55 @@ def lex(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                     k = next(g for g in (base, base + 1, base + 2) if term.group(g) is not None)
                     word = term.group(k)
                     if k == base + 2 and _NAME.fullmatch(word) and word in known:
-                        parts += known[word]
+                        parts.append(known[word])
                     elif word:
-                        parts.append((at + term.start(k), at + term.end(k)))
+                        parts.append(len(nodes))
+                        nodes.append(((at + term.start(k), at + term.end(k)), []))
                     end = term.end()
                     term, base = _MORE.match(line, end), 1
+                if len(parts) > 1:
+                    nodes.append((None, parts))
+                    parts = [len(nodes) - 1]
                 if parts:
-                    known[m.group(1)] = parts[:16]
-                    yield m.group(1), parts[:16]
+                    known[m.group(1)] = parts[0]
+                    assigned.append((m.group(1), parts[0]))
         at += len(line) + 1
+    return nodes, assigned
+
+
+def _reached(nodes: list, top: int, seen: set[int]) -> Iterator[int]:
+    """The nodes that top consists of, without those seen before."""
+    left = [top]
+    while left:
+        k = left.pop()
+        if k not in seen:
+            seen.add(k)
+            yield k
+            left += nodes[k][1]
+
+
+def literals(text: str) -> dict[tuple[int, int], float]:
+    """The score of each span that is part of a literal reported: the best one of the literals it is in."""
+    nodes, assigned = lex(text)
+    wanted = {k for name, k in assigned if _SENSITIVE.search(name)}
+    seen: set[int] = set()
+    order = sorted(k for top in wanted for k in _reached(nodes, top, seen))
+    last = {part: k for k in order for part in nodes[k][1]}
+    known: dict[int, Literal] = {}
+    scores = []
+    for k in order:  # parts come before what joins them
+        span, parts = nodes[k]
+        known[k] = Literal(text[slice(*span)]) if span else Literal.joined([known[p] for p in parts])
+        if k in wanted and (s := known[k].score()) >= MIN_SCORE:
+            scores.append((s, k))
+        for p in {*parts, k}:
+            if last.get(p, k) == k:
+                del known[p]
+    best: dict[tuple[int, int], float] = {}
+    seen = set()
+    for s, top in sorted(scores, reverse=True):
+        best |= {nodes[k][0]: s for k in _reached(nodes, top, seen) if nodes[k][0]}
+    return best
 
 
 def scan(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -87,13 +173,7 @@ def scan(text: str | None) -> list[tuple[str, int, int, float]]:
     found += [("access", m.start(), m.end(), 1.0) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", m.start(), m.end(), 1.0) for m in _HEX.finditer(text)]
     if "=" in text or ":" in text:
-        best: dict[tuple[int, int], float] = {}
-        for name, parts in lex(text):
-            literal = "".join(text[a:b] for a, b in parts)
-            if (s := score(name, literal)) >= MIN_SCORE:
-                for span in parts:
-                    best[span] = max(s, best.get(span, 0.0))
-        found += [("literal", a, b, round(s, 4)) for (a, b), s in best.items()]
+        found += [("literal", a, b, round(s, 4)) for (a, b), s in literals(text).items()]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

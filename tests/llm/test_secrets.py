@@ -38,6 +38,35 @@ def test_lexer():
     assert found('password = "changeme"\ntitle = "Zq8-11ab-XYZ9"\nauthor: Somebody9Else1\n') == set()
 
 
+def literal(t):
+    return {t[a:b]: s for k, a, b, s in secrets.scan(t) if k == "literal"}
+
+
+def test_many_parts():
+    parts = [f"p{i:02}Q" for i in range(40)]
+    whole = round(secrets.score("secret", "".join(parts)), 4)
+    joined = " + ".join(f'"{p}"' for p in parts)
+    assert literal(f"secret = {joined}") == dict.fromkeys(parts, whole)
+    names = "".join(f'k{i} = "{p}"\n' for i, p in enumerate(parts))
+    assert literal(names + "auth = " + " + ".join(f"k{i}" for i in range(40))) == dict.fromkeys(parts, whole)
+    chain = 'c = "p00Q"\n' + "".join(f'c = c + "{p}"\n' for p in parts[1:])
+    assert literal(chain + "aws_secret = c") == dict.fromkeys(parts, whole)
+    # The parts after the sixteenth count for the score: here they bring a space, a placeholder over a seam, or the first digit.
+    few = " + ".join(f'"{c}b"' for c in "acdefghijklmnopq")
+    assert literal(f'secret = {few} + "x y"') == {} and literal(f'secret = {few} + "exam" + "ple"') == {}
+    score = lambda t: round(secrets.score("secret", t), 4)
+    assert literal(f'secret = {few} + "7"')["7"] == score("".join(f"{c}b" for c in "acdefghijklmnopq") + "7")
+
+
+def test_growing_constants_stay_small():
+    t = 'a = "Zq8x11"\n' + "a = a + a\n" * 5000 + "secret = a\n"
+    assert literal(t) == {"Zq8x11": round(secrets.score("secret", "Zq8x11" * 4), 4)}
+    t = 'a = "Zq8x11"\n' + "token = a + a\na = token + a\n" * 3000 + "secret = a\n"
+    assert set(literal(t)) == {"Zq8x11"}
+    t = "secret = 'q1'\n" + "".join(f"secret = secret + 'w{i}'\n" for i in range(6000))
+    assert len(literal(t)) == 6001
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, 'x_token = "abc123def456"', "c"), (1, None, "c"), (None, "password=abcdefgh", "c")], "doc_id long, text string, spans string")
     out = {(r.doc_id, len(r.spans)) for r in secrets.find_secrets(df).collect()}
