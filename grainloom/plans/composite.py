@@ -72,5 +72,5 @@ def classification_folds(spark, d):
 @query("""
     SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_window_exposure(spark, d):
-    """Windowed sums of a stream with a watermark; equal to the batch query once the stream has ended."""
+    """Windowed sums of a stream that counts all late events; equal to the batch query once the stream has ended."""
     return streams.daily_totals(spark, f"{d}/events.parquet", work_dir(spark))

@@ -1,5 +1,7 @@
 """Operators on small tables with the values worked out by hand."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,15 @@ def test_stream_dedupe(spark, tmp_path):
     spark.createDataFrame(rows, "id int, ts string, v double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
     s = streams.deduplicated(streams.source(spark, str(tmp_path / "in")), "id", "ts")
     assert streams.finished(s, str(tmp_path / "w"), "dedupe_out", "append").count() == 2
+
+
+def test_stream_totals_of_many_unordered_files(spark, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    n = 40
+    for i in range(n):  # the newest days come first
+        rows = [(u, datetime.datetime(2024, 3, 1) + datetime.timedelta(days=3 * (n - i) - u % 2, hours=u), 1.5 + u) for u in range(4)]
+        spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(path)
+    got = streams.daily_totals(spark, path, str(tmp_path / "w"))
+    e = spark.read.parquet(path)
+    want = e.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
+    assert want.count() == 4 * n and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
