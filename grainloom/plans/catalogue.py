@@ -750,13 +750,13 @@ def pca_projection(spark, d):
 @query()
 def kmeans_clusters(spark, d):
     """V03."""
-    return vectors.kmeans(read(spark, d, "embeddings"), "vec_id", "embedding", 8, rounds=20)
+    return vectors.kmeans(read(spark, d, "embeddings"), "vec_id", "embedding", 8)
 
 
 @query()
 def cluster_patterns(spark, d):
     """A31."""
-    return vectors.cluster_patterns(kmeans_clusters(spark, d), read(spark, d, "embeddings"), "vec_id", "label", 5)
+    return vectors.cluster_patterns(kmeans_clusters(spark, d), read(spark, d, "embeddings"), "vec_id", "label")
 
 
 # Quality

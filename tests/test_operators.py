@@ -1,12 +1,15 @@
 """Operators on small tables with the values worked out by hand."""
 
 import datetime
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from grainloom.functions import numeric, text
 from grainloom.operators import features, fuse, graph, learn, match, quality, vectors, windows
+from grainloom.plans import catalogue
 from grainloom.streaming import streams
 
 
@@ -156,3 +159,24 @@ def test_stream_totals_of_many_unordered_files(spark, tmp_path):
     e = spark.read.parquet(path)
     want = e.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
     assert want.count() == 4 * n and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_kmeans_queries_against_plain_lloyd(spark, tmp_path):
+    n, k = 400, 8
+    x = np.random.default_rng(0).normal(size=(n, 2)) + 5  # settles after 25 rounds
+    order = np.argsort(np.sqrt((x * x).sum(1)), kind="stable")
+    c = x[order[[round(i * (n - 1) / (k - 1)) for i in range(k)]]]
+    own = lambda c: ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    for _ in range(80):
+        c = np.array([x[own(c) == j].mean(0) if (own(c) == j).any() else c[j] for j in range(k)])
+    want = own(c).tolist()
+    labels = [i % 14 for i in range(n)]
+    rows = [(i, v, y) for i, (v, y) in enumerate(zip(x.tolist(), labels, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r.vec_id: r.cluster for r in catalogue.QUERIES["kmeans_clusters"](spark, str(tmp_path)).collect()} == dict(enumerate(want))
+    top = {}
+    for j in range(k):
+        counts = Counter(y for y, w in zip(labels, want, strict=True) if w == j)
+        top |= {(j, y): m for y, m in sorted(counts.items(), key=lambda z: (-z[1], z[0]))[:12]}
+    assert len(top) > 5 * k
+    assert {(r.cluster, r.label): r.n for r in catalogue.QUERIES["cluster_patterns"](spark, str(tmp_path)).collect()} == top
