@@ -6,9 +6,11 @@ digests. Each stage's result is written as Parquet and read again.
 
 Defined cases: a null text passes every filter (it is not toxic, has no
 near copies, holds no benchmark words), stays null, and encodes as the
-empty text; of repeated rows of one doc_id one stays; rows with a null
-doc_id are nobody's copies and stay; empty tables give empty results;
-extra columns of documents pass through.
+empty text; rows are near copies by their own texts, so rows that share a
+doc_id but not a text count as different documents, and of rows that
+repeat a text one stays (null and blank texts have no copies: all stay);
+rows with a null doc_id are nobody's copies and stay; empty tables give
+empty results; extra columns of documents pass through.
 """
 
 from __future__ import annotations
@@ -34,16 +36,15 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by n-gram Jaccard similarity, directly or through others, the one with the smallest doc_id stays."""
-    groups = stored(jaccard.join(docs).select("doc_id", "component_id"), "groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(_few(gone), "doc_id", "left_anti")
-    repeated = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    repeated = _few(stored(repeated, "repeated"))
-    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(one)
+    """Of rows whose texts link by n-gram Jaccard similarity, directly or through others, one with the smallest doc_id stays."""
+    row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = stored(docs.withColumns({"_row": row, "_hash": F.xxhash64(*docs.columns)}), "rows")
+    moved = stored(jaccard.join(rows, "_row").where(F.col("_row") != F.col("component_id")).select("_row", "component_id"), "moved")
+    members = moved.unionByName(moved.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    members = stored(rows.select("_row", "doc_id", "_hash").join(_few(members), "_row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", "_row")).alias("_first")).select("_first._row")
+    gone = stored(members.join(_few(first), "_row", "left_anti").select("_row"), "gone")
+    return rows.join(_few(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

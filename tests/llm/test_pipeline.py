@@ -69,3 +69,17 @@ def test_empty(spark, folder, tmp_path):
     none = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, none, d).count() == 0
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    """Rows that share a doc_id and hold unrelated texts all stay; only those whose own text has a copy go."""
+    r = random.Random(4)
+    say = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(40))
+    first, again, *own = (say() for _ in range(12))
+    rows = [(1, first), (2, say()), (7, first + " more"), *((7, t) for t in own), (7, own[0]), (8, own[1]), (9, again), (9, again + " more"), (7, None), (7, None), (None, first)]
+    spark.createDataFrame([(i, t, "en", "a", len(t or ""), 1) for i, t in rows], SCHEMA).repartition(3).write.parquet(str(tmp_path / "docs"))
+    out = corpus_pipeline.keep_one_of_each_group(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+    got = sorted(((x.doc_id, x.text) for x in out), key=str)
+    nine = [t for i, t in got if i == 9]
+    assert len(nine) == 1 and nine[0] in (again, again + " more")
+    assert [x for x in got if x[0] != 9] == sorted([(1, first), rows[1], *((7, t) for t in own), (7, None), (7, None), (None, first)], key=str)
