@@ -20,12 +20,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal(table(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda s: s["kind"] != "iban")
+    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
     return found.select(
         "doc_id",
         *(count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")),
         F.sha2(span_digest(base), 256).alias("base_sha256"),
         span_digest(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 10).cast("int").cast("string")), ",").alias("tenths"),
     )
 
 
@@ -91,12 +92,15 @@ QUERIES: dict = {
 }
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
-_PLACED = """SELECT doc_id, {k} AS k, '{name}' AS kind, vals[j] AS v, (list_sum(list_transform(gaps[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:j-1], lambda g: length(g))), 0))::BIGINT AS s
+_NEAR = "translate(right(gaps[j], 48) || ' ' || left(gaps[j + 1], 48), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLACED = """SELECT doc_id, {k} AS k, '{name}' AS kind, vals[j] AS v, (list_sum(list_transform(gaps[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:j-1], lambda g: length(g))), 0))::BIGINT AS s,
+            {score} + CASE WHEN regexp_matches({near}, '{words}') THEN 2 ELSE 0 END - CASE WHEN regexp_matches({near}, '{against}') THEN 3 ELSE 0 END AS tenths
             FROM (SELECT doc_id, gaps, vals, unnest(range(1, len(vals) + 1)) AS j FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS vals FROM t WHERE regexp_matches(text, '{pattern}')))"""
 _KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": rf"\b(?:{pii.iban_body()})\b", "national": r"\b[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
+_PERSONAL = " UNION ALL ".join(_PLACED.format(k=i, name=k.name, pattern=_KINDS[k.name], score=round(k.score * 10), near=_NEAR, words=k.words, against=k.against) for i, k in enumerate(pii.KINDS))
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {_DIGITS}[-i]::INT WHEN {_DIGITS}[-i]::INT > 4 THEN 2 * {_DIGITS}[-i]::INT - 9 ELSE 2 * {_DIGITS}[-i]::INT END)) % 10 = 0"
 _MOD97 = "list_reduce(list_prepend(0, list_transform(string_split(replace(v, ' ', '')[5:] || replace(v, ' ', '')[1:4], ''), lambda c: ascii(c))), lambda acc, c: CASE WHEN c < 58 THEN (acc * 10 + c - 48) % 97 ELSE (acc * 100 + c - 55) % 97 END) = 1"
@@ -115,12 +119,12 @@ ORACLES: dict = {
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op3_pii": f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-             raw AS ({" UNION ALL ".join(_PLACED.format(k=k, name=n, pattern=p) for k, (n, p) in enumerate(_KINDS.items()))}),
-             ok AS (SELECT doc_id, k, kind, s, kind || ':' || s || ':' || (s + length(v)) AS span FROM raw WHERE CASE kind
+             raw AS ({_PERSONAL}),
+             ok AS (SELECT doc_id, k, kind, s, tenths, kind || ':' || s || ':' || (s + length(v)) AS span FROM raw WHERE CASE kind
                     WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(nullif(ltrim(x, '0'), '') AS INT), 0) <= 255))
-                    WHEN 'card' THEN length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN} WHEN 'phone' THEN length({_DIGITS}) BETWEEN 8 AND 15 WHEN 'iban' THEN {_MOD97} ELSE true END),
-             g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in _KINDS)}, string_agg(span, ',' ORDER BY k, s) FILTER (kind <> 'iban') AS base, string_agg(span, ',' ORDER BY k, s) AS spans FROM ok GROUP BY doc_id)
-        SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0)::BIGINT AS n_{n}" for n in ("email", "ip", "card", "phone"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)""",
+                    WHEN 'card' THEN length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN} WHEN 'phone' THEN length({_DIGITS}) BETWEEN 8 AND 15 WHEN 'iban' THEN {_MOD97} WHEN 'national' THEN tenths >= 5 WHEN 'ssn' THEN tenths >= 5 ELSE true END),
+             g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in _KINDS)}, string_agg(span, ',' ORDER BY k, s) FILTER (k < 4) AS base, string_agg(span, ',' ORDER BY k, s) AS spans, string_agg(tenths::VARCHAR, ',' ORDER BY k, s) AS tenths FROM ok GROUP BY doc_id)
+        SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0)::BIGINT AS n_{n}" for n in ("email", "ip", "card", "phone"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(tenths, '') AS tenths FROM t LEFT JOIN g USING (doc_id)""",
     "op6_chat": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
