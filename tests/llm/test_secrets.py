@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from grainloom.llm import secrets
 
@@ -38,6 +39,27 @@ def test_lexer():
     assert found('password = "changeme"\ntitle = "Zq8-11ab-XYZ9"\nauthor: Somebody9Else1\n') == set()
 
 
+def test_syntax():
+    for t in ['password: str = "hunter2hunter2"', "<password>hunter2hunter2</password>", '<add key="DbPassword" value="hunter2hunter2"/>', 'var password string = "hunter2hunter2"', '{"a": {"password": "hunter2hunter2", "n": 1}}', "run --password=hunter2hunter2 x",
+              'f(user="x", password="hunter2hunter2")', 'db_password = f("hunter2hunter2")', 'token = (\n  # note\n  "hunter2hunter2"\n)', 'os.environ["API_TOKEN"] = "hunter2hunter2"', 'api_key = os.getenv("API_KEY") or "hunter2hunter2"',
+              'let key: &str = "hunter2hunter2"; let auth_token = key;', 'secret: |\n  hunter2hunter2\nnext: 1', 'curl -H "Authorization: Bearer hunter2hunter2"', "const apiKey: string = `hunter2hunter2`;", 'note: (see above secret = "hunter2hunter2"', "password: hunter2hunter2"]:
+        assert found(t) == {"hunter2hunter2"}, t
+    assert found(r'token = "ab\"cd1234efgh"') == {r"ab\"cd1234efgh"}
+    assert found('secret = """abc12345\ndefgh"""') == {"abc12345\ndefgh"}
+    assert found('k = "abcd"\nk += "1234"\nk += "efgh"\nsecret = k') == {"abcd", "1234", "efgh"}
+    assert found('tokens = ["abcd1234", "efgh5678"]') == {"abcd1234", "efgh5678"}
+    assert found("$password = 'abcd' . '1234efgh';") == {"abcd", "1234efgh"}
+    for t in ["password = getPassword", 'auth_token == "abcd1234efgh"', 'if token != "abcd1234efgh": pass', "password=$(cat x)", "", "=", ":", "</", "token=", 'x["token"]["y"] = "abcd1234efgh"']:
+        assert found(t) == set(), t
+
+
+def test_linear():
+    for t in ["a=f(", 'a=("x",', "a=`", 'x["a"]=', "a:\n  ", "a: |\n  b: |\n", "=", "<a>", "key='a' ", "a='''", "\\", "a=b+", "a=\\\n", "a=( \n"]:
+        began = time.time()
+        secrets.scan(t * (400_000 // len(t)))
+        assert time.time() - began < 20, t
+
+
 def literal(t):
     return {t[a:b]: s for k, a, b, s in secrets.scan(t) if k == "literal"}
 
