@@ -25,7 +25,7 @@ def plain(ids, x):
 @pytest.mark.parametrize("block", [2048, 40])
 def test_against_all_pairs(spark, block, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "SHARED", 16)
+    monkeypatch.setattr(neardup, "SHARED", 16 if block == 40 else 512)
     g = np.random.default_rng(block)
     base = g.standard_normal((300, 64))
     x = [*base]
@@ -51,5 +51,27 @@ def test_against_all_pairs(spark, block, monkeypatch):
 
 
 def test_plan_follows_the_input():
-    small, large = neardup.plan(1_000, 0.9, 64), neardup.plan(10**9, 0.9, 64)
+    small, large = neardup.plan(1_000, 0.9), neardup.plan(10**9, 0.9)
     assert small.in_table < large.in_table and small.tables < large.tables and small.count == large.count
+
+
+def test_doubles_and_extreme_values(spark):
+    """Double vectors are compared as doubles; links do not depend on a vector's length."""
+    a = np.zeros(64)
+    a[0], a[1] = 0.9, np.sqrt(1 - 0.81)
+    e = np.eye(64)[0]
+    rows = [(1, e.tolist()), (2, (a * 1e200).tolist()), (3, (a * 1e-200).tolist()), (4, (e * 1.0 + np.eye(64)[2] * 1e-9).tolist()), (5, (-e).tolist())]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out[5] == (0, 5) and out[4][0] >= 1 and out[3][0] >= 1 and out[2][0] >= 1 and out[1][1] == 1
+
+
+@pytest.mark.parametrize("spread", [3, 100])
+def test_windows_count_like_a_plain_loop(spread):
+    g = np.random.default_rng(1)
+    q = np.clip(np.rint(g.standard_normal((90, neardup.PROJECTIONS)) * spread), -neardup.EDGE, neardup.EDGE).astype(np.int8)
+    for side in (np.zeros(90, int), np.arange(90) % 2):
+        for lead, count in ((0, 1), (5, 12), (7, 40)):
+            got = {tuple(sorted(x)) for s, t in neardup.passing(q, lead, side, count, chunk=16) for x in zip(s.tolist(), t.tolist(), strict=True)}
+            d = np.abs(q[:, None].astype(int) - q[None])
+            ok = ((d <= neardup.STEPS + 1).sum(axis=2) >= count) & (d[:, :, lead] <= neardup._LED) & ((side[:, None] != side[None]) | (side.max() == 0))
+            assert got == {(i, j) for i, j in zip(*np.nonzero(ok), strict=True) if i < j}
