@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where neither the setting nor a checkpoint folder exists (as in
-    tests on one machine) a temporary folder is made and set.
+    Only where neither the setting nor a checkpoint folder exists and all
+    runs on one machine (as in tests) a temporary folder is made and set.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,27 +30,73 @@ def shared_dir(spark: SparkSession) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="grainloom-")
         sc.setCheckpointDir(folder)
     return folder
 
 
+#: What stored() wrote since the innermost scope() began.
+_WRITTEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: a cut in the lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Writes df to the shared folder and reads it again: a cut in the lineage that outlives executors.
+
+    The table goes when discard() or a scope() removes it, or else when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    if (written := _WRITTEN.get()) is not None:
+        written.append((spark, path))
+    out = spark.read.parquet(path)
     out.stored_at = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
+
+
+def discard(*tables: DataFrame | None) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
-    path = getattr(df, "stored_at", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            _remove(df.sparkSession, path)
+
+
+@contextmanager
+def scope():
+    """Deletes, at its end, what stored() wrote within it."""
+    outer = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        written = _WRITTEN.get()
+        _WRITTEN.reset(outer)
+        for spark, path in written:
+            _remove(spark, path)
+
+
+def slim() -> None:
+    """Gives memory that this worker no longer uses back to the machine: workers are reused, and hold on to it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ascii_lower(c: Column) -> Column:

@@ -8,8 +8,9 @@ read the documents, without a shuffle. A search takes the rarest word's
 postings, shifts them to where the window would begin, intersects them
 with the second word's postings, shifted likewise, and compares the words
 around the surviving positions (kept with the rarest words' postings)
-with the whole window: equal for an exact phrase, or each word within
-SLACK more words on either side for a proximity match.
+with the whole window: equal for an exact phrase, or, for a proximity
+match, all of the window's words among those from SLACK words before its
+place to SLACK words behind (and the two rarest at most SLACK astray).
 
 Only SQL functions. Words are lower-cased in A-Z alone. Rows are told
 apart by key and a hash of the text, so repeated rows get equal results
@@ -87,11 +88,11 @@ def plans(found: DataFrame, counts: DataFrame) -> DataFrame:
 def index(docs: DataFrame, key: str, text: str, keys: DataFrame, reach: int) -> DataFrame:
     """Postings (key, h, word, pos, around, first) of the words of keys (word, first), and one with word _END at the end of each text.
 
-    around: for words that searches start from, the words from `reach` before to `reach` behind.
+    around: for words that searches start from, the words from `reach` before to `reach` behind, in their own letter case (few are compared).
     """
     split = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("h"), words(F.col(text)).alias("w"))
     each = split.select(key, "h", "w", F.posexplode_outer(F.array_append("w", F.lit(_END))).alias("pos", "raw")).withColumn("word", lowered(F.col("raw")))
-    around = F.transform(F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1), ascii_lower)
+    around = F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1)
     wanted = small(keys.unionByName(keys.sparkSession.createDataFrame([(_END, False)], "word string, first boolean")), "word")
     return each.join(wanted, "word").select(key, "h", "word", "pos", F.when(F.col("first"), around).alias("around"), "first")
 
@@ -107,9 +108,10 @@ def search(postings: DataFrame, key: str, plan: DataFrame, reach: int, slack: in
     met = begun.join(second, same & (F.abs(F.col("pos2") - F.col("there")) <= slack))
     left = F.greatest(F.col("pos") - reach, F.lit(0))
     phrase = F.slice("around", F.greatest(F.col("start") - left, F.lit(0)) + 1, F.col("size"))
-    wide = F.slice("around", F.greatest(F.col("start") - slack - left, F.lit(0)) + 1, F.col("size") + 2 * slack)
-    exact = (F.col("start") >= 0) & (F.col("pos2") == F.col("there")) & (phrase == F.col("window"))
-    near = F.forall("window", lambda w: F.array_contains(wide, w))
+    wide = F.slice("around", F.greatest(F.col("start") - slack - left, F.lit(0)) + 1, F.col("size") + 2 * slack + F.least(F.col("start") - slack, F.lit(0)))
+    met = met.withColumns({"phrase": F.transform(phrase, lowered), "wide": F.transform(wide, lowered)})
+    exact = (F.col("start") >= 0) & (F.col("pos2") == F.col("there")) & (F.col("phrase") == F.col("window"))
+    near = F.size(F.array_except("window", "wide")) == 0
     return met.select(F.col("k").alias(key), "h", "id", "start", "size", exact.alias("exact"), near.alias("near")).where(F.col("exact") | F.col("near"))
 
 

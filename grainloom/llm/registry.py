@@ -11,7 +11,7 @@ from .common import count_kind, span_digest, table
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +114,15 @@ ORACLES: dict = {
              dw AS (SELECT doc_id, k, i, array_to_string(w[i + 1:i + k], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
              m AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (win, k)),
              h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM m)) GROUP BY doc_id),
+             cnt AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word), wid AS (SELECT DISTINCT win, k, string_split(win, ' ') AS ws FROM bw),
+             rk AS (SELECT win, word, p, row_number() OVER (PARTITION BY win ORDER BY n, p) AS r, min(coalesce(n, 0)) OVER (PARTITION BY win) AS least_n FROM (SELECT win, unnest(ws) AS word, unnest(range(0, k)) AS p FROM wid) LEFT JOIN cnt USING (word)),
+             two AS (SELECT win, max(word) FILTER (r = 1) AS w1, max(p) FILTER (r = 1) AS p1, max(word) FILTER (r = least(2, m)) AS w2, max(p) FILTER (r = least(2, m)) AS p2 FROM (SELECT *, max(r) OVER (PARTITION BY win) AS m FROM rk WHERE least_n > 0) GROUP BY win),
+             pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+             nr AS (SELECT DISTINCT a.doc_id, win FROM two JOIN pos a ON a.word = w1 JOIN pos b ON b.doc_id = a.doc_id AND b.word = w2 AND abs(b.p - (a.p - p1 + p2)) <= 2 JOIN d ON d.doc_id = a.doc_id JOIN wid USING (win) WHERE list_has_all(d.w[greatest(a.p - p1 - 2, 0) + 1:a.p - p1 + k + 2], ws)),
+             ni AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nr JOIN bw USING (win) GROUP BY doc_id),
              it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
-        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ni USING (doc_id)""",
     "op3_pii": f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
              raw AS ({_PERSONAL}),
