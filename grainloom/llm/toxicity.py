@@ -3,15 +3,18 @@
 P(grade > k | x) = sigmoid(w.x - b_k), with one weight vector w for all
 thresholds b_1 < b_2. Units are words and word beginnings of 3 to 7
 letters; each unit gives two features, its presence and its rate among
-the text's words. Grades come from labels: 0 for a clean text, and for
-toxic texts 1 or 2, as the rate of words with telling units is below the
-toxic median or not. The expected severity of a text is the sum of
-P(grade > k); texts from REJECT on are rejected.
+the text's words. Grades come from the labels alone: 0 for a text that is
+not toxic, 1 for a toxic text of quality, 2 for a toxic text without it.
+Labels that know only one kind of toxic texts leave one threshold. The
+expected severity of a text is the sum of P(grade > k); texts from REJECT
+on are rejected.
 
 Defined cases: a null or empty text has no features and severity 0 (it
 carries no words to be toxic); without labelled texts of both kinds, or
-without telling units, every severity is 0; texts are used whole; a group
-of near copies teaches once; extra columns are ignored.
+without telling units, every severity is 0; an empty table gives an empty
+result; texts are used whole; repeated rows are graded alike, and of the
+rows of one key, and of a group of near copies, one teaches; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,17 +23,22 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slim
+
 #: Labelled texts of a kind (toxic, clean) are sampled evenly by key down to about this many (documented bound of the fit).
 TRAIN_ROWS = 3000
+#: Bytes of text of a kind that the fit takes at most, and bytes of a text that it learns from (documented bounds of the fit).
+TRAIN_BYTES, TRAIN_TEXT = 16 << 20, 1 << 20
 #: Expected severity (0 to 2) from which a text is rejected.
 REJECT = 0.5
 #: Words must occur in so many toxic training texts, and so many standard errors more often than in clean ones, to be features.
@@ -98,19 +106,22 @@ class Severity:
         return expected
 
 
-def select(split: list[list[str]], y: np.ndarray) -> list[str]:
+def select(texts: list[str], toxic: np.ndarray) -> list[str]:
     """Units that toxic texts hold more often, by far more than chance over so many units tried."""
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    held = lambda w: {u for word in set(w) for u in units(word)}
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
     in1: Counter = Counter()
-    for w, t in zip(split, y, strict=True):
-        if t:
-            in1.update(held(w))
+    for t in (t for t, bad in zip(texts, toxic, strict=True) if bad):
+        in1.update({u for word in set(words(t)) for u in units(word)})
     in1 = Counter({u: k for u, k in in1.items() if k >= MIN_TEXTS})
     in0: Counter = Counter()
-    for w, t in zip(split, y, strict=True):
-        if not t:
-            in0.update(in1.keys() & held(w))
+    known: dict[str, tuple[str, ...]] = {}
+    for t in (t for t, bad in zip(texts, toxic, strict=True) if not bad):
+        held: set[str] = set()
+        for word in set(words(t)):
+            if word not in known:
+                known[word] = tuple(u for u in units(word) if u in in1)
+            held.update(known[word])
+        in0.update(held)
     kept = []
     for u, k in in1.items():
         p1, p0 = k / n1, in0[u] / n0
@@ -120,53 +131,63 @@ def select(split: list[list[str]], y: np.ndarray) -> list[str]:
     return sorted(kept)
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = 400, speed: float = 0.1, ridge: float = 2e-4) -> Severity:
-    """Fits the regression to labelled texts by full gradient steps (Adam)."""
+def loss(w: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The penalised negative log likelihood and its gradients; b holds the first threshold and the logs of the steps to the next ones."""
+    levels = len(b)
+    cut = thresholds_of(b)
+    s = np.bincount(rows, w[cols] * vals, len(grade))
+    # P(grade = g) = F(g) - F(g + 1), with F(0) = 1 and F(levels + 1) = 0
+    above = 1 / (1 + np.exp(-np.clip(s[:, None] - cut[None, :], -50, 50)))
+    edge, at = np.zeros((len(grade), 1)), np.arange(len(grade))
+    full = np.concatenate([edge + 1, above, edge], axis=1)
+    slope = np.concatenate([edge, above * (1 - above), edge], axis=1)
+    prob = np.maximum(full[at, grade] - full[at, grade + 1], 1e-9)
+    g_s = -weight * (slope[at, grade] - slope[at, grade + 1]) / prob
+    g_cut = np.array([np.sum(weight / prob * slope[:, k] * ((grade == k).astype(float) - (grade == k - 1).astype(float))) for k in range(1, levels + 1)])
+    g_w = np.bincount(cols, g_s[rows] * vals, len(w)) + ridge * w
+    g_b = np.concatenate([[g_cut.sum()], [np.exp(b[k]) * g_cut[k:].sum() for k in range(1, levels)]])
+    return float(-(weight * np.log(prob)).sum() + ridge / 2 * (w @ w)), g_w, g_b
+
+
+def thresholds_of(b: np.ndarray) -> np.ndarray:
+    return b[0] + np.concatenate([[0.0], np.cumsum(np.exp(b[1:]))])
+
+
+def fit(texts: list[str], grades: list[int], steps: int = 400, speed: float = 0.1, ridge: float = 2e-4) -> Severity:
+    """Fits the regression to texts with grades from 0 by full gradient steps (Adam)."""
     once = distinct(texts)
-    split, y = [words(texts[i]) for i in once], np.asarray([toxic[i] for i in once])
+    texts, grade = [texts[i] for i in once], np.asarray([grades[i] for i in once], np.int64)
     none = Severity({}, np.zeros(0))
-    if not len(y) or y.min() == y.max():
+    if not (grade > 0).any() or not (grade == 0).any():
         return none
-    kept = select(split, y)
+    grade = np.searchsorted(np.unique(np.append(grade, 0)), grade)  # grades that do not occur need no threshold
+    levels = int(grade.max())
+    kept = select(texts, grade > 0)
     if not kept:
         return none
     index = {u: i for i, u in enumerate(kept)}
-    share = np.array([sum(n for word, n in Counter(w).items() if any(u in index for u in units(word))) / max(1, len(w)) for w in split])
-    grade = np.where(y == 0, 0, np.where(share >= np.median(share[y == 1]), 2, 1))
-    if (grade == 1).sum() == 0 or (grade == 2).sum() == 0:
-        grade = np.where(y == 0, 0, 1)
-    levels = int(grade.max())
-
-    entries = []
-    for i, w in enumerate(split):
+    known: dict[str, tuple[int, ...]] = {}
+    at, unit, n, size = array("q"), array("q"), array("q"), array("q")
+    for i, t in enumerate(texts):
+        w = words(t)
         found: Counter = Counter()
-        for word, n in Counter(w).items():
-            for u in units(word):
-                if u in index:
-                    found[u] += n
-        entries += [(i, index[u], n) for u, n in found.items()]
-    rows = np.array([e[0] for e in entries] * 2, np.int64)
-    cols = np.array([e[1] for e in entries] + [e[1] + len(kept) for e in entries], np.int64)
-    vals = np.array([1.0] * len(entries) + [rate(n, len(split[i])) for i, _, n in entries])
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)  # both kinds count alike
+        for word, k in Counter(w).items():
+            if word not in known:
+                known[word] = tuple(index[u] for u in units(word) if u in index)
+            for u in known[word]:
+                found[u] += k
+        at.extend([i] * len(found))
+        unit.extend(found.keys())
+        n.extend(found.values())
+        size.extend([len(w)] * len(found))
+    rows, cols = np.tile(np.array(at), 2), np.concatenate([np.array(unit), np.array(unit) + len(kept)])
+    vals = np.concatenate([np.ones(len(n)), np.log2(1 + 100 * np.array(n) / np.array(size))])
+    weight = np.where(grade > 0, 0.5 / (grade > 0).sum(), 0.5 / (grade == 0).sum())  # both kinds count alike
     w = np.zeros(2 * len(kept))
-    b = np.concatenate([[0.0], np.full(levels - 1, 0.5)])  # first threshold, then log steps upwards
+    b = np.concatenate([[0.0], np.full(levels - 1, 0.5)])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
-    at = np.arange(len(y))
     for t in range(1, steps + 1):
-        cut = b[0] + np.concatenate([[0.0], np.cumsum(np.exp(b[1:]))])
-        s = np.bincount(rows, w[cols] * vals, len(y))
-        # P(grade = g) = F(g) - F(g + 1), with F(0) = 1 and F(levels + 1) = 0
-        above = 1 / (1 + np.exp(-np.clip(s[:, None] - cut[None, :], -50, 50)))
-        edge = np.zeros((len(y), 1))
-        full = np.concatenate([edge + 1, above, edge], axis=1)
-        slope = np.concatenate([edge, above * (1 - above), edge], axis=1)
-        prob = np.maximum(full[at, grade] - full[at, grade + 1], 1e-9)
-        g_s = -weight * (slope[at, grade] - slope[at, grade + 1]) / prob
-        g_cut = np.array([np.sum(weight / prob * slope[:, k] * ((grade == k).astype(float) - (grade == k - 1).astype(float))) for k in range(1, levels + 1)])
-        g_w = np.bincount(cols, g_s[rows] * vals, len(w)) + ridge * w
-        g_b = np.concatenate([[g_cut.sum()], [np.exp(b[k]) * g_cut[k:].sum() for k in range(1, levels)]])
+        _, g_w, g_b = loss(w, b, rows, cols, vals, grade, weight, ridge)
         for v, g, m, q in ((w, g_w, *state[:2]), (b, g_b, *state[2:])):
             m *= 0.9
             m += 0.1 * g
@@ -174,22 +195,27 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, speed: float = 0.1
             q += 0.001 * g * g
             v -= speed * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
         w[:] = np.maximum(w, 0)  # a telling unit never speaks for a text
-    cut = b[0] + np.concatenate([[0.0], np.cumsum(np.exp(b[1:]))])
+    cut = thresholds_of(b)
     return Severity({u: (float(w[i]), float(w[i + len(kept)])) for u, i in index.items()}, cut)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Severity:
-    """Fits on an even sample by key of about `rows` labelled texts of each kind."""
-    marked = labels.select(F.col(key), F.col(label)).where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
-    sizes = {r[0]: r[1] for r in marked.groupBy(label).agg(F.count(F.lit(1))).collect()}
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", quality: str = "quality", rows: int = TRAIN_ROWS) -> Severity:
+    """Fits on an even sample by key of about `rows` labelled texts of each kind (toxic, clean), within TRAIN_BYTES of each."""
+    level = F.when(F.col(label) == 0, 0).when(F.col(quality) == 0, 2).otherwise(1) if quality in labels.columns else F.col(label)
+    marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).alias("bad"), level.cast("int").alias("level"))
+    marked = marked.groupBy("k").agg(F.max("bad").alias("bad"), F.max("level").alias("level"))
+    sizes = {r[0]: r[1] for r in marked.groupBy("bad").agg(F.count(F.lit(1))).collect()}
     if len(sizes) < 2:
         return fit([], [])
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
-    drawn = marked.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(5)), F.lit(1 << 20)) < F.element_at(share, F.col(label)) * (1 << 20))
-    sample = docs.select(F.col(key), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).join(F.broadcast(drawn), key).select("_text", label, key)
-    # Bounded by `rows` of each kind; sorted so that the fit does not depend on the order in which tasks end.
-    got = sorted(sample.collect(), key=lambda r: (r[2], r[1], r[0]))
-    return fit([r[0] for r in got], [int(r[1]) for r in got])
+    drawn = marked.withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit(5)))
+    drawn = drawn.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("bad")) * (1 << 20))
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= TRAIN_TEXT).join(F.broadcast(drawn), "k")
+    # One text of each key, so that the sample is as small as its labels; texts in the order of a hash as far as the bytes go.
+    one = sample.groupBy("k", "h", "bad", "level").agg(F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t"))
+    before = F.sum(F.octet_length("t")).over(Window.partitionBy("bad").orderBy("h", "k"))
+    got = sorted(one.withColumn("bytes", before).where(F.col("bytes") <= TRAIN_BYTES).select("k", "level", "t").collect(), key=lambda r: r[0])
+    return fit([r[2] for r in got], [r[1] for r in got])
 
 
 def grade(df: DataFrame, model: Severity, key: str = "doc_id", text: str = "text", reject: float = REJECT) -> DataFrame:
@@ -203,6 +229,7 @@ def grade(df: DataFrame, model: Severity, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.round(s, 6)), pa.array(np.rint(s).astype(np.int32)), pa.array(s >= reject)], [key, "severity", "grade", "toxic"]
             )
+        slim()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, severity double, grade int, toxic boolean")
 
@@ -215,5 +242,6 @@ def clean(df: DataFrame, model: Severity, text: str = "text", reject: float = RE
         expected = model.scorer()
         for b in batches:
             yield b.filter(pa.array([expected(t) < reject for t in b.column(at).to_pylist()], pa.bool_()))
+        slim()
 
     return df.mapInArrow(run, df.schema)
