@@ -39,3 +39,21 @@ def test_vectors_are_bound_and_permuted():
     v, has = langid.bundle(["abc", "cba", "12", "ABC"], places)
     assert has.tolist() == [True, True, False, True]
     assert np.allclose(v[0], v[3]) and abs(float(v[0] @ v[1])) < 0.5
+
+
+def test_prediction_against_a_plain_profile():
+    """Cosines against profiles that are bound and bundled one trigram at a time."""
+    places = langid.letters()
+
+    def plain(text):
+        s = langid.symbols(text)
+        v = np.zeros(langid.DIM)
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            v += places[0][a].astype(float) * places[1][b] * places[2][c]
+        return v / np.linalg.norm(v)
+
+    texts = ["the cat sat", "der Hund läuft schnell", "日本語のテキスト", "a", "x" * 500 + " yz", "".join(chr(0x4E00 + i * 7 % 20000) for i in range(30000))]
+    got, has = langid.bundle([*texts, None, "", "123"], places)
+    assert has.tolist() == [True] * 6 + [False] * 3
+    for t, v in zip(texts, got, strict=False):
+        assert np.allclose(plain(t), v, atol=1e-4)
