@@ -19,8 +19,15 @@ exact and goes in steps:
    T-occurrence search.
 
 The search takes one document as the query over the inverted lists of its
-candidates: short lists are merged by a heap, documents that occur often
-enough there are looked up in the long lists by binary search (DivideSkip).
+candidates: short lists are merged, documents that occur often enough
+there are looked up in the long lists by binary search (DivideSkip, whose
+rule says how many lists count as long). A heap merges up to HEAP postings;
+above that, as in families of many copies, the merge counts in an array
+over the candidates, which gives the same and is faster in numpy.
+
+No list is held or paired by one task whatever its length: lists of
+frequent shingles are built in pieces of about PIECE documents, and lists
+are paired in blocks of CROSS documents.
 
 Frequent shingles are last in the order and stay in all sets: which ones
 are taken as frequent changes the work, not the result. Hashes of 64 bits
@@ -30,7 +37,8 @@ Defined cases: null, empty and blank texts have the empty set and link
 with nothing; texts of fewer than five words have their whole sequence as
 their one shingle; rows of one key are one vertex (it links by any of its
 texts); rows with a null key link with nothing and have a null component;
-repeated rows each come back; extra columns are ignored.
+repeated rows each come back; an empty table gives an empty result; keys
+are whole numbers; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +46,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, slim, stored
 from .components import components
 
 WORDS = 5
@@ -56,14 +63,16 @@ PERCENT = 80
 LOCAL, COMMON = 3, 24
 #: Frequent shingles that are broadcast at most: the most frequent ones (8 bytes each; fewer or more only change the work).
 FREQUENT_MAX = 500_000
-#: Keys up to this number are broadcast to find their texts (8 bytes each), and joined by shuffle beyond.
-BROADCAST_KEYS = 2_000_000
+#: Rows of keys up to this number are broadcast to find their texts (at most 64 bytes each), and joined by shuffle beyond.
+BROADCAST_KEYS = 1_000_000
 #: Postings that one part of the inverted index holds on average.
 PART = 600_000
 #: Members that one search indexes at once, and documents of a family that one side of a block holds.
 BLOCK, FAMILY = 512, 2000
-#: Of DivideSkip: weight of the long lists in its rule for their number.
-MU = 0.01
+#: Documents of a list that one task gathers, and documents of a list that one side of a block of pairs holds.
+PIECE, CROSS = 65_536, 8_192
+#: Of DivideSkip: weight of the long lists in its rule for their number. Postings that a heap merges.
+MU, HEAP = 0.1, 400
 
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
@@ -149,8 +158,8 @@ def needed(s: int, t: int) -> int:
     return -(-PERCENT * (s + t) // (100 + PERCENT))
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that many documents hold, sorted: each task counts all that it reads."""
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents hold, sorted, and in how many they were seen: each task counts all that it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -169,8 +178,10 @@ def frequent(docs: DataFrame) -> np.ndarray:
             yield counted()
 
     counts = docs.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MAX).select("token").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64))
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MAX).select("token", "n").toArrow()
+    token, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
 
 
 def prefix(s: np.ndarray, late: np.ndarray) -> np.ndarray:
@@ -203,8 +214,13 @@ def described(docs: DataFrame, late: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, n int, d1 bigint, d2 bigint, prefix binary")
 
 
-def lists(reps: DataFrame, parts: int) -> DataFrame:
-    """The inverted lists of at least two documents, in pieces: token, least (document), ids, sizes."""
+def lists(reps: DataFrame, parts: int, hot: np.ndarray, pieces: np.ndarray) -> DataFrame:
+    """The inverted lists of at least two documents, in pieces: token, total (documents of the list), least (document), least_size, ids, sizes.
+
+    hot: shingles (sorted) whose lists are gathered in several pieces, by document, and in how many.
+    """
+    first = np.concatenate([[0], np.cumsum(pieces)]).astype(np.int64)  # pieces are parts of their own, behind the others
+    owner = np.repeat(hot, pieces)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,9 +231,15 @@ def lists(reps: DataFrame, parts: int) -> DataFrame:
             token = np.concatenate(sets)
             doc, size = np.repeat(b.column(0).to_numpy(), lens), np.repeat(b.column(1).to_numpy(), lens)
             part = (token % np.uint64(parts)).astype(np.int64)
+            if len(hot):
+                k = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                many = hot[k] == token
+                salt = (_mix(doc[many].view(np.uint64)) % pieces[k[many]].astype(np.uint64)).astype(np.int64)
+                part[many] = parts + first[k[many]] + salt
             order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, order[cut[p] : cut[p + 1]]) for p in range(parts) if cut[p] < cut[p + 1]]
+            at = order[np.concatenate([[True], part[order][1:] != part[order][:-1]])]
+            cut = np.append(np.searchsorted(part[order], part[at]), len(order))
+            rows = [(int(part[i]), order[cut[j] : cut[j + 1]]) for j, i in enumerate(at)]
             short = (token // np.uint64(parts) & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # within its part
             runs = []
             for _, at in rows:  # consecutive postings of one document share its id
@@ -244,21 +266,38 @@ def lists(reps: DataFrame, parts: int) -> DataFrame:
             token, doc, size = token[order], doc[order], size[order]
             begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             end = np.concatenate([begin[1:], [len(token)]])
-            many = end - begin > 1
-            begin, end = begin[many], end[many]
+            name = owner[[p - parts]].view(np.int64) if p >= parts else token[begin].astype(np.int64) * parts + p
+            many = (end - begin > 1) | (p >= parts)
+            begin, end, name = begin[many], end[many], name[many]
             for i in range(0, len(begin), 20_000):
-                rows = [(a, x, min(e, x + 65_536)) for a, e in zip(begin[i : i + 20_000], end[i : i + 20_000], strict=True) for x in range(a, e, 65_536)]
-                sizes = np.array([e - x for _, x, e in rows])
-                at = np.concatenate([np.arange(x, e) for _, x, e in rows])
+                rows = [(k, a, x, min(e, x + PIECE)) for k, a, e in zip(name[i : i + 20_000], begin[i : i + 20_000], end[i : i + 20_000], strict=True) for x in range(a, e, PIECE)]
+                sizes = np.array([e - x for _, _, x, e in rows])
+                at = np.concatenate([np.arange(x, e) for _, _, x, e in rows])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                top = [a for _, a, _, _ in rows]
+                total = {a: e - a for a, e in zip(begin[i : i + 20_000], end[i : i + 20_000], strict=True)}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(token[x]) * parts + p for _, x, _ in rows], pa.int64()), pa.array(doc[[a for a, _, _ in rows]]), pa.array(size[[a for a, _, _ in rows]]),
+                    [pa.array([int(k) for k, _, _, _ in rows], pa.int64()), pa.array([int(total[a]) for a in top], pa.int64()), pa.array(doc[top]), pa.array(size[top]),
                      pa.ListArray.from_arrays(offsets, pa.array(doc[at])), pa.ListArray.from_arrays(offsets, pa.array(size[at]))],
-                    ["token", "least", "least_size", "ids", "sizes"],
+                    ["token", "total", "least", "least_size", "ids", "sizes"],
                 )
+        slim()
 
     packed = reps.select("id", "n", "prefix").mapInArrow(pack, "part int, tokens binary, docs binary, sizes binary, runs binary")
-    return packed.repartition(parts, "part").mapInArrow(unpack, "token bigint, least bigint, least_size int, ids array<bigint>, sizes array<int>")
+    return packed.repartition(parts, "part").mapInArrow(unpack, "token bigint, total bigint, least bigint, least_size int, ids array<bigint>, sizes array<int>")
+
+
+def whole_lists(found: DataFrame, hot: np.ndarray) -> DataFrame:
+    """found (a stored table) with the total and the least document of each whole list for those that were gathered in several pieces."""
+    if not len(hot):
+        return found
+    names = F.broadcast(found.sparkSession.createDataFrame([(int(t),) for t in hot.view(np.int64)], "token bigint"))
+    parted = found.join(names, "token", "left_semi")
+    # Pieces of one list repeat their total in each of their rows: the least row of a piece counts.
+    each = parted.groupBy("token", "least").agg(F.max("total").alias("total"), F.max("least_size").alias("least_size"))
+    whole = each.groupBy("token").agg(F.sum("total").alias("total"), F.min(F.struct("least", "least_size")).alias("m")).select("token", "total", "m.*")
+    mended = parted.select("token", "ids", "sizes").join(whole, "token").where(F.col("total") > 1)
+    return found.join(names, "token", "left_anti").unionByName(mended)
 
 
 _PAIRS = "a bigint, b bigint, na int, nb int, c bigint"
@@ -297,7 +336,7 @@ def stars(found: DataFrame) -> DataFrame:
 
 
 def central_stars(postings: DataFrame) -> DataFrame:
-    """Pairs of each list's most central document with its others; postings (token, id, n, score), sorted by token in each partition.
+    """Pairs of the most central document of each list (up to CROSS of its documents) with its others; postings (token, id, n, score), sorted by token in each partition.
 
     Of a group of near copies the one that the others were made from stands in the longest lists.
     """
@@ -339,16 +378,20 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 
 
 def across(postings: DataFrame) -> DataFrame:
-    """All pairs of different components within the lists of postings (token, id, n, comp), sorted by token in each partition."""
+    """All pairs of different components within the blocks of lists of postings (token, id, n, comp, side), sorted by token (which names a block) in each partition.
 
-    def cross(doc, size, comp, held) -> int:
+    Both sides of a pair differ in `side`, unless all of the block are equal.
+    """
+
+    def cross(doc, size, comp, side, held) -> int:
         made = 0
         order = np.argsort(size, kind="stable")
-        doc, size, comp = doc[order], size[order].astype(np.int64), comp[order]
+        doc, size, comp, side = doc[order], size[order].astype(np.int64), comp[order], side[order]
         far = np.searchsorted(size, size * 100 // PERCENT, side="right")  # partners that are not too large
+        one = side.min() == side.max()
         for i in range(len(doc) - 1):
             j = slice(i + 1, far[i])
-            other = comp[j] != comp[i]
+            other = comp[j] != comp[i] if one else (comp[j] != comp[i]) & (side[j] != side[i])
             if other.any():
                 x, nx = doc[j][other], size[j][other]
                 low = x < doc[i]
@@ -362,19 +405,51 @@ def across(postings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
         n = 0
-        for token, doc, size, comp in _whole_lists(batches):
+        for token, doc, size, comp, side in _whole_lists(batches):
             begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             end = np.concatenate([begin[1:], [len(token)]])
             for k in np.flatnonzero(np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)):
                 a, e = begin[k], end[k]
-                n += cross(doc[a:e], size[a:e], comp[a:e], held)
+                n += cross(doc[a:e], size[a:e], comp[a:e], side[a:e], held)
                 if n > 1_000_000:
                     yield _pair_batch(*held)
                     held, n = [[], [], [], []], 0
         if n:
             yield _pair_batch(*held)
 
-    return postings.select("token", "id", "n", "comp").mapInArrow(run, _PAIRS)
+    return postings.select("token", "id", "n", "comp", "side").mapInArrow(run, _PAIRS)
+
+
+def n_long(t: int, longest: int) -> int:
+    """DivideSkip's number of long lists for a needed overlap of t."""
+    return min(t - 1, int(t / (MU * math.log2(max(2, longest)) + 1)))
+
+
+def merged(lists: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members (below n) of sorted lists, sorted, and how many lists hold each."""
+    if sum(map(len, lists)) > HEAP:
+        count = np.bincount(np.concatenate(lists), minlength=n)
+        return (found := np.flatnonzero(count)), count[found]
+    members, counts = [], []
+    for m in heapq.merge(*(x.tolist() for x in lists)):
+        if members and members[-1] == m:
+            counts[-1] += 1
+        else:
+            members.append(m)
+            counts.append(1)
+    return np.array(members, np.int64), np.array(counts, np.int64)
+
+
+def probed(found: np.ndarray, have: np.ndarray, need: np.ndarray, long: list[np.ndarray]) -> np.ndarray:
+    """The members of found, held by `have` short lists, that binary search in the long lists brings to what they need."""
+    for k, members in enumerate(long):
+        on = have + (len(long) - k) >= need
+        found, have, need = found[on], have[on], need[on]
+        if not len(found):
+            break
+        if len(members):
+            have = have + (members[np.minimum(np.searchsorted(members, found), len(members) - 1)] == found)
+    return found[have >= need]
 
 
 def t_occurrence(query: np.ndarray, members: list[np.ndarray]) -> list[int]:
@@ -390,29 +465,12 @@ def t_occurrence(query: np.ndarray, members: list[np.ndarray]) -> list[int]:
     order = np.lexsort((at, slot))
     slot, at = slot[order], at[order]
     begin = np.searchsorted(slot, np.arange(s + 1))
-    inverted = sorted((at[begin[k] : begin[k + 1]].tolist() for k in range(s)), key=len)
-    t = least(s)  # no member needs less
-    longest = len(inverted[-1])
-    n_long = min(t - 1, int(t / (MU * math.log2(max(2, longest)) + 1)))
-    short, long = inverted[: s - n_long], inverted[s - n_long :]
-    out, now, count = [], -1, 0
-    for m in heapq.merge(*[x for x in short if x], [len(members)]):  # the last is no member and ends the merge
-        if m != now:
-            if now >= 0 and _reaches(now, count, long, needed(s, len(members[now]))):
-                out.append(now)
-            now, count = m, 0
-        count += 1
-    return out
-
-
-def _reaches(m: int, count: int, long: list[list[int]], need: int) -> bool:
-    """Whether member m, found count times in the short lists, is found need times with the long ones."""
-    for k, x in enumerate(long):
-        if count >= need or count + len(long) - k < need:
-            break
-        i = bisect_left(x, m)
-        count += i < len(x) and x[i] == m
-    return count >= need
+    inverted = sorted((at[begin[k] : begin[k + 1]] for k in range(s)), key=len)
+    long = n_long(least(s), len(inverted[-1]))  # no member needs less
+    found, have = merged(inverted[: s - long], len(members))
+    sizes = np.array([len(m) for m in members])
+    need = -(-PERCENT * (s + sizes[found]) // (100 + PERCENT))
+    return probed(found, have, need, inverted[s - long :]).tolist()
 
 
 def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, once: bool) -> DataFrame:
@@ -487,30 +545,17 @@ class Family:
             self.root[self.root == max(a, b)] = min(a, b)
 
     def search(self, i: int, allowed: np.ndarray) -> np.ndarray:
-        """The allowed members that link with i and are in no component with it yet, by DivideSkip.
-
-        Short lists are merged by counting (they are long together here), long ones probed by binary
-        search for the members that can still reach their overlap.
-        """
+        """The allowed members that link with i and are in no component with it yet, by DivideSkip."""
         q = self.sets[i]
         k = np.searchsorted(self.token, q)  # all are there: q is a member
         k = k[np.argsort(self.end[k] - self.begin[k], kind="stable")]
-        n_long = least(len(q)) // 2
-        short, long = k[: len(k) - n_long], k[len(k) - n_long :]
-        count = np.bincount(np.concatenate([self.at[self.begin[x] : self.end[x]] for x in short]), minlength=len(self.sets))
-        both = self.size + len(q)
-        need = -(-PERCENT * both // (100 + PERCENT))
-        fit = np.minimum(self.size, len(q)) * 100 >= PERCENT * np.maximum(self.size, len(q))
-        found = np.flatnonzero(allowed & fit & (self.root != self.root[i]) & (count + n_long >= need))
-        have, need = count[found], need[found]
-        for n, x in enumerate(long):
-            if not len(found):
-                break
-            members = self.at[self.begin[x] : self.end[x]]
-            have = have + (members[np.minimum(np.searchsorted(members, found), len(members) - 1)] == found)
-            on = have + (n_long - n - 1) >= need
-            found, have, need = found[on], have[on], need[on]
-        return found
+        inverted = [self.at[self.begin[x] : self.end[x]] for x in k]
+        long = n_long(least(len(q)), len(inverted[-1]))
+        found, have = merged(inverted[: len(q) - long], len(self.sets))
+        size = self.size[found]
+        fit = allowed[found] & (self.root[found] != self.root[i]) & (np.minimum(size, len(q)) * 100 >= PERCENT * np.maximum(size, len(q)))
+        found, have, size = found[fit], have[fit], size[fit]
+        return probed(found, have, -(-PERCENT * (size + len(q)) // (100 + PERCENT)), inverted[len(q) - long :])
 
     def links(self, side: np.ndarray) -> list[tuple[int, int]]:
         """Links that connect what is linked, within one side, or between two; central documents first, so that groups meet early."""
@@ -595,7 +640,8 @@ def _related():
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each row of df."""
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = stored(described(docs, frequent(docs)), "sets")
+    late, seen = frequent(docs)
+    rows = stored(described(docs, late), "sets")
     usable = rows.where(F.col("d1").isNotNull() & F.col("doc").isNotNull())
     classes = stored(usable.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max(F.octet_length("prefix")).alias("size")), "classes")
     copies = usable.select("doc", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where(F.col("doc") != F.col("rep")).select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
@@ -604,25 +650,34 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     postings = (classes.agg(F.sum("size")).first()[0] or 0) // 8
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-postings // PART))
-    found = stored(lists(reps, parts), "lists")
+    hot, pieces = late[seen > PIECE], -(-seen[seen > PIECE] // PIECE)
+    raw = stored(lists(reps, parts, hot, pieces), "lists")
+    found = whole_lists(raw, hot)
 
     # Proposals only shape the families: pairs between families are all found below.
-    each = found.select("token", F.size("ids").alias("len"), F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select("token", "len", F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"))
-    score = each.groupBy("id").agg((F.sum("len") / F.max("n")).alias("score"))
-    central = central_stars(each.select("token", "id", "n").join(score, "id").repartition("token").sortWithinPartitions("token"))
+    each = found.select("token", "total", F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select("token", "total", F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"))
+    score = each.groupBy("id").agg((F.sum("total") / F.max("n")).alias("score"))
+    sides = F.ceil(F.col("total") / CROSS).cast("int")
+    side = F.pmod(F.xxhash64("id"), sides).cast("int")
+    central = each.select(F.xxhash64("token", side).alias("token"), "id", "n").join(score, "id")
+    central = central_stars(central.repartition("token").sortWithinPartitions("token"))
     proposed = stars(found).unionByName(central).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "na": F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")), "nb": F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))})
     first = stored(proposed.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(_related()).select("a", "b"), "stars")
     once = reps.count() <= classes.count()
     families = stored(components(first), "families")
     near = stored(within(families, owners, docs, once), "links")
 
-    still = each.select("token", "id", "n").join(families, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
+    # Each block of a list meets itself and every other one.
+    still = each.select("token", "id", "n", side.alias("side"), sides.alias("sides")).join(families, "id", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    still = still.select(F.xxhash64("token", F.least("side", "other"), F.greatest("side", "other")).alias("token"), "id", "n", F.coalesce("component", "id").alias("comp"), "side")
     mixed = across(still.repartition("token").sortWithinPartitions("token")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     second = stored(mixed.where(_enough("c")).select("a", "b"), "pairs")
+    discard(first, raw)
     more = stored(verified(second, owners, docs, once), "links")
 
     by_doc = near.unionByName(more)
     by_doc = by_doc.join(owners.withColumnRenamed("doc", "x"), F.col("a") == F.col("id")).drop("id").join(owners.withColumnRenamed("doc", "y"), F.col("b") == F.col("id")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     whole = components(by_doc.unionByName(copies))
+    discard(families, second, near, more)
     out = rows.select("doc", "n").join(whole, F.col("doc") == F.col("id"), "left")
     return out.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))

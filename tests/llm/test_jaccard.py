@@ -50,12 +50,15 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_against_all_pairs(spark, seed, monkeypatch):
     if seed == 2:  # frequent shingles last
         monkeypatch.setattr(jaccard, "COMMON", 4)
         monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
         monkeypatch.setattr(jaccard, "FAMILY", 3)
+    if seed == 3:  # lists in pieces, and paired in blocks
+        for name, value in (("LOCAL", 2), ("COMMON", 4), ("PIECE", 5), ("CROSS", 3), ("HEAP", 0)):
+            monkeypatch.setattr(jaccard, name, value)
     rows = list(enumerate(texts(seed)))
     rows += [rows[30], rows[30], (31, "quite another text of six words"), (500, "quite another text of six words"), (None, rows[31][1])]
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, n int, id int").repartition(5)
@@ -64,7 +67,7 @@ def test_against_all_pairs(spark, seed, monkeypatch):
     assert got == sorted(want, key=str)
 
 
-def test_search_and_empty(spark):
+def test_search_and_empty(spark, monkeypatch):
     r = np.random.default_rng(4)
     for _ in range(60):
         base = np.unique(r.integers(0, 400, r.integers(1, 120)).astype(np.uint64))
@@ -74,5 +77,8 @@ def test_search_and_empty(spark):
             members.append(np.unique(np.concatenate([keep, r.integers(0, 400, r.integers(0, 12)).astype(np.uint64)])))
         want = [i for i, m in enumerate(members) if 100 * len(np.intersect1d(base, m)) >= 80 * len(np.union1d(base, m))]
         assert jaccard.t_occurrence(base, members) == want
+        monkeypatch.setattr(jaccard, "HEAP", r.choice([0, 400, 1 << 30]))
+        family = jaccard.Family([*members, base])
+        assert family.search(30, np.ones(31, bool)).tolist() == want
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(df).count() == 0
