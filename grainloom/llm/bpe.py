@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slim
+
 #: Unsplit text from this length on is encoded by tree concatenation.
 LONG = 4096
 #: Length of a leaf of the tree.
@@ -177,6 +179,7 @@ def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             ids = [[int(i) for e in bpe.encode(t) for i in e[1].split(" ")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
         bpe.forget()
+        slim()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -211,5 +214,6 @@ def digest_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 decoded.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.forget()
+        slim()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
