@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: What stored() wrote since the innermost scope() began.
+#: What stored() wrote since the innermost settled() began.
 _WRITTEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
 
 
@@ -49,7 +49,7 @@ def _file_system(spark: SparkSession, path: str):
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: a cut in the lineage that outlives executors.
 
-    The table goes when discard() or a scope() removes it, or else when the application ends.
+    The table goes when discard() or settled() removes it, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -76,17 +76,27 @@ def discard(*tables: DataFrame | None) -> None:
             _remove(df.sparkSession, path)
 
 
-@contextmanager
-def scope():
-    """Deletes, at its end, what stored() wrote within it."""
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """stored(make()), after which all else that was stored on the way is deleted."""
     outer = _WRITTEN.set([])
+    out = None
     try:
-        yield
+        out = stored(make(), label)
+        return out
     finally:
         written = _WRITTEN.get()
         _WRITTEN.reset(outer)
         for spark, path in written:
-            _remove(spark, path)
+            if out is None or path != out.stored_at:
+                _remove(spark, path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slim() -> None:
