@@ -10,16 +10,18 @@ empty text; rows are near copies by their own texts, so rows that share a
 doc_id but not a text count as different documents, and of rows that
 repeat a text one stays (null and blank texts have no copies: all stay);
 rows with a null doc_id are nobody's copies and stay; empty tables give
-empty results; extra columns of documents pass through.
+empty results; extra columns of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainloom.llm import bpe, decontam, jaccard, pii, toxicity
-from grainloom.llm.common import stored, table
+from grainloom.llm.common import discard, fresh, settled, stored, table
 from grainloom.llm.registry import vocabulary_path
 
 #: Rejected keys are broadcast up to this number (about 50 bytes each), and joined by shuffle beyond.
@@ -37,26 +39,28 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose texts link by n-gram Jaccard similarity, directly or through others, one with the smallest doc_id stays."""
-    row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
-    rows = stored(docs.withColumns({"_row": row, "_hash": F.xxhash64(*docs.columns)}), "rows")
-    moved = stored(jaccard.join(rows, "_row").where(F.col("_row") != F.col("component_id")).select("_row", "component_id"), "moved")
-    members = moved.unionByName(moved.select(F.col("component_id").alias("_row"), "component_id").distinct())
-    members = stored(rows.select("_row", "doc_id", "_hash").join(_few(members), "_row"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", "_row")).alias("_first")).select("_first._row")
-    gone = stored(members.join(_few(first), "_row", "left_anti").select("_row"), "gone")
-    return rows.join(_few(gone), "_row", "left_anti").select(*docs.columns)
+    row, digest = fresh(docs, "row"), fresh(docs, "digest")
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = stored(docs.withColumns({row: number, digest: F.xxhash64(*docs.columns)}), "rows")
+    moved = stored(jaccard.join(rows, row).where(F.col(row) != F.col("component_id")).select(F.col(row).alias("at"), "component_id"), "moved")
+    members = moved.unionByName(moved.select(F.col("component_id").alias("at"), "component_id").distinct())
+    members = stored(rows.select(F.col(row).alias("at"), F.col("doc_id").alias("id"), F.col(digest).alias("digest")).join(_few(members), "at"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "digest", "at")).alias("first")).select("first.at")
+    gone = stored(members.join(_few(first), "at", "left_anti").select(F.col("at").alias(row)), "gone")
+    return rows.join(_few(gone), row, "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark text go."""
+    key, digest = fresh(docs, "key"), fresh(docs, "digest")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    bad = _few(stored(found.select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h")).distinct(), "contaminated"))
-    return docs.join(bad, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti")
+    bad = _few(stored(found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct(), "contaminated"))
+    return docs.join(bad, (F.xxhash64("text") == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kinds in brackets; n_chars follows."""
-    text = F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), pii.spans_of(F.col("text"))))
+    """Spans of personal data whose scores reach pii.MIN_SCORE are replaced by their kinds in brackets; n_chars follows."""
+    text = F.when(F.col("text").isNotNull(), pii.redacted("text", pii.spans_of("text")))
     out = docs.withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -82,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, settled(partial(stage, spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
