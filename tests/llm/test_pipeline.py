@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra int, row int, digest string, key int, _k int, _row int, at int, id int"
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def folder(spark, tmp_path_factory):
     rows += [[304, None, None, None, None, None], [305, "", "en", "a", 0, 1], [306, say(50), "en", "a", 0, 1], [306, say(45), "en", "a", 0, 1], [None, say(30), "en", "a", 0, 1], [None, bench, "en", "a", 0, 1]]
     rows.append(list(rows[246]))
     rows.append(list(rows[246]))
-    spark.createDataFrame([tuple(x) for x in rows], SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(*x, 1, "c", 1, 1, 1, 1, 1) for x in rows], SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, bench), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d, rows
@@ -51,8 +51,9 @@ def test_stages(spark, folder):
     assert ids(clean) == sorted((r[0] for r in rows if not (r[0] is not None and r[0] < 240 and r[0] % 4 == 0)), key=str)
     one = stage["ngram_jaccard"](spark, clean, d).cache()
     assert one.columns == columns
-    kept = [r[0] for r in rows if r[0] is None or (r[0] >= 240 or r[0] % 4) and r[0] not in (300, 301)]
-    assert ids(one) == sorted([x for x in kept if x is None] + list({x for x in kept if x is not None}), key=str)
+    kept = [(r[0], r[1]) for r in rows if r[0] is None or (r[0] >= 240 or r[0] % 4) and r[0] not in (300, 301)]
+    # One row of each text that repeats; both unrelated texts of doc_id 306.
+    assert ids(one) == sorted([None for i, _ in kept if i is None] + [i for i, _ in {x for x in kept if x[0] is not None}], key=str)
     sound = stage["decontamination"](spark, one, d).cache()
     assert sound.columns == columns and ids(sound) == sorted([x for x in ids(one) if x not in (302, None)] + [None], key=str)
     safe = stage["pii"](spark, sound, d).cache()
@@ -77,7 +78,7 @@ def test_near_duplicates_by_row(spark, tmp_path):
     say = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(40))
     first, again, *own = (say() for _ in range(12))
     rows = [(1, first), (2, say()), (7, first + " more"), *((7, t) for t in own), (7, own[0]), (8, own[1]), (9, again), (9, again + " more"), (7, None), (7, None), (None, first)]
-    spark.createDataFrame([(i, t, "en", "a", len(t or ""), 1) for i, t in rows], SCHEMA).repartition(3).write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([(i, t, "en", "a", len(t or ""), 1, 1, "c", 1, 1, 1, 1, 1) for i, t in rows], SCHEMA).repartition(3).write.parquet(str(tmp_path / "docs"))
     out = corpus_pipeline.keep_one_of_each_group(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
     got = sorted(((x.doc_id, x.text) for x in out), key=str)
     nine = [t for i, t in got if i == 9]
