@@ -876,4 +876,4 @@ def json_properties(spark, d):
     return read(spark, d, "events").select("event_id", F.coalesce(k, F.lit(0)).cast("long").alias("k"), r(text.clamp(F.col("value") / 100), 6).alias("clamped"))
 
 
-from . import composite  # noqa: E402, F401  registers more queries
+from . import composite, files  # noqa: E402, F401  register more queries

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, learn
 from ..sources import readers, writers
 from ..streaming import streams
 from .catalogue import events, items, query, read
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder in the place that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/work-{uuid.uuid4().hex}"
+from .files import work_dir
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def ndjson_ingest(spark, d):
     """Written as lines of JSON and read with a schema."""
-    path = f"{work_dir(spark)}.jsonl"
+    path = f"{work_dir(spark)}/t.jsonl"
     writers.write_table(read(spark, d, "conversations"), path)
     return readers.read_ndjson(spark, path, "conv_id bigint, turn bigint, role string, text string")
 
@@ -31,7 +22,7 @@ def ndjson_ingest(spark, d):
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_round_trip(spark, d):
     """Through compressed CSV with a stated schema."""
-    path = f"{work_dir(spark)}.csv.gz"
+    path = f"{work_dir(spark)}/t.csv.gz"
     writers.write_table(read(spark, d, "customer"), path)
     return readers.read_any(spark, path, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
 
@@ -39,7 +30,7 @@ def csv_round_trip(spark, d):
 @query("SELECT p_partkey, p_name AS name, count(DISTINCT l_suppkey) AS supplier_count FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL")
 def xml_ingest(spark, d):
     """Records with nested lists through XML."""
-    path = f"{work_dir(spark)}.xml"
+    path = f"{work_dir(spark)}/t.xml"
     lines = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("supplier"))
     rows = read(spark, d, "part").join(lines, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", F.col("p_name").alias("name"), F.struct("supplier").alias("suppliers"))
     rows.write.format("xml").option("rowTag", "item").option("rootTag", "items").save(path)

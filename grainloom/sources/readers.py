@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,10 @@ def read_zip_members(spark: SparkSession, path: str, suffix: str, schema: str, o
                     for n in found:
                         with z.open(n) as f:
                             if n.endswith(".parquet"):
-                                yield pd.read_parquet(io.BytesIO(f.read()))[names].astype(object)
+                                part = pq.read_table(io.BytesIO(f.read()))
+                                if absent := set(names) - set(part.column_names):
+                                    raise ValueError(f"{where}: {n} lacks {sorted(absent)}")
+                                yield pa.table({c: part[c].cast(pa.string()) for c in names}).to_pandas()
                             else:
                                 for chunk in pd.read_csv(f, dtype=str, chunksize=50_000, keep_default_na=False):
                                     yield chunk[names]
