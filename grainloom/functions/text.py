@@ -35,13 +35,18 @@ def _unicode_words(s: pd.Series) -> pd.Series:
     return s.str.lower().str.replace(r"[^\w%]+", " ", regex=True).str.strip()
 
 
+def _beyond_ascii(c: Column) -> Column:
+    """c where it is not ASCII, else null: only such texts travel to Python."""
+    return F.when(F.octet_length(c) != F.length(c), c)
+
+
 def normalize(c: Column, ascii_only: bool = False) -> Column:
     """folded to ASCII, lower case, everything but letters, digits and % one space. Null is the empty string.
 
     ascii_only: the input is known to be ASCII, so no Python is needed.
     """
     c = F.coalesce(c, F.lit(""))
-    return F.trim(F.regexp_replace(F.lower(c if ascii_only else _ascii_fold(c)), "[^a-z0-9%]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c if ascii_only else F.coalesce(_ascii_fold(_beyond_ascii(c)), c)), "[^a-z0-9%]+", " "))
 
 
 def normalize_unicode(c: Column) -> Column:

@@ -58,6 +58,62 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(w.lower())) for w in words)) if words else F.lit(True)
 
 
+def between(df: DataFrame, column: str, a: float, b: float) -> DataFrame:
+    """Rows within both bounds, each from 0 to 1, in either order."""
+    low, high = sorted(min(1.0, max(0.0, x)) for x in (a, b))
+    return df.where(F.col(column).between(low, high))
+
+
+def keyed(df: DataFrame, column: str, prefix: str, name: str) -> DataFrame:
+    """Rows whose key has the prefix, with what stands behind it."""
+    return df.where(F.startswith(F.col(column), F.lit(prefix))).withColumn(name, F.substring(column, len(prefix) + 1, 1 << 30))
+
+
+def complete(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that have all keys, and anything at all."""
+    return df.na.drop(subset=keys).na.drop("all")
+
+
+def classified(columns: list[str], rules: list[tuple[str, str]], other: str) -> list[tuple[str, str]]:
+    """(column, family) by the first pattern that a name has."""
+    import re
+
+    return [(c, next((family for pattern, family in rules if re.search(pattern, c, re.I)), other)) for c in columns]
+
+
+def approved_targets(df: DataFrame, wanted: list[str], strict: bool = True) -> list[str]:
+    """The wanted columns that exist and are numeric; strict: all must."""
+    good = [c for c in wanted if c in numeric_columns(df)]
+    if strict and good != wanted:
+        raise KeyError(f"no numeric columns: {[c for c in wanted if c not in good]}")
+    return good
+
+
+def labelled_edges(edges: DataFrame, relations: list[str], words: list[str], label: str) -> DataFrame:
+    """Edges of the relations kept whole, and others whose label holds a word."""
+    return edges.where(F.col("relation").isin(relations) | contains_any(F.col(label), words)) if words else edges.where(F.col("relation").isin(relations))
+
+
+def stamped(df: DataFrame, name: str = "generated_at") -> DataFrame:
+    """The time of the run, as ISO text in UTC."""
+    return df.withColumn(name, F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def shaped(df: DataFrame, key: str, long: tuple[str, str] | None, values: list[str] | None = None) -> DataFrame:
+    """Means by key of a long table (names and values of its columns given) or of a wide one."""
+    if long:
+        return df.groupBy(key).pivot(long[0], values).agg(F.avg(long[1]))
+    return df.groupBy(key).agg(*(F.avg(c).alias(c) for c in numeric_columns(df, (key,))))
+
+
+def remapped(df: DataFrame, key: str, lookup: DataFrame, least: float = 0.5) -> DataFrame:
+    """Keys replaced by a lookup (old, new) if it knows at least that share of the rows' keys, else left."""
+    old = lookup.select(F.col("old").alias(key), "new").dropDuplicates([key])
+    found = df.join(old, key, "left")
+    rate = found.agg(F.avg(F.col("new").isNotNull().cast("int")).alias("_rate"))  # one row
+    return found.crossJoin(F.broadcast(rate)).withColumn(key, F.when(F.coalesce(F.col("_rate"), F.lit(0.0)) >= least, F.col("new")).otherwise(F.col(key))).drop("new", "_rate")
+
+
 def joined_tables(tables: list[DataFrame], key: str) -> DataFrame:
     """Left fold on key; columns that the left has already are dropped from the right."""
     out = tables[0]
@@ -139,7 +195,13 @@ def logging_quality(days: DataFrame, who: str, day: str, grams: str) -> DataFram
 
 
 def exposure_groups(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Extension: tertile, and top or bottom decile. df: a table already aggregated to participants."""
-    w = Window.orderBy(value, key)
-    rank = F.percent_rank().over(w)
-    return df.select(key, value, F.ntile(3).over(w).alias("tertile"), F.when(rank <= 0.1, "bottom").when(rank >= 0.9, "top").otherwise("middle").alias("decile_group"))
+    """Extension: tertile, and top or bottom decile, by value and key; ranks come without one task that sees all rows."""
+    from .windows import numbered
+
+    n = df.agg(F.count(F.lit(1)).alias("_t"))
+    at, total = F.col("_at"), F.col("_t")
+    size, more = F.floor(total / 3), total % 3
+    tertile = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    rank = F.coalesce(F.try_divide(at, total - 1), F.lit(0.0))
+    out = numbered(df.select(key, value), [value, key], "_at").crossJoin(F.broadcast(n))  # one row
+    return out.select(key, value, tertile.cast("int").alias("tertile"), F.when(rank <= 0.1, "bottom").when(rank >= 0.9, "top").otherwise("middle").alias("decile_group"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import covered
+from ..functions.numeric import covered, known
 from ..functions.text import canonical_id
 from .windows import first_of, running_share, usage_tier
 
@@ -30,9 +30,9 @@ def usage(items: DataFrame, logs: str, key: str = "canonical_id") -> DataFrame:
 
 
 def weighted_mean(value: str, weight: str) -> tuple[Column, Column]:
-    """(mean, observations): null weights count 1, negative ones 0; a plain mean if weights sum to 0."""
-    v = F.col(value).cast("double")
-    w = F.when(v.isNotNull(), F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(1.0)), F.lit(0.0)))
+    """(mean, observations): NaN and null values go, such weights count 1, negative ones 0; a plain mean if weights sum to 0."""
+    v = known(F.col(value).cast("double"))
+    w = F.when(v.isNotNull(), F.greatest(F.coalesce(known(F.col(weight).cast("double")), F.lit(1.0)), F.lit(0.0)))
     return F.coalesce(F.try_divide(F.sum(v * w), F.nullif(F.sum(w), F.lit(0.0))), F.avg(v)), F.count(v)
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import quantiles as ranks
 from .windows import top_k
 
 
@@ -66,11 +67,18 @@ def weighted_edges(edges: DataFrame, info: DataFrame, metric: str) -> DataFrame:
 
 def threshold_summary(weighted: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.975, 0.99)) -> DataFrame:
     """At each quantile of weights: edges kept, sources covered, median and tenth percentile of a source's edges; the highest that covers 95 % with a median of 20 is recommended, else 0.9."""
-    at = weighted.agg(F.percentile("weighted_value", F.array(*map(F.lit, quantiles))).alias("t"), F.count(F.lit(1)).alias("total"), F.countDistinct("source").alias("n_sources"))
-    at = at.select("total", "n_sources", F.explode(F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("quantile"), F.col("t").alias("threshold"))).alias("r")).select("total", "n_sources", "r.quantile", "r.threshold")
-    kept = weighted.select("source", "weighted_value").join(F.broadcast(at), F.col("weighted_value") >= F.col("threshold"))  # six rows
-    per = kept.groupBy("quantile", "threshold", "total", "n_sources", "source").agg(F.count(F.lit(1)).alias("n"))
-    out = per.groupBy("quantile", "threshold", "total", "n_sources").agg(F.sum("n").alias("edges_retained"), F.count(F.lit(1)).alias("sources_covered"), F.percentile("n", 0.5).alias("median_edges"), F.percentile("n", 0.1).alias("p10_edges"))
+    names = [f"t{i}" for i in range(len(quantiles))]
+    rows = weighted.select("source", "weighted_value").persist()  # read for the thresholds and for the counts
+    cuts = ranks(rows, "weighted_value", list(quantiles))
+    cuts = cuts.agg(*(F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(n) for q, n in zip(quantiles, names, strict=True)))
+    totals = rows.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("source").alias("n_sources"))
+    per = rows.crossJoin(F.broadcast(cuts)).groupBy("source").agg(*(F.count_if(F.col("weighted_value") >= F.col(n)).alias(n) for n in names))  # one row
+    each = F.array(*(F.struct(F.lit(q).alias("quantile"), F.col(n).alias("n")) for q, n in zip(quantiles, names, strict=True)))
+    per = per.select(F.explode(each).alias("e")).select("e.*").where("n > 0")
+    # Numbers of edges are few, so their quantiles are small aggregates.
+    out = per.groupBy("quantile").agg(F.sum("n").alias("edges_retained"), F.count(F.lit(1)).alias("sources_covered"), F.percentile("n", 0.5).alias("median_edges"), F.percentile("n", 0.1).alias("p10_edges"))
+    at = cuts.select(F.explode(F.array(*(F.struct(F.lit(q).alias("quantile"), F.col(n).alias("threshold")) for q, n in zip(quantiles, names, strict=True)))).alias("e")).select("e.*")
+    out = out.join(F.broadcast(at), "quantile").crossJoin(F.broadcast(totals))  # a row a quantile, and one
     viable = (F.col("sources_covered") >= 0.95 * F.col("n_sources")) & (F.col("median_edges") >= 20)
     best = out.agg(F.coalesce(F.max(F.when(viable, F.col("quantile"))), F.lit(0.9)).alias("_best"))
     return out.crossJoin(F.broadcast(best)).select("quantile", "threshold", "edges_retained", (F.col("edges_retained") / F.col("total")).alias("retained_fraction"), "sources_covered", "median_edges", "p10_edges", (F.col("quantile") == F.col("_best")).alias("recommended"))

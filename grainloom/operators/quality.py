@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import close
+from .windows import quantiles
 
 
 def checked_unique(df: DataFrame, key: list[str]) -> DataFrame:
@@ -27,16 +28,19 @@ def checked_join(a: DataFrame, b: DataFrame, key: list[str], how: str = "inner",
 
 
 def profile(df: DataFrame, columns: list[str], table: str) -> DataFrame:
-    """Rows, missing, zero, distinct, least, median and largest of numeric columns, in one pass over the long form."""
+    """Rows, missing, zero, distinct, least, median and largest of numeric columns, over the long form."""
     long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column", "value")
-    return long.groupBy("column").agg(
+    medians = quantiles(long, "value", [0.5], "column").select(F.col("column").alias("_c"), F.col("value").alias("median"))
+    out = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_present"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.count_if(F.col("value") == 0).alias("n_zero"),
-        F.countDistinct("value").alias("n_distinct"), F.min("value").alias("least"), F.percentile("value", 0.5).alias("median"), F.max("value").alias("largest"),
-    ).withColumn("table_name", F.lit(table))
+        F.countDistinct("value").alias("n_distinct"), F.min("value").alias("least"), F.max("value").alias("largest"),
+    )
+    out = out.join(F.broadcast(medians), F.col("column") == F.col("_c"), "left").drop("_c")  # a row a column
+    return out.select("column", "n_rows", "n_present", "n_missing", "n_zero", "n_distinct", "least", "median", "largest", F.lit(table).alias("table_name"))
 
 
 def panel_coverage(long: DataFrame, item: str = "item", value: str = "value") -> DataFrame:
-    """Share present and non-zero, and quantiles of the number of non-zero values of an item."""
+    """Share present and non-zero, and quantiles of the number of non-zero values of an item (as many different numbers as features at most)."""
     per = long.groupBy(item).agg(F.count(value).alias("present"), F.count_if(F.col(value) != 0).alias("nonzero"), F.count(F.lit(1)).alias("cells"))
     q = lambda p: F.percentile("nonzero", p)
     return per.agg(
@@ -48,10 +52,12 @@ def panel_coverage(long: DataFrame, item: str = "item", value: str = "value") ->
 def panel_agreement(a: DataFrame, b: DataFrame, key: list[str], by: str) -> DataFrame:
     """Of two long panels (key, value): differences and exact share by feature."""
     both = a.select(*key, F.col("value").alias("x")).join(b.select(*key, F.col("value").alias("y")), key).where("x is not null and y is not null").withColumn("d", F.abs(F.col("x") - F.col("y")))
-    return both.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_abs"), F.percentile("d", 0.5).alias("median_abs"), F.percentile("d", 0.95).alias("p95_abs"), F.max("d").alias("max_abs"),
+    out = both.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_abs"), F.max("d").alias("max_abs"),
         F.avg(F.when(F.col("y") != 0, F.col("d") / F.abs("y"))).alias("mean_rel"), (F.avg(close(F.col("x"), F.col("y")).cast("int")) * 100).alias("exact_pct"),
     )
+    q = quantiles(both, "d", [0.5, 0.95], by).groupBy(F.col(by).alias("_b")).agg(F.max(F.when(F.col("quantile") == 0.5, F.col("value"))).alias("median_abs"), F.max(F.when(F.col("quantile") == 0.95, F.col("value"))).alias("p95_abs"))
+    return out.join(F.broadcast(q), F.col(by).eqNullSafe(F.col("_b"))).select(by, "n", "mean_abs", "median_abs", "p95_abs", "max_abs", "mean_rel", "exact_pct")  # a row a feature
 
 
 def overall(df: DataFrame, value: str, weight: str) -> DataFrame:

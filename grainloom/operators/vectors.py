@@ -8,26 +8,29 @@ among an item's best.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import unit_vector
 from ..functions.text import evidence_tokens, hash_bucket, hash_sign
-from .windows import top_k
+from ..scratch import written
+from .windows import numbered, quantiles, top_k, z_scores
 
-#: Vectors of the smaller side that one broadcast block holds.
+#: Vectors of the query side that one broadcast block holds, about.
 BLOCK_ROWS = 50_000
 
 
 def numeric_block(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """log1p, medians for what is missing, sample z-scores, over the root of the number of columns."""
     logs = df.select(key, *(F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in columns))
-    medians = logs.agg(*(F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(f"_{c}") for c in columns))
+    each = logs.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("e")).select("e.*")
+    found = quantiles(each, "v", [0.5], "c")
+    medians = found.agg(*(F.coalesce(F.max(F.when(F.col("c") == c, F.col("value"))), F.lit(0.0)).alias(f"_{c}") for c in columns))
     full = logs.crossJoin(F.broadcast(medians)).select(key, *(F.coalesce(c, f"_{c}").alias(c) for c in columns))  # one row
-    from .windows import z_scores
-
     z = z_scores(full, columns)
     return z.select(key, *((F.col(c) / float(len(columns)) ** 0.5).alias(c) for c in columns))
 
@@ -38,24 +41,68 @@ def hashed_text(df: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame
     return counts.select(key, hash_bucket(F.col("token"), dims).alias("dim"), (hash_sign(F.col("token")) * F.log1p("n")).alias("v")).groupBy(key, "dim").agg(F.sum("v").alias("value"))
 
 
-def _blocks(df: DataFrame, id_col: str, vector: str, extra: list[str]) -> list[pd.DataFrame]:
-    rows = df.select(id_col, vector, *extra).orderBy(id_col)
-    n = rows.count()
-    if n > BLOCK_ROWS:
-        raise ValueError(f"{n} rows on the broadcast side; split it into sets of {BLOCK_ROWS} and keep the best of their results")
-    return rows.toPandas()
+def text_block(df: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
+    """Key and block: the hashed counts as an array, each dimension less its mean over its population deviation, over the root of dims."""
+    held = hashed_text(df, key, text, dims).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
+    rows = df.select(key).distinct().join(held, key, "left").select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("_v"))
+    return standardised(rows, key, "_v", "block", float(dims) ** 0.5)
+
+
+def standardised(rows: DataFrame, key: str, vector: str, name: str, over: float = 1.0, shared: DataFrame | None = None) -> DataFrame:
+    """Key and name: each dimension less its mean over its population deviation (0 counts as 1), of rows or of `shared`."""
+    each = (shared or rows).select(F.posexplode(vector).alias("i", "x"))
+    stats = each.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).select(F.struct("i", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(F.lit(1.0)).alias("s")).alias("t"))
+    stats = stats.agg(F.array_sort(F.collect_list("t")).alias("_t"))  # a row of as many entries as dimensions
+    return rows.crossJoin(F.broadcast(stats)).select(key, F.zip_with(vector, "_t", lambda x, t: (x - t["m"]) / t["s"] / over).alias(name))
+
+
+def shared_log_matrices(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Key and vector of two tables: log1p, standardised by the mean and deviation of both together, of length 1; missing values count 0."""
+    logs = lambda df: df.select(key, F.array(*(F.log1p(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in columns)).alias("_v"))
+    x, y = logs(a), logs(b)
+    both = x.select("_v").unionByName(y.select("_v"))
+    done = lambda df: standardised(df, key, "_v", "vector", shared=both).withColumn("vector", unit_vector(F.col("vector")))
+    return done(x), done(y)
+
+
+def blocks_of(df: DataFrame, key: str, blocks: dict[str, list[str]], text: str, dims: int = 64) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """Key and vector: numeric blocks (M01) and a hashed text block (F19) one after another, and the dimensions of each."""
+    out = df.select(key)
+    for name, columns in blocks.items():
+        part = numeric_block(df, key, columns).select(key, F.array(*columns).alias(name))
+        out = out.join(part, key)
+    out = out.join(text_block(df, key, text, dims).withColumnRenamed("block", "text"), key)
+    return out.select(key, F.concat(*blocks, "text").alias("vector")), [*((n, len(c)) for n, c in blocks.items()), ("text", dims)]
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, skip_same_group: bool = False) -> DataFrame:
     """(query_id, base_id, base_group, cosine, rank): the k best of all base rows, or of each group; a row is not its own neighbour.
 
-    queries are broadcast (a size that is checked), base is scanned once, and each of its partitions
-    returns its own best only.
+    Queries are broadcast in blocks of about BLOCK_ROWS; for each block base is scanned once, and each
+    of its partitions returns its own best only. With several blocks each one's result is written.
     """
+    usable = queries.where(F.col(vector).isNotNull())
+    blocks = max(1, -(-usable.count() // BLOCK_ROWS))
+    parts = []
+    for i in range(blocks):
+        found = _nearest(usable.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i) if blocks > 1 else usable, base, k, id_col, vector, group, skip_same_group)
+        parts.append(written(found) if blocks > 1 else found)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector: str, group: str | None, skip_same_group: bool) -> DataFrame:
     sent = queries.sparkSession.sparkContext.broadcast(_prepared(queries, id_col, vector, group))
+    each = bool(group) and not skip_same_group
+    kind = base.schema[id_col].dataType.simpleString()
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of each query (and group) the k best, ties by base id."""
+        pdf = pdf.sort_values(["cosine", "base_id"], ascending=[False, True], kind="stable")
+        return pdf.groupby(["query_id", "base_group"] if each else ["query_id"], sort=False).head(k)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, q, qg = sent.value
+        held: list[pd.DataFrame] = []
         for pdf in parts:
             pdf = pdf[pdf["v"].map(lambda x: x is not None and len(x) == q.shape[1])]
             if pdf.empty:
@@ -64,27 +111,30 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id",
             b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
             bid, bg = pdf["id"].to_numpy(), pdf["g"].to_numpy()
             for at in range(0, len(q), 512):
-                s = q[at : at + 512] @ b.T
+                s = np.round(q[at : at + 512] @ b.T, 9)
                 s[bid[None, :] == qid[at : at + 512, None]] = -np.inf
                 if skip_same_group:
                     s[bg[None, :] == qg[at : at + 512, None]] = -np.inf
-                for g in pd.unique(bg) if group and not skip_same_group else [None]:
+                for g in pd.unique(bg) if each else [None]:
                     cols = np.arange(len(bid)) if g is None else np.flatnonzero(bg == g)
+                    cols = cols[np.argsort(bid[cols], kind="stable")]  # so that ties go to the smaller id
                     part = s[:, cols]
                     top = np.argsort(-part, axis=1, kind="stable")[:, : min(k, len(cols))]
                     rows = np.repeat(np.arange(len(part)), top.shape[1])
                     out = pd.DataFrame({"query_id": qid[at : at + 512][rows], "base_id": bid[cols[top.ravel()]], "base_group": bg[cols[top.ravel()]], "cosine": part[rows, top.ravel()]})
-                    yield out[np.isfinite(out["cosine"])]
+                    held.append(out[np.isfinite(out["cosine"])])
+            if sum(map(len, held)) > 2 * k * max(1, len(q)):
+                held = [best(pd.concat(held))]
+        if held:
+            yield best(pd.concat(held))
 
-    kind = base.schema[id_col].dataType.simpleString()
     g = F.col(group).cast("string") if group else F.lit("")
-    found = base.select(F.col(id_col).alias("id"), g.alias("g"), F.col(vector).alias("v")).orderBy("id").mapInPandas(run, f"query_id {kind}, base_id {kind}, base_group string, cosine double")
-    found = found.withColumn("cosine", F.round("cosine", 9))
-    return top_k(found, ["query_id", "base_group"] if group and not skip_same_group else ["query_id"], [F.desc("cosine"), F.asc("base_id")], k)
+    found = base.select(F.col(id_col).alias("id"), g.alias("g"), F.col(vector).alias("v")).mapInPandas(run, f"query_id {kind}, base_id {kind}, base_group string, cosine double")
+    return top_k(found, ["query_id", "base_group"] if each else ["query_id"], [F.desc("cosine"), F.asc("base_id")], k)
 
 
 def _prepared(df: DataFrame, id_col: str, vector: str, group: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pdf = _blocks(df.where(F.col(vector).isNotNull()), id_col, vector, [group] if group else [])
+    pdf = df.select(id_col, vector, *([group] if group else [])).toPandas()  # about BLOCK_ROWS
     q = np.stack(pdf[vector].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
     return pdf[id_col].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12), (pdf[group].astype(str).to_numpy() if group else np.array([""] * len(pdf)))
 
@@ -138,8 +188,6 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 80) -> Da
     if not n:
         return rows.select(F.col("id").alias(key), F.lit(0).alias("cluster"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    from .windows import numbered
-
     at = sorted({round(i * (n - 1) / max(1, k - 1)) for i in range(k)})
     centres = np.array([r["v"] for r in numbered(rows.withColumn("norm", norm), ["norm", "id"], "ord").where(F.col("ord").isin(at)).orderBy("ord").collect()], np.float64)
 

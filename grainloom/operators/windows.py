@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group, ranked from 1."""
@@ -18,23 +20,53 @@ def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), by).alias("_r")).select(*key, "_r.*") if rest else df.distinct()
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "ordinal", start: int = 0) -> DataFrame:
-    """Consecutive numbers by order from start, without one task that sees all rows.
+def ranged(df: DataFrame, order: list[Column], value: str | None = None) -> DataFrame:
+    """df with _before, the rows before each one by order, or with `value` the sum of it up to and with each one; no task sees all rows.
 
-    Rows are range-partitioned, numbered within partitions, and offset by the counts before.
+    Rows are range-partitioned and written with their partition and place, so that the offsets, which
+    come from the sums of the partitions before, belong to the same partitions.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn("_i", within).join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_i") + start).cast("long")).drop("_p", "_i", "_before")
+    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    total = F.sum(value) if value else F.count(F.lit(1))
+    sums = parts.groupBy("_p").agg(total.alias("_n"))
+    offsets = sums.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # a row a partition
+    out = parts.join(F.broadcast(offsets), "_p")
+    within = F.sum(value).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)) if value else F.col("_i")
+    return out.withColumn("_before", F.col("_o") + within).drop("_p", "_i", "_o")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "ordinal", start: int = 0) -> DataFrame:
+    """Consecutive numbers by order from start."""
+    return ranged(df, [F.col(c) for c in order]).withColumn(name, (F.col("_before") + start).cast("long")).drop("_before")
 
 
 def running_share(df: DataFrame, value: str, tie: str, share: str = "cumulative_share") -> DataFrame:
-    """Running total over the grand total, by value downwards. df: a table already aggregated to its groups."""
-    w = Window.orderBy(F.desc(value), F.asc(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    """Running total over the grand total, by value downwards."""
     total = df.agg(F.sum(value).alias("_total"))
-    return df.withColumn("_run", F.sum(value).over(w)).crossJoin(F.broadcast(total)).withColumn(share, F.coalesce(F.try_divide("_run", "_total"), F.lit(0.0))).drop("_run", "_total")
+    out = ranged(df, [F.desc(value), F.asc(tie)], value).crossJoin(F.broadcast(total))  # one row
+    return out.withColumn(share, F.coalesce(F.try_divide("_before", "_total"), F.lit(0.0))).drop("_before", "_total")
+
+
+def quantiles(df: DataFrame, value: str, at: list[float], by: str | None = None) -> DataFrame:
+    """(by), quantile, value: exact, with linear interpolation between neighbours; nulls do not count. by: a column of few values.
+
+    Approximate quantiles cut the values into buckets; only the buckets that hold a wanted rank are ordered.
+    """
+    rows = df.where(F.col(value).isNotNull()).select((F.col(by) if by else F.lit(0)).alias("_g"), F.col(value).cast("double").alias("_v"))
+    cuts = rows.groupBy(F.col("_g").alias("_h")).agg(F.percentile_approx("_v", [i / 128 for i in range(1, 128)], 2000).alias("_c"))
+    placed = rows.join(F.broadcast(cuts), F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", F.size(F.filter("_c", lambda c: c < F.col("_v"))).alias("_b"))
+    sizes = placed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_g")
+    sizes = sizes.withColumns({"_s": F.sum("_n").over(w.orderBy("_b")) - F.col("_n"), "_t": F.sum("_n").over(w)})
+    place = (F.col("_t") - 1) * F.col("_q")
+    wanted = sizes.withColumn("_q", F.explode(F.array(*map(F.lit, at)))).withColumn("_k", F.explode(F.array(F.floor(place), F.ceil(place)))).where((F.col("_k") >= F.col("_s")) & (F.col("_k") < F.col("_s") + F.col("_n")))
+    wanted = wanted.select(F.col("_g").alias("_h"), F.col("_b").alias("_d"), (F.col("_k") - F.col("_s")).alias("_r"), "_q", (place - F.floor(place)).alias("_f")).distinct()
+    here = F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_b") == F.col("_d"))
+    counts = placed.join(F.broadcast(wanted.select("_h", "_d").distinct()), here, "left_semi").groupBy("_g", "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    counts = counts.withColumn("_e", F.sum("_m").over(Window.partitionBy("_g", "_b").orderBy("_v")))
+    found = counts.join(F.broadcast(wanted), here & (F.col("_r") < F.col("_e")) & (F.col("_r") >= F.col("_e") - F.col("_m")))
+    out = found.groupBy("_g", "_q").agg((F.min("_v") + (F.max("_v") - F.min("_v")) * F.max("_f")).alias("value")).withColumnRenamed("_q", "quantile")
+    return out.withColumnRenamed("_g", by) if by else out.drop("_g")
 
 
 def usage_tier(share: Column) -> Column:

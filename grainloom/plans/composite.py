@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features, learn
+from ..scratch import work_dir
 from ..sources import readers, writers
 from ..streaming import streams
 from .catalogue import events, items, query, read
-from .files import work_dir
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,29 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import quality
+from ..scratch import work_dir
 from ..sources import readers, sheets, writers
 from .catalogue import _EDGES, _NODES, edges, nodes, query, read
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder in the place that all executors share; it goes when the application ends."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = sc._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else None
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.gettempdir()
-    path = f"{base}/work-{uuid.uuid4().hex}"
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    return path
-
-
 def put(spark: SparkSession, path: str, content: bytes) -> str:
     """Writes one small file where Spark can read it."""
     sc = spark.sparkContext
@@ -275,12 +255,12 @@ def encoded_graph(spark, d):
     return packed.join(kinds, "relation").select("source_no", "target_no", "relation_no")
 
 
-@query("SELECT 'm1.txt' AS name, 12::BIGINT AS bytes, sha256('grain' || chr(10) || 'grain' || chr(10)) AS sha256 UNION ALL SELECT 'm2.txt', 0, sha256('')")
+@query("SELECT 'm1.txt' AS name, 12::BIGINT AS bytes, sha256('grain' || chr(10) || 'grain' || chr(10)) AS sha256 UNION ALL SELECT 'm2.txt', 4, sha256('loom')")
 def manifest_digests(spark, d):
     """Names, sizes and digests of files, computed where they are read."""
     folder = work_dir(spark)
     put(spark, f"{folder}/m1.txt", b"grain\n" * 2)
-    put(spark, f"{folder}/m2.txt", b"")
+    put(spark, f"{folder}/m2.txt", b"loom")
     return writers.file_digests(spark, folder)
 
 
