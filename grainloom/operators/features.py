@@ -136,6 +136,24 @@ def pivot_sum(df: DataFrame, key: list[str], name: str, value: str, most: int =
     return named.groupBy(*key).pivot("_n", values).agg(F.sum(value)).na.fill(0)
 
 
+def feature_table(matrix: DataFrame, pivoted: DataFrame, key: str) -> DataFrame:
+    """Pivoted columns beside a matrix; only they become 0 where an item has none."""
+    return matrix.join(pivoted, key, "left").na.fill(0, subset=[c for c in pivoted.columns if c != key])
+
+
+def design_matrix(mode: str, events: DataFrame, unit: str, items: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Features by participant and window: doses of columns (enriched), their means weighted by grams (kg), or mean vectors (embedding)."""
+    key = ["participant", "window_id"]
+    e = windowed(events, "ts", unit)
+    if mode == "enriched":
+        return exposure(e, items, columns, key)
+    if mode == "kg":
+        return exposure_mean(e, items, columns, key)
+    if mode == "embedding":
+        return assembled(vector_mean(e, items, key), key)
+    raise ValueError(mode)
+
+
 def exposure(events: DataFrame, items: DataFrame, features: list[str], key: list[str], item: str = "item", grams: str = "grams") -> DataFrame:
     """Sum of feature * grams / 100 by key; null features count 0 (N20), null keys go."""
     e = events.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))).join(items.select(item, *features), item, "left")

@@ -127,3 +127,16 @@ def derived(cells: DataFrame, sums: dict[str, list[str]], ratios: dict[str, tupl
     parts = [(n, sum((F.col(x) for x in xs[1:]), F.col(xs[0])), "+".join(xs)) for n, xs in sums.items()] + [(n, F.try_divide(F.col(a), F.col(b)), f"{a}/{b}") for n, (a, b) in ratios.items()]
     rows = F.array(*(F.struct(F.lit(n).alias("feature"), v.cast("double").alias("value"), F.lit(s).alias("lineage")) for n, v, s in parts))
     return wide.select("item", F.explode(rows).alias("_r")).select("item", "_r.*")
+
+
+def kept(df: DataFrame, column: str) -> DataFrame:
+    """Rows that are to be kept: yes, maybe, true or 1 in any letter case, or blank."""
+    return df.where(F.trim(F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))).isin("yes", "maybe", "true", "1", ""))
+
+
+def identities(sources: list[DataFrame], name: str, code: str) -> DataFrame:
+    """Each name of all sources with its smallest code, the number of its codes, and whether they conflict."""
+    from ..sources.readers import union_all
+
+    each = union_all([s.select(name, code) for s in sources]).distinct()
+    return each.groupBy(name).agg(F.count(F.lit(1)).alias("n_codes"), (F.count(F.lit(1)) > 1).alias("conflict"), F.min(code).alias(code))

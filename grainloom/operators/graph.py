@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .windows import quantiles as ranks
 from .windows import top_k
 
@@ -68,7 +69,7 @@ def weighted_edges(edges: DataFrame, info: DataFrame, metric: str) -> DataFrame:
 def threshold_summary(weighted: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.975, 0.99)) -> DataFrame:
     """At each quantile of weights: edges kept, sources covered, median and tenth percentile of a source's edges; the highest that covers 95 % with a median of 20 is recommended, else 0.9."""
     names = [f"t{i}" for i in range(len(quantiles))]
-    rows = weighted.select("source", "weighted_value").persist()  # read for the thresholds and for the counts
+    rows = written(weighted.select("source", "weighted_value"))  # read for the thresholds and for the counts
     cuts = ranks(rows, "weighted_value", list(quantiles))
     cuts = cuts.agg(*(F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(n) for q, n in zip(quantiles, names, strict=True)))
     totals = rows.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("source").alias("n_sources"))
@@ -125,6 +126,37 @@ def top_labels(df: DataFrame, key: list[str], label: str, k: int) -> DataFrame:
     return top_k(n, key, [F.desc("n"), F.asc(label)], k)
 
 
+def label_summary(df: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """Key, its k commonest labels in order, and the counts of all labels as JSON by label."""
+    n = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
+    by = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(label).alias("l"))))
+    counts = F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col("n").alias("n"))))
+    out = n.groupBy(key).agg(by.alias("_t"), counts.alias("_c"))
+    pair = lambda x: F.concat(F.lit('"'), x["l"], F.lit('":'), x["n"].cast("string"))
+    return out.select(key, F.array_join(F.transform(F.slice("_t", 1, k), lambda x: x["l"]), " | ").alias("top_labels"), F.concat(F.lit("{"), F.array_join(F.transform("_c", pair), ","), F.lit("}")).alias("counts"))
+
+
+def from_mapping(candidates: DataFrame) -> DataFrame:
+    """The edges of the best candidates, from items to what they were mapped to."""
+    best = candidates.where("candidate_rank = 1")
+    return best.select(F.concat(F.lit("item:"), "left_id").alias("source"), F.concat(F.lit("reference:"), "right_id").alias("target"), F.lit("maps_to").alias("relation"), "confidence", F.col("match_score").alias("value"))
+
+
+def representatives(items: DataFrame, words: DataFrame, said: str, logs: str) -> DataFrame:
+    """For each word (word, i: a short list) the most logged item whose text holds it; each item with its first word's number."""
+    hit = items.join(F.broadcast(words), F.contains(F.col(said), F.col("word")))
+    best = hit.groupBy("word", "i").agg(F.min_by("item", F.struct(-F.col(logs), F.col("item"))).alias("item"))
+    return best.groupBy("item").agg(F.min("i").alias("i"))
+
+
+def seed(items: DataFrame, label: str, query: str, preferred: list[str], tie: str) -> DataFrame:
+    """One item: the first that holds the query, else the first that holds a preferred term, in their order."""
+    place = F.lit(len(preferred) + 1)
+    for i, term in reversed(list(enumerate([query, *preferred]))):
+        place = F.when(F.contains(F.lower(label), F.lit(term.lower())), F.lit(i)).otherwise(place)
+    return items.orderBy(place, tie).limit(1)
+
+
 def informative(counts: DataFrame, key: list[str], label: str, weight: str, generic: list[str], k: int) -> DataFrame:
     """Generic labels only where others do not fill the k places."""
     return top_k(counts.withColumn("is_generic", F.col(label).isin(generic)), key, [F.asc("is_generic"), F.desc(weight), F.asc(label)], k)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+from .windows import quantiles
+
 
 def aligned(x: DataFrame, y: DataFrame, key: list[str], target: str) -> DataFrame:
     """Rows with a target, by key."""
@@ -28,15 +33,24 @@ def models(kind: str) -> dict:
     if kind == "regression":
         return {
             "linear": LinearRegression(labelCol="_y"), "ridge": LinearRegression(labelCol="_y", regParam=1.0, elasticNetParam=0.0), "lasso": LinearRegression(labelCol="_y", regParam=0.01, elasticNetParam=1.0),
-            "forest": RandomForestRegressor(labelCol="_y", numTrees=30, seed=42),
+            "forest": RandomForestRegressor(labelCol="_y", numTrees=300, seed=42),
         }
-    return {"logistic": LogisticRegression(labelCol="_y", weightCol="_w"), "forest": RandomForestClassifier(labelCol="_y", weightCol="_w", numTrees=30, seed=42)}
+    return {"logistic": LogisticRegression(labelCol="_y", weightCol="_w"), "forest": RandomForestClassifier(labelCol="_y", weightCol="_w", numTrees=300, seed=42)}
 
 
-def split(df: DataFrame, key: str, fold: int, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test by a hash of the key, so a split does not depend on partitions."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(fold)), F.lit(10_000)) / 10_000
-    return df.where(u >= test), df.where(u < test)
+def split(df: DataFrame, key: str, fold: int, test: float = 0.2, seed: int = 42, strata: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Train and test by a hash of the key, so a split does not depend on partitions.
+
+    strata: a column of few values; of each value's rows the share `test` with the smallest hashes is the test
+    (to a hash's precision by its quantile), so that every class is in both.
+    """
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(fold)), F.lit(1_000_003)) / 1_000_003
+    if strata is None:
+        return df.where(u >= test), df.where(u < test)
+    marked = df.withColumn("_u", u)
+    cuts = quantiles(marked, "_u", [test], strata).select(F.col(strata).alias("_c"), F.col("value").alias("_cut"))
+    both = marked.join(F.broadcast(cuts), F.col(strata) == F.col("_c"))  # a row a class
+    return both.where("_u >= _cut").drop("_u", "_c", "_cut"), both.where("_u < _cut").drop("_u", "_c", "_cut")
 
 
 def regression_metrics(pred: DataFrame) -> DataFrame:
@@ -48,29 +62,39 @@ def regression_metrics(pred: DataFrame) -> DataFrame:
 
 
 def classification_metrics(pred: DataFrame) -> DataFrame:
-    """Accuracy, macro F1 and AUROC (by ranks, ties shared) of (_y, prediction, probability), one row."""
+    """Accuracy, macro F1, AUROC (by ranks, ties shared) and AUPRC (average precision) of (_y, prediction, probability), one row.
+
+    Probabilities are rounded to 6 digits, so the ranks are over a million rows at most.
+    """
     classes = pred.select(F.explode(F.array_distinct(F.array("_y", "prediction"))).alias("c"), "_y", "prediction")
     f1 = classes.groupBy("c").agg(F.count_if((F.col("_y") == F.col("c")) & (F.col("prediction") == F.col("c"))).alias("tp"), F.count_if((F.col("_y") == F.col("c")) != (F.col("prediction") == F.col("c"))).alias("err"))
     f1 = f1.agg(F.avg(F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("err")), F.lit(0.0))).alias("f1_macro"))
     p = pred.select("_y", F.round(vector_to_array("probability")[1], 6).alias("p")).groupBy("p").agg(F.sum("_y").alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
-    from pyspark.sql import Window
-
     below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     auc = p.withColumn("w", F.col("pos") * (below + F.col("neg") / 2)).agg(F.coalesce(F.try_divide(F.sum("w"), F.sum("pos") * F.sum("neg")), F.lit(0.5)).alias("auroc"))
+    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    precise = p.withColumn("precision", F.sum("pos").over(down) / F.sum(F.col("pos") + F.col("neg")).over(down))
+    auc = auc.crossJoin(precise.agg(F.coalesce(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")), F.lit(0.0)).alias("auprc")))
     return pred.agg(F.avg((F.col("_y") == F.col("prediction")).cast("int")).alias("accuracy")).crossJoin(F.broadcast(f1)).crossJoin(F.broadcast(auc))  # one row each
 
 
+def compared(df: DataFrame, key: str, sets: dict[str, list[str]], targets: list[str], folds: int = 5, names: list[str] | None = None) -> DataFrame:
+    """The scores of all feature sets and targets: feature_set, target and what summarised() gives."""
+    each = [summarised(evaluated(df, key, columns, y, folds, names)).select(F.lit(s).alias("feature_set"), F.lit(y).alias("target"), "*") for s, columns in sets.items() for y in targets]
+    return reduce(DataFrame.unionByName, each)
+
+
 def evaluated(df: DataFrame, key: str, columns: list[str], target: str, folds: int = 5, names: list[str] | None = None) -> DataFrame:
-    """Model, fold, metric, value for each model and repeated split."""
+    """Model, fold, metric, value for each model and repeated split (by class for classes)."""
     kind = task_kind(df, target)
-    data = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns), F.col(target).cast("double").alias("_y"))
+    data = written(df.select(key, *(F.col(c).cast("double").alias(c) for c in columns), F.col(target).cast("double").alias("_y")))  # read by every split
     if kind != "regression":
         sizes = data.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
         total, k = data.count(), sizes.count()
         data = data.join(F.broadcast(sizes), "_y").withColumn("_w", F.lit(float(total)) / (k * F.col("_n"))).drop("_n")  # a row a class
     out = None
     for fold in range(folds):
-        train, test = split(data, key, fold)
+        train, test = split(data, key, fold, strata=None if kind == "regression" else "_y")
         steps = [Imputer(strategy="mean", inputCols=columns, outputCols=columns), VectorAssembler(inputCols=columns, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]
         prepared = Pipeline(stages=steps).fit(train)  # once a fold, for all models
         train, test = prepared.transform(train).cache(), prepared.transform(test)

@@ -7,12 +7,12 @@ among an item's best.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import unit_vector
@@ -67,10 +67,10 @@ def shared_log_matrices(a: DataFrame, b: DataFrame, key: str, columns: list[str]
 
 def blocks_of(df: DataFrame, key: str, blocks: dict[str, list[str]], text: str, dims: int = 64) -> tuple[DataFrame, list[tuple[str, int]]]:
     """Key and vector: numeric blocks (M01) and a hashed text block (F19) one after another, and the dimensions of each."""
-    out = df.select(key)
-    for name, columns in blocks.items():
-        part = numeric_block(df, key, columns).select(key, F.array(*columns).alias(name))
-        out = out.join(part, key)
+    every = [c for cs in blocks.values() for c in cs]
+    z = numeric_block(df, key, every)  # over the root of all columns; each block is over the root of its own
+    part = lambda cs: F.array(*(F.col(c) * (len(every) / len(cs)) ** 0.5 for c in cs))
+    out = z.select(key, *(part(cs).alias(name) for name, cs in blocks.items()))
     out = out.join(text_block(df, key, text, dims).withColumnRenamed("block", "text"), key)
     return out.select(key, F.concat(*blocks, "text").alias("vector")), [*((n, len(c)) for n, c in blocks.items()), ("text", dims)]
 
@@ -133,6 +133,18 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector: s
     return top_k(found, ["query_id", "base_group"] if each else ["query_id"], [F.desc("cosine"), F.asc("base_id")], k)
 
 
+def encoded_once(df: DataFrame, path: str, key: str, text: str, encode: Callable[[Column], Column]) -> DataFrame:
+    """Key, stamp and vector of df's texts: those already at path under the same stamp (SHA-256 of the text) are not encoded again."""
+    spark = df.sparkSession
+    want = df.select(key, text, F.sha2(F.col(text).cast("binary"), 256).alias("stamp"))
+    schema = want.select(key, "stamp", encode(F.col(text)).alias("vector")).schema
+    from ..sources.readers import read_optional
+
+    done = read_optional(spark, path, schema)
+    want.join(done.select(key, "stamp"), [key, "stamp"], "left_anti").select(key, "stamp", encode(F.col(text)).alias("vector")).write.mode("append").parquet(path)
+    return want.select(key, "stamp").join(spark.read.schema(schema).parquet(path), [key, "stamp"])
+
+
 def _prepared(df: DataFrame, id_col: str, vector: str, group: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pdf = df.select(id_col, vector, *([group] if group else [])).toPandas()  # about BLOCK_ROWS
     q = np.stack(pdf[vector].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
@@ -226,8 +238,10 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 80) -> Da
     return rows.mapInPandas(near(centres), f"id {df.schema[key].dataType.simpleString()}, cluster int").select(F.col("id").alias(key), "cluster")
 
 
-def cluster_patterns(clusters: DataFrame, labels: DataFrame, key: str, label: str, k: int = 12) -> DataFrame:
-    """The commonest labels of each cluster."""
+def cluster_patterns(clusters: DataFrame, labels: DataFrame, key: str, label: str, k: int = 12, examples: int = 8) -> DataFrame:
+    """The commonest labels of each cluster, and its first items as examples."""
     from .graph import top_labels
 
-    return top_labels(clusters.join(labels, key), ["cluster"], label, k)
+    both = clusters.join(labels, key)
+    first = top_k(clusters.select("cluster", key), ["cluster"], [F.asc(key)], examples).groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), " | ").alias("examples"))
+    return top_labels(both, ["cluster"], label, k).join(F.broadcast(first), "cluster")  # a row a cluster

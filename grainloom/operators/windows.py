@@ -13,6 +13,21 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: st
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def by_priority(df: DataFrame, group: list[str], kind: str, priority: dict[str, int], tie: str, n: int) -> DataFrame:
+    """The first n rows of each group by the priority of their kind (others 999), then by tie."""
+    place = F.lit(999)
+    for k, v in priority.items():
+        place = F.when(F.col(kind) == k, F.lit(v)).otherwise(place)
+    return top_k(df, group, [place, F.asc(tie)], n, "_r").drop("_r")
+
+
+def places(df: DataFrame, kind: str, order: str, name: str) -> DataFrame:
+    """The place of each row within its kind, from 0: its number by kind and order less the least of its kind."""
+    ranked = numbered(df, [kind, order], "_at")
+    least = ranked.groupBy(kind).agg(F.min("_at").alias("_l"))
+    return ranked.join(least, kind).withColumn(name, F.col("_at") - F.col("_l")).drop("_at", "_l")
+
+
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by order (an aggregate, so rows are combined before the shuffle)."""
     rest = [c for c in df.columns if c not in key]

@@ -281,7 +281,7 @@ def name_similarity_pairs(spark, d):
 
 @query(f"{_SCORED} SELECT * FROM c")
 def candidate_topk_names(spark, d):
-    """J09-J12 W03."""
+    """J09-J11 W03."""
     return _candidates(spark, d)
 
 
@@ -383,8 +383,8 @@ _MASKED = "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END"
     {_LOGS} SELECT canonical_id, round(CASE WHEN sum(CASE WHEN v IS NOT NULL THEN w END) > 0 THEN sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END) ELSE avg(v) END, 4) AS price, count(v) AS n
     FROM (SELECT canonical_id, {_MASKED} AS v, CASE WHEN item % 5 = 0 THEN 1.0 ELSE logs::DOUBLE END AS w FROM i JOIN part ON item = p_partkey) GROUP BY canonical_id""")
 def weighted_mean_nutrients(spark, d):
-    """Null weights count 1."""
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")).alias("v"))
+    """Null weights count 1; null and NaN values go."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 6 == 3, F.lit(float("nan"))).when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")).alias("v"))
     i = _logged(spark, d).join(p, "item").withColumn("w", F.when(F.col("item") % 5 != 0, F.col("logs")))
     mean, n = fuse.weighted_mean("v", "w")
     return i.groupBy("canonical_id").agg(r(mean).alias("price"), n.alias("n"))
@@ -444,7 +444,7 @@ def mode_and_best_confidence(spark, d):
                FROM part, (VALUES ('a'), ('b'), ('c')) f(feature))
     SELECT feature, count(coalesce(own, other * 0.5)) AS n_known, count(*) AS n_items, CASE WHEN count(coalesce(own, other * 0.5)) = count(*) THEN 'included' ELSE 'completion_pending' END AS status, round(coalesce(sum(coalesce(own, other * 0.5)), 0), 2) AS total FROM g GROUP BY feature""")
 def catalog_coverage_registry(spark, d):
-    """Each item's own amount, or half its neighbour's."""
+    """Each item's own amount, or half its neighbour's."""
     p = read(spark, d, "part")
     a = p.where("p_partkey % 4 <> 0").select(F.lit("a").alias("feature"), F.col("p_partkey").alias("donor"), F.col("p_size").cast("double").alias("amount"))
     b = p.where("p_partkey % 2 = 0").select(F.lit("b").alias("feature"), F.col("p_partkey").alias("donor"), F.col("p_retailprice").alias("amount"))
@@ -578,12 +578,14 @@ def kg_weighted_edges(spark, d):
 
 @query(f"""{_INFO}, w AS (SELECT source, round(weighted_value, 6) AS x FROM weighted),
     cuts AS (""" + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, quantile_cont(x, {q}) AS threshold FROM w" for q in (0.5, 0.75, 0.9, 0.95, 0.975, 0.99)) + """),
-    per AS (SELECT quantile, threshold, source, count(*) AS n FROM w JOIN cuts ON x >= threshold GROUP BY ALL)
-    SELECT quantile, round(threshold, 4) AS threshold, sum(n)::BIGINT AS edges_retained, count(*) AS sources_covered, round(quantile_cont(n, 0.5), 4) AS median_edges, round(quantile_cont(n, 0.1), 4) AS p10_edges FROM per GROUP BY quantile, threshold""")
+    per AS (SELECT quantile, threshold, source, count(*) AS n FROM w JOIN cuts ON x >= threshold GROUP BY ALL),
+    o AS (SELECT quantile, threshold, sum(n)::BIGINT AS edges_retained, count(*) AS sources_covered, quantile_cont(n, 0.5) AS median_edges, quantile_cont(n, 0.1) AS p10_edges FROM per GROUP BY quantile, threshold),
+    b AS (SELECT coalesce(max(quantile) FILTER (sources_covered >= 0.95 * (SELECT count(DISTINCT source) FROM w) AND median_edges >= 20), 0.9) AS best FROM o)
+    SELECT quantile, round(threshold, 4) AS threshold, edges_retained, round(edges_retained / (SELECT count(*) FROM w)::DOUBLE, 6) AS retained_fraction, sources_covered, round(median_edges, 4) AS median_edges, round(p10_edges, 4) AS p10_edges, quantile = best AS recommended FROM o, b""")
 def kg_threshold_summary(spark, d):
     """A24 N27 G07."""
     out = graph.threshold_summary(_weighted(spark, d).withColumn("weighted_value", r("weighted_value", 6)))
-    return out.select("quantile", r("threshold").alias("threshold"), "edges_retained", "sources_covered", r("median_edges").alias("median_edges"), r("p10_edges").alias("p10_edges"))
+    return out.select("quantile", r("threshold").alias("threshold"), "edges_retained", r("retained_fraction", 6).alias("retained_fraction"), "sources_covered", r("median_edges").alias("median_edges"), r("p10_edges").alias("p10_edges"), "recommended")
 
 
 @query(f"""{_INFO}, w AS (SELECT source, target, relation, round(weighted_value, 6) AS x FROM weighted)
@@ -605,7 +607,7 @@ def kg_signature_matrix(spark, d):
 @query(f"""WITH {_EDGES}, p AS (SELECT source, regexp_replace(target, '[^a-zA-Z0-9]+', '_', 'g') AS t FROM edges WHERE relation = 'has_brand')
     SELECT source, {', '.join(f"count(*) FILTER (lower(t) = 'brand_brand_{i}')::DOUBLE AS brand_brand_{i}" for i in range(1, 26))} FROM p GROUP BY source""")
 def kg_feature_pivot(spark, d):
-    """A27 P15 F09, over the 25 brand nodes."""
+    """A27 F09, over the 25 brand nodes."""
     e = edges(spark, d).where("relation = 'has_brand'").withColumn("value", F.coalesce("value", F.lit(1.0)))
     out = features.pivot_sum(e, ["source"], "target", "value")
     wanted = [f"brand_brand_{i}" for i in range(1, 26)]
@@ -616,7 +618,7 @@ def kg_feature_pivot(spark, d):
     h1 AS (SELECT source, target, relation, 1 AS hop FROM capped WHERE source = 'part:1'), h2 AS (SELECT source, target, relation, 2 AS hop FROM capped WHERE source IN (SELECT target FROM h1)), h3 AS (SELECT source, target, relation, 3 AS hop FROM capped WHERE source IN (SELECT target FROM h2))
     SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3""")
 def ego_subgraph(spark, d):
-    """Three hops around one item, five edges a relation."""
+    """Three hops around one item, five edges a relation."""
     return graph.ego(edges(spark, d), spark.createDataFrame([("part:1",)], "key string"), 3, 5).select("source", "target", "relation", "hop")
 
 
@@ -638,7 +640,7 @@ def edge_label_enrichment(spark, d):
 
 @query("SELECT user_id, event_type, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type)::INTEGER AS rank FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE rank <= 3")
 def top_labels_per_group(spark, d):
-    """A12 A14 T03 N11."""
+    """T03 N11."""
     return graph.top_labels(read(spark, d, "events"), ["user_id"], "event_type", 3)
 
 
@@ -662,7 +664,7 @@ def evidence_weighted_themes(spark, d):
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[cs]e|copyright') THEN 'legal' WHEN regexp_matches(text, '(?i)password|secret|token') THEN 'credentials' WHEN regexp_matches(text, '(?i)@[a-z0-9-]+\\.') THEN 'contact' ELSE lang END AS category FROM documents""")
 def rule_categorise(spark, d):
-    """Ordered rules over whole texts."""
+    """Ordered rules over whole texts."""
     rules = [(r"licen[cs]e|copyright", "legal"), (r"password|secret|token", "credentials"), (r"@[a-z0-9-]+\.", "contact")]
     return read(spark, d, "documents").select("doc_id", fuse.categorised(F.col("text"), rules, F.col("lang")).alias("category"))
 
@@ -683,11 +685,11 @@ def pipe_join_sorted(spark, d):
     return read(spark, d, "lineitem").groupBy("l_orderkey").agg(text.pipe_join(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("flags"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_-]+'), lambda x: length(x) >= 3)) AS token FROM benchmark), c AS (SELECT item_id, token, count(*) AS n FROM t GROUP BY ALL)
-    SELECT item_id, (('0x' || right(md5(token), 7))::BIGINT % 64)::INTEGER AS dim, round(sum(CASE WHEN ('0x' || right(md5('sign:' || token), 1))::INT % 2 = 1 THEN -1 ELSE 1 END * ln(1 + n)), 6) AS value FROM c GROUP BY ALL""")
+@query("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_-]+'), lambda x: length(x) >= 3)) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL)
+    SELECT doc_id, (('0x' || right(md5(token), 7))::BIGINT % 64)::INTEGER AS dim, round(sum(CASE WHEN ('0x' || right(md5('sign:' || token), 1))::INT % 2 = 1 THEN -1 ELSE 1 END * ln(1 + n)), 5) AS value FROM c GROUP BY ALL""")
 def hash_text_block(spark, d):
     """F18 F19."""
-    return vectors.hashed_text(read(spark, d, "benchmark"), "item_id", "text").withColumn("value", r("value", 6))
+    return vectors.hashed_text(read(spark, d, "documents"), "doc_id", "text").withColumn("value", r("value", 5))
 
 
 @query("""WITH l AS (SELECT p_partkey, ln(1 + greatest(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END, 0)) AS a, ln(1 + greatest(p_size, 0)) AS b FROM part), m AS (SELECT quantile_cont(a, 0.5) AS ma, quantile_cont(b, 0.5) AS mb FROM l),
@@ -711,7 +713,7 @@ def _queries(spark, d):
 
 @query(f"{_COS} SELECT query_id, base_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, base_id)::INTEGER AS rank FROM s) WHERE rank <= 8")
 def vector_cosine_topk(spark, d):
-    """V08 J14 T05 M03."""
+    """J14 T05 M03."""
     q, e = _queries(spark, d)
     return vectors.nearest(q, e, 8).select("query_id", "base_id", r("cosine", 6).alias("cosine"), "rank")
 
@@ -796,7 +798,7 @@ def panel_coverage(spark, d):
 @query(f"""{_PANEL}, j AS (SELECT feature, a.value AS x, b.value AS y, abs(a.value - b.value) AS dd FROM a JOIN b USING (item, feature) WHERE a.value IS NOT NULL AND b.value IS NOT NULL)
     SELECT feature, count(*) AS n, round(avg(dd), 4) AS mean_abs, round(quantile_cont(dd, 0.5), 4) AS median_abs, round(quantile_cont(dd, 0.95), 4) AS p95_abs, round(max(dd), 4) AS max_abs, round(avg(CASE WHEN y <> 0 THEN dd / abs(y) END), 4) AS mean_rel, round(avg((dd <= 1e-9 + 1e-9 * abs(y))::INT) * 100, 4) AS exact_pct FROM j GROUP BY feature""")
 def panel_agreement(spark, d):
-    """A34 A35 M05 J04."""
+    """A34 M05 J04."""
     a, b = _panels(spark, d)
     out = quality.panel_agreement(a, b, ["item", "feature"], "feature")
     return out.select("feature", "n", *(r(c).alias(c) for c in out.columns[2:]))
@@ -835,7 +837,7 @@ def alpha_diversity(spark, d):
 
 @query("SELECT l_orderkey, round(coalesce(sum(l_quantity) FILTER (l_returnflag IN ('A', 'R')), 0), 2) AS row_sum, 2 AS n_matched FROM lineitem GROUP BY l_orderkey")
 def regex_column_rowsum(spark, d):
-    """Over the columns that match."""
+    """Over the columns that match."""
     wide = read(spark, d, "lineitem").groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity")).withColumnsRenamed({"A": "flag_a", "N": "flag_n", "R": "flag_r"})
     import re
 
@@ -845,7 +847,7 @@ def regex_column_rowsum(spark, d):
 
 @query("""SELECT vec_id, (row_number() OVER (ORDER BY label, vec_id) - 1)::BIGINT AS ordinal FROM embeddings""")
 def global_ordinals(spark, d):
-    """Numbered in order without one task."""
+    """Numbered in order without one task."""
     return windows.numbered(read(spark, d, "embeddings").select("vec_id", "label"), ["label", "vec_id"]).select("vec_id", "ordinal")
 
 
@@ -871,9 +873,9 @@ def text_labels(spark, d):
 
 @query("""SELECT event_id, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS k, round(greatest(0, least(1, value / 100)), 6) AS clamped FROM events""")
 def json_properties(spark, d):
-    """X01-X03 M09 C40."""
+    """X01 M09."""
     k = F.from_json("props", "k bigint")["k"]
     return read(spark, d, "events").select("event_id", F.coalesce(k, F.lit(0)).cast("long").alias("k"), r(text.clamp(F.col("value") / 100), 6).alias("clamped"))
 
 
-from . import columns, composite, files  # noqa: E402, F401  register more queries
+from . import columns, composite, files, layers  # noqa: E402, F401  register more queries

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, learn
-from ..scratch import work_dir
+from ..operators import features, learn, windows
+from ..scratch import work_dir, written
 from ..sources import readers, writers
 from ..streaming import streams
 from .catalogue import events, items, query, read
@@ -39,6 +39,13 @@ def xml_ingest(spark, d):
     return out.select("p_partkey", "name", F.col("suppliers_count").cast("long").alias("supplier_count"))
 
 
+#: A fifth of the rows of each class, as far as its median hash goes: the rows below the linear 0.2 quantile.
+_SPLIT_SQL = """WITH e AS (SELECT o_custkey AS participant, l_partkey AS item, l_quantity AS grams FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    x AS (SELECT participant, sum(p_retailprice * grams / 100) AS price, sum(p_size * grams / 100) AS size FROM e JOIN part ON item = p_partkey GROUP BY participant),
+    t AS (SELECT participant, price * 0.01 + size * 0.1 + c_acctbal * 0.001 AS y FROM x JOIN customer ON c_custkey = participant), c AS (SELECT (y > (SELECT quantile_cont(y, 0.5) FROM t))::INTEGER AS y, count(*) AS n FROM t GROUP BY 1),
+    f AS (SELECT unnest(range(5))::INTEGER AS fold) SELECT fold, y, 'test' AS part, ceil((n - 1) * 0.2)::BIGINT AS n FROM c, f UNION ALL SELECT fold, y, 'train', n - ceil((n - 1) * 0.2)::BIGINT FROM c, f"""
+
+
 def _design(spark, d):
     x = features.exposure(events(spark, d), items(spark, d), ["price", "size"], ["participant"])
     y = read(spark, d, "customer").select(F.col("c_custkey").alias("participant"), F.col("c_acctbal").alias("y"))
@@ -47,17 +54,39 @@ def _design(spark, d):
 
 @query()
 def ridge_regression_folds(spark, d):
-    """Repeated splits of the exposure table, ridge regression, mean and deviation of the metrics."""
-    return learn.summarised(learn.evaluated(_design(spark, d), "participant", ["price", "size"], "y", folds=3, names=["linear", "ridge", "lasso"]))
+    """Five repeated splits of the exposure table, the whole bank of regressions, mean and deviation of the metrics."""
+    return learn.summarised(learn.evaluated(_design(spark, d), "participant", ["price", "size"], "y"))
+
+
+def _classes(spark, d):
+    df = written(_design(spark, d))
+    cut = windows.quantiles(df, "y", [0.5]).select(F.col("value").alias("cut"))
+    return written(df.crossJoin(F.broadcast(cut)).withColumn("y", (F.col("y") > F.col("cut")).cast("double")).drop("cut"))  # one row
 
 
 @query()
 def classification_folds(spark, d):
-    """A two-class target."""
-    df = _design(spark, d)
-    cut = df.agg(F.percentile("y", 0.5).alias("cut"))
-    df = df.crossJoin(F.broadcast(cut)).withColumn("y", (F.col("y") > F.col("cut")).cast("double")).drop("cut")
-    return learn.summarised(learn.evaluated(df, "participant", ["price", "size"], "y", folds=3, names=["logistic"]))
+    """A two-class target, five splits by class, the whole bank of classifiers."""
+    return learn.summarised(learn.evaluated(_classes(spark, d), "participant", ["price", "size"], "y"))
+
+
+@query()
+def feature_set_comparison(spark, d):
+    """Three sets of features for two targets, linear models."""
+    df = written(_design(spark, d)).withColumn("z", F.col("price") * 0.02 - F.col("y") * 0.5)
+    return learn.compared(df, "participant", {"price": ["price"], "size": ["size"], "both": ["price", "size"]}, ["y", "z"], names=["linear", "ridge"])
+
+
+@query(_SPLIT_SQL)
+def split_sizes(spark, d):
+    """Repeated splits by class leave a fifth of each class for the test, and no row twice."""
+    df = _classes(spark, d).select("participant", "y")
+    sizes = None
+    for fold in range(5):
+        train, test = learn.split(df, "participant", fold, strata="y")
+        each = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("y", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("fold", F.lit(fold))
+        sizes = each if sizes is None else sizes.unionByName(each)
+    return sizes.select("fold", F.col("y").cast("int").alias("y"), "part", "n")
 
 
 @query("""

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import clean_label
 
@@ -43,7 +44,7 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return r.parquet(path)
 
 
-def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_optional(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """An empty frame of the schema where nothing is at path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
