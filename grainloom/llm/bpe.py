@@ -24,14 +24,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slim
+from .common import slices, slim
 
 #: Unsplit text from this length on is encoded by tree concatenation.
 LONG = 4096
 #: Length of a leaf of the tree.
 LEAF = 1024
 #: Pre-tokens that a worker remembers.
-CACHE = 150_000
+CACHE = 90_000
 
 _CHARS = "a-zß-öø-ÿ"
 #: Text of these characters is cut here, other text by the tokenizer itself: ASCII and Latin-1 letters have no composition or irregular lower case.
@@ -164,6 +164,7 @@ def tokenizer(path: str) -> TreeBpe:
     """One for each worker process."""
     if path not in _BUILT:
         _BUILT[path] = TreeBpe(path)
+        slim()  # of the parsed file
     return _BUILT[path]
 
 
@@ -175,7 +176,7 @@ def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             ids = [[int(i) for e in bpe.encode(t) for i in e[1].split(" ")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
         bpe.forget()
@@ -205,7 +206,7 @@ def digest_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             n, ids, decoded = [], [], []
             for t in b.column(1).to_pylist():
                 counts, numbers, tokens = zip(*parts, strict=True) if (parts := bpe.encode(t)) else ((), (), ())

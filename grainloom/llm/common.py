@@ -6,10 +6,11 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batch: pa.RecordBatch, column: int = 1, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts (of column) are about size bytes together, or one row: so memory does not grow with a batch."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < len(batch):
+        done = lengths[at - 1] if at else 0
+        end = max(at + 1, int(lengths.searchsorted(done + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def slim() -> None:
     """Gives memory that this worker no longer uses back to the machine: workers are reused, and hold on to it otherwise."""
     gc.collect()

@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slim, stored
+from .common import discard, slices, slim, stored
 from .components import components
 
 WORDS = 5
@@ -134,18 +134,9 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[list, list]]:
-    """(keys, shingle sets) of about size characters at a time."""
-    for b in batches:
-        keys, texts, n = [], [], 0
-        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            keys.append(k)
-            texts.append(t)
-            n += len(t or "")
-            if n >= size:
-                yield keys, shingle_sets(texts)
-                keys, texts, n = [], [], 0
-        if keys:
-            yield keys, shingle_sets(texts)
+    """(keys, shingle sets) of about size bytes at a time."""
+    for b in (s for batch in batches for s in slices(batch, size=size)):
+        yield b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist())
 
 
 def least(s: int) -> int:

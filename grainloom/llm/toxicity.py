@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slim
+from .common import slices, slim
 
 #: Labelled texts of a kind (toxic, clean) are sampled evenly by key down to about this many (documented bound of the fit).
 TRAIN_ROWS = 3000
@@ -95,7 +95,7 @@ class Severity:
             found: Counter = Counter()
             for word, n in Counter(w).items():
                 if (u := known.get(word)) is None:
-                    if len(known) > 300_000:
+                    if len(known) > 100_000:
                         known.clear()
                     u = known[word] = tuple(x for x in units(word) if x in self.telling)
                 for x in u:
@@ -224,7 +224,7 @@ def grade(df: DataFrame, model: Severity, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expected = model.scorer()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             s = np.array([expected(t) for t in b.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.round(s, 6)), pa.array(np.rint(s).astype(np.int32)), pa.array(s >= reject)], [key, "severity", "grade", "toxic"]
@@ -240,7 +240,7 @@ def clean(df: DataFrame, model: Severity, text: str = "text", reject: float = RE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expected = model.scorer()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, at)):
             yield b.filter(pa.array([expected(t) < reject for t in b.column(at).to_pylist()], pa.bool_()))
         slim()
 
