@@ -26,10 +26,14 @@ def covered(c: Column) -> Column:
 
 
 def whole_id(c: Column) -> Column:
-    """An integral id as text; blanks, booleans and fractions raise when they are read."""
+    """An integral id as text; null for blanks, booleans and fractions."""
     s = F.trim(c.cast("string"))
-    good = F.coalesce(s.rlike(r"^[0-9]+(\.0+)?$"), F.lit(False))
-    return F.when(good, F.regexp_replace(s, r"\.0+$", "")).otherwise(F.raise_error(F.concat(F.lit("no whole id: "), F.coalesce(s, F.lit("null")))))
+    return F.when(s.rlike(r"^[0-9]+(\.0+)?$"), F.regexp_replace(s, r"\.0+$", ""))
+
+
+def required_id(c: Column) -> Column:
+    """An integral id as text; blanks, booleans and fractions raise when they are read."""
+    return F.coalesce(whole_id(c), F.raise_error(F.concat(F.lit("no whole id: "), F.coalesce(c.cast("string"), F.lit("null")))))
 
 
 def tolerant_int(c: Column) -> Column:

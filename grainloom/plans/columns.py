@@ -100,7 +100,7 @@ def valid_numbers(spark, d):
     """NaN, infinities and nulls are 0 and not covered; ids are whole numbers."""
     p, k = read(spark, d, "part"), F.col("p_partkey") % 4
     x = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 3, F.col("p_size").cast("double"))
-    return p.select("p_partkey", numeric.finite_or_zero(x).alias("filled"), numeric.covered(x).alias("counts"), numeric.whole_id(F.concat(F.col("p_partkey").cast("string"), F.lit(".0"))).alias("whole"))
+    return p.select("p_partkey", numeric.finite_or_zero(x).alias("filled"), numeric.covered(x).alias("counts"), numeric.required_id(F.concat(F.col("p_partkey").cast("string"), F.lit(".0"))).alias("whole"))
 
 
 @query("SELECT vec_id, dim::INTEGER AS dim, round(x / greatest(norm, 1e-12), 6) AS value FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y))) AS norm, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)")
@@ -124,10 +124,10 @@ def prefix_filter(spark, d):
     return features.keyed(edges(spark, d), "target", "supplier:", "supplier_id").select("source", "supplier_id")
 
 
-@query("SELECT doc_id FROM documents WHERE lower(text) LIKE '%token%' OR lower(source) LIKE '%token%'")
+@query("SELECT doc_id FROM documents WHERE lower(text) LIKE '%ing%' OR lower(source) LIKE '%ing%'")
 def text_search(spark, d):
     """A word in any of several columns."""
-    return features.search(read(spark, d, "documents"), ["text", "source"], "Token").select("doc_id")
+    return features.search(read(spark, d, "documents"), ["text", "source"], "ING").select("doc_id")
 
 
 @query(f"WITH {_EDGES} SELECT source, target, relation FROM edges WHERE relation IN ('in_nation', 'in_region') OR lower(target) LIKE '%#1%' OR lower(target) LIKE '%steel%'")
@@ -172,7 +172,7 @@ def run_metadata(spark, d):
     return now.select(F.col("generated_at").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z$").alias("iso"), (F.abs(seconds - F.unix_timestamp(F.current_timestamp())) < 86_400).alias("recent"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'unsure' WHEN event_id % 3 = 1 THEN 'same' ELSE 'other' END AS verdict, CASE WHEN event_id % 3 = 1 THEN 0.75 ELSE 0.0 END AS confidence FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'unsure' WHEN event_id % 3 = 1 THEN 'same' ELSE 'other' END AS verdict, CASE WHEN event_id % 3 = 1 THEN 0.75 ELSE 0.0 END::DOUBLE AS confidence FROM events""")
 def verdict_parse(spark, d):
     """Verdicts as JSON, with a fallback for text that is no JSON."""
     k = F.col("event_id") % 3
