@@ -66,7 +66,9 @@ FREQUENT_MAX = 500_000
 #: Rows of keys up to this number are broadcast to find their texts (at most 64 bytes each), and joined by shuffle beyond.
 BROADCAST_KEYS = 1_000_000
 #: Postings that one part of the inverted index holds on average.
-PART = 600_000
+PART = 400_000
+#: Pairs that a task holds before it counts them (32 bytes each, and as much again twice while it does).
+PAIRS = 400_000
 #: Members that one search indexes at once, and documents of a family that one side of a block holds.
 BLOCK, FAMILY = 512, 2000
 #: Documents of a list that one task gathers, and documents of a list that one side of a block of pairs holds.
@@ -317,7 +319,7 @@ def stars(found: DataFrame) -> DataFrame:
             for h, x in zip(held, (top[fit], ids[fit], top_n[fit], size[fit]), strict=True):
                 h.append(x)
             n += int(fit.sum())
-            if n > 1_000_000:
+            if n > PAIRS:
                 yield _pair_batch(*held)
                 held, n = [[], [], [], []], 0
         if n:
@@ -345,7 +347,7 @@ def central_stars(postings: DataFrame) -> DataFrame:
             for h, x in zip(held, (top[fit], doc[fit], top_n[fit], size[fit]), strict=True):
                 h.append(x)
             n += int(fit.sum())
-            if n > 1_000_000:
+            if n > PAIRS:
                 yield _pair_batch(*held)
                 held, n = [[], [], [], []], 0
         if n:
@@ -402,7 +404,7 @@ def across(postings: DataFrame) -> DataFrame:
             for k in np.flatnonzero(np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)):
                 a, e = begin[k], end[k]
                 n += cross(doc[a:e], size[a:e], comp[a:e], side[a:e], held)
-                if n > 1_000_000:
+                if n > PAIRS:
                     yield _pair_batch(*held)
                     held, n = [[], [], [], []], 0
         if n:
