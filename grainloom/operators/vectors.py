@@ -25,13 +25,13 @@ BLOCK_ROWS = 50_000
 
 
 def numeric_block(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """log1p, medians for what is missing, sample z-scores, over the root of the number of columns."""
-    logs = df.select(key, *(F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in columns))
-    each = logs.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("e")).select("e.*")
+    """Medians for what is missing, log1p of what is above 0, sample z-scores, over the root of the number of columns."""
+    rows = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns))
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("e")).select("e.*")
     found = quantiles(each, "v", [0.5], "c")
     medians = found.agg(*(F.coalesce(F.max(F.when(F.col("c") == c, F.col("value"))), F.lit(0.0)).alias(f"_{c}") for c in columns))
-    full = logs.crossJoin(F.broadcast(medians)).select(key, *(F.coalesce(c, f"_{c}").alias(c) for c in columns))  # one row
-    z = z_scores(full, columns)
+    logs = rows.crossJoin(F.broadcast(medians)).select(key, *(F.log1p(F.greatest(F.coalesce(c, f"_{c}"), F.lit(0.0))).alias(c) for c in columns))  # one row
+    z = z_scores(logs, columns)
     return z.select(key, *((F.col(c) / float(len(columns)) ** 0.5).alias(c) for c in columns))
 
 
@@ -57,7 +57,7 @@ def standardised(rows: DataFrame, key: str, vector: str, name: str, over: float
 
 
 def shared_log_matrices(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Key and vector of two tables: log1p, standardised by the mean and deviation of both together, of length 1; missing values count 0."""
+    """Key and vector of two tables: log1p, standardised by the mean and population deviation of both together, of length 1; missing values count 0."""
     logs = lambda df: df.select(key, F.array(*(F.log1p(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in columns)).alias("_v"))
     x, y = logs(a), logs(b)
     both = x.select("_v").unionByName(y.select("_v"))

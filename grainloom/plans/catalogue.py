@@ -692,8 +692,8 @@ def hash_text_block(spark, d):
     return vectors.hashed_text(read(spark, d, "documents"), "doc_id", "text").withColumn("value", r("value", 5))
 
 
-@query("""WITH l AS (SELECT p_partkey, ln(1 + greatest(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END, 0)) AS a, ln(1 + greatest(p_size, 0)) AS b FROM part), m AS (SELECT quantile_cont(a, 0.5) AS ma, quantile_cont(b, 0.5) AS mb FROM l),
-    f AS (SELECT p_partkey, coalesce(a, ma) AS a, coalesce(b, mb) AS b FROM l, m), s AS (SELECT avg(a) AS xa, avg(b) AS xb, coalesce(nullif(stddev_samp(a), 0), 1) AS sa, coalesce(nullif(stddev_samp(b), 0), 1) AS sb FROM f)
+@query("""WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS a, p_size AS b FROM part), m AS (SELECT quantile_cont(a, 0.5) AS ma, quantile_cont(b, 0.5) AS mb FROM l),
+    f AS (SELECT p_partkey, ln(1 + greatest(coalesce(a, ma), 0)) AS a, ln(1 + greatest(coalesce(b, mb), 0)) AS b FROM l, m), s AS (SELECT avg(a) AS xa, avg(b) AS xb, coalesce(nullif(stddev_samp(a), 0), 1) AS sa, coalesce(nullif(stddev_samp(b), 0), 1) AS sb FROM f)
     SELECT p_partkey, round((a - xa) / sa / sqrt(2), 6) AS price, round((b - xb) / sb / sqrt(2), 6) AS size FROM f, s""")
 def numeric_block_scaled(spark, d):
     """M01 W09 N21 N22."""

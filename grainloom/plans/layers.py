@@ -404,12 +404,11 @@ _ALL = [c for cs in _BLOCKS.values() for c in cs]
 
 
 def _scaled(c: str, width: int) -> str:
-    return f"(SELECT item, (f - avg(f) OVER ()) / coalesce(nullif(stddev_samp(f) OVER (), 0), 1) / sqrt({width}) AS {c} FROM (SELECT item, coalesce(x, (SELECT quantile_cont(x, 0.5) FROM l_{c}), 0) AS f FROM l_{c}))"
+    return f"(SELECT item, (f - avg(f) OVER ()) / coalesce(nullif(stddev_samp(f) OVER (), 0), 1) / sqrt({width}) AS {c} FROM (SELECT item, ln(1 + greatest(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM p), 0), 0)) AS f FROM p))"
 
 
 _VECTOR_SQL = f"""WITH s AS (SELECT l_partkey AS item, avg(l_quantity) AS mean_quantity, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1),
     p AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS price, p_size AS size, p_name || ' ' || p_type AS text, mean_quantity, n_lines, n_suppliers FROM part LEFT JOIN s ON s.item = p_partkey),
-    {", ".join(f"l_{c} AS (SELECT item, ln(1 + greatest({c}, 0)) AS x FROM p)" for c in _ALL)},
     num AS (SELECT item, unnest([{", ".join(_ALL)}]) AS value, unnest(range({len(_ALL)})) AS dim FROM {" JOIN ".join(f"{_scaled(c, len(cs))} t_{c}" + (" USING (item)" if (b, i) != ("amounts", 0) else "") for b, cs in _BLOCKS.items() for i, c in enumerate(cs))}),
     t AS (SELECT item, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_-]+'), lambda x: length(x) >= 3)) AS token FROM p), c AS (SELECT item, token, count(*) AS n FROM t GROUP BY ALL),
     v AS (SELECT item, (('0x' || right(md5(token), 7))::BIGINT % 64) AS dim, sum(CASE WHEN ('0x' || right(md5('sign:' || token), 1))::INT % 2 = 1 THEN -1 ELSE 1 END * ln(1 + n)) AS v FROM c GROUP BY ALL),
@@ -443,7 +442,7 @@ _SHARED = ["price", "size"]
     m AS (SELECT avg(p) AS mp, stddev_pop(p) AS sp, avg(s) AS ms, stddev_pop(s) AS ss FROM u), z AS (SELECT side, item, (p - mp) / sp AS p, (s - ms) / ss AS s FROM u, m)
     SELECT side, item, round(p / greatest(sqrt(p * p + s * s), 1e-12), 4) AS price, round(s / greatest(sqrt(p * p + s * s), 1e-12), 4) AS size FROM z""")
 def shared_log_matrix(spark, d):
-    """Two tables as log vectors with one mean and deviation, of length 1."""
+    """Two tables as log vectors, scaled by one mean and deviation of both, of length 1."""
     a = read(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
     b = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.avg("l_extendedprice").alias("price"), F.avg("l_quantity").alias("size"))
     x, y = vectors.shared_log_matrices(a, b, "item", _SHARED)
