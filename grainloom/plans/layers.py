@@ -350,7 +350,7 @@ def participant_lookup(spark, d):
 
 
 @query("""WITH n AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY ALL), t AS (SELECT user_id, sum(v) AS total FROM n WHERE v > 0 GROUP BY 1), p AS (SELECT user_id, v / total AS p FROM n JOIN t USING (user_id) WHERE v > 0),
-    a AS (SELECT user_id, round(-sum(p * ln(p)), 6) AS shannon, count(*) AS richness FROM p GROUP BY 1), b AS (SELECT user_id, round(sum(v), 4) AS click_like FROM n WHERE regexp_matches(event_type, '(?i)cl|pu') GROUP BY 1)
+    a AS (SELECT user_id, round(-sum(p * ln(p)), 6) AS shannon, count(*) AS richness FROM p GROUP BY 1), b AS (SELECT user_id, round(sum(v) + 1e-7, 4) AS click_like FROM n WHERE regexp_matches(event_type, '(?i)cl|pu') GROUP BY 1)
     SELECT user_id, shannon, richness, click_like FROM a FULL JOIN b USING (user_id)""")
 def abundance_summary(spark, d):
     """A long table made wide, its diversity and the sum of matching columns, side by side."""
@@ -362,7 +362,7 @@ def abundance_summary(spark, d):
     a = share.groupBy("user_id").agg(r(-F.sum(F.col("p") * F.ln("p")), 6).alias("shannon"), F.count(F.lit(1)).alias("richness"))
     hit = features.columns_with(wide.select(*kinds), ["cl", "pu"])
     parts = F.array(*(F.col(c) for c in hit))
-    b = wide.where(F.exists(parts, lambda x: x.isNotNull())).select("user_id", r(F.aggregate(parts, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))).alias("click_like"))
+    b = wide.where(F.exists(parts, lambda x: x.isNotNull())).select("user_id", r(F.aggregate(parts, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) + 1e-7).alias("click_like"))
     return a.join(b, "user_id", "full")
 
 
