@@ -11,7 +11,8 @@ encoding, which makes the whole the encoding of the joined text.
 
 Defined cases: a null text encodes as the empty one; special tokens in a
 text are recognised as the tokenizer itself does; repeated rows are
-encoded like any other; extra columns are ignored. No text is cut short.
+encoded like any other; an empty table gives an empty result; extra
+columns are ignored. No text is cut short.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ gives back the text exactly.
 Defined cases: a null role or text is the empty string; turns are ordered
 by turn (null first), then role, then text, so ties and repeated rows have
 one order, and all of them stay; a null conversation id is a conversation
-of its own; extra columns are ignored. Long conversations are written as
+of its own; an empty table gives an empty result; a comparison that is
+shown is ``true`` or ``false``; extra columns are ignored. Long conversations are written as
 several consecutive parts, so no row holds an unbounded number of turns.
 """
 
@@ -210,7 +211,7 @@ def fold(n: Node) -> Node:
     if n.kind == "op" and len(const) == len(n.parts):
         return Node("const", _apply(n.value, *const))
     if n.kind == "show" and const:
-        return Node("const", const[0])
+        return Node("const", shown(const[0]))
     if n.kind == "if" and n.parts[0].kind == "const":
         return n.parts[1] if n.parts[0].value else n.parts[2]
     if n.kind == "block":
@@ -225,6 +226,11 @@ def fold(n: Node) -> Node:
     return n
 
 
+def shown(v: str | bool) -> str:
+    """What an expression puts out: comparisons are true or false."""
+    return v if isinstance(v, str) else str(v).lower()
+
+
 def _apply(op: str, *x):
     return {"+": lambda a, b: a + b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "and": lambda a, b: a and b, "or": lambda a, b: a or b, "not": lambda a: not a}[op](*x)
 
@@ -255,7 +261,7 @@ def _pieces(n: Node, generated: bool = False) -> Callable[[dict], Iterator[tuple
         return lambda scope: iter((piece,))
     if n.kind == "show":
         value = _value(n.parts[0])
-        return lambda scope: iter(((value(scope), generated),))
+        return lambda scope: iter(((shown(value(scope)), generated),))
     if n.kind == "if":
         test, yes, no = _value(n.parts[0]), _pieces(n.parts[1], generated), _pieces(n.parts[2], generated)
         return lambda scope: yes(scope) if test(scope) else no(scope)

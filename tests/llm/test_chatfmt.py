@@ -54,3 +54,9 @@ def test_frames(spark, monkeypatch):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
         assert got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert chatfmt.read_back(chatfmt.format_conversations(df.limit(0))).count() == 0
+
+
+def test_shown_comparisons():
+    messages = [{"role": "user", "text": "x"}]
+    for source, out in (("x{{ 'a' == 'a' }}", "xtrue"), ("{{ 'a' != 'a' }}y", "falsey"), ("{% for m in messages %}{{ m.role == 'user' }}!{% endfor %}", "true!"), ("{{ not 'a' }}", "false")):
+        assert chatfmt.compiled(source)(messages)[0] == out
