@@ -70,7 +70,7 @@ PART = 400_000
 #: Pairs that a task holds before it counts them (32 bytes each, and as much again twice while it does).
 PAIRS = 400_000
 #: Members that one search indexes at once, and documents of a family that one side of a block holds.
-BLOCK, FAMILY = 512, 2000
+BLOCK, FAMILY = 512, 1000
 #: Documents of a list that one task gathers, and documents of a list that one side of a block of pairs holds.
 PIECE, CROSS = 65_536, 8_192
 #: Of DivideSkip: weight of the long lists in its rule for their number. Postings that a heap merges.
@@ -474,7 +474,7 @@ def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, once: bool) -
     """
     group = components(pairs)
     placed = pairs.join(group.withColumnRenamed("component", "g"), F.col("a") == F.col("id")).drop("id")
-    sides = placed.groupBy("g").agg(F.ceil(F.greatest(F.sqrt(F.count(F.lit(1)) / 20_000), F.least(F.count(F.lit(1)) + 1, F.countDistinct("a") + F.countDistinct("b")) / 8_000)).cast("int").alias("side"))
+    sides = placed.groupBy("g").agg(F.ceil(F.greatest(F.sqrt(F.count(F.lit(1)) / 20_000), F.least(F.count(F.lit(1)) + 1, F.countDistinct("a") + F.countDistinct("b")) / 4_000)).cast("int").alias("side"))
     cut = lambda c: F.pmod(F.xxhash64(c), F.col("side")).cast("int")
     placed = stored(placed.join(sides, "g").select("g", cut("a").alias("x"), cut("b").alias("y"), "a", "b"), "placed")
     wanted = placed.select("g", "x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(owners, "id")
