@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import features, fuse, graph, match, quality, vectors, windows
+from ..scratch import written
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -552,13 +553,14 @@ _INFO = f"""WITH {_EDGES}, cat AS (SELECT 'part:' || p_partkey AS source, p_type
     weighted AS (SELECT source, target, relation, value, coalesce(value, 1) * coalesce(idf_entropy, 0) AS weighted_value FROM edges LEFT JOIN info USING (relation, target))"""
 
 
-def _information(spark, d):
+def _information(spark, d, e=None):
     cats = read(spark, d, "part").select(text.node_key("part", F.col("p_partkey")).alias("source"), F.col("p_type").alias("category"))
-    return graph.node_information(edges(spark, d), cats)
+    return graph.node_information(edges(spark, d) if e is None else e, cats)
 
 
 def _weighted(spark, d):
-    return graph.weighted_edges(edges(spark, d), _information(spark, d), "idf_entropy")
+    e = written(edges(spark, d))  # read for the information and for the weights
+    return graph.weighted_edges(e, _information(spark, d, e), "idf_entropy")
 
 
 _INFO_COLUMNS = ("entropy", "cross_entropy", "divergence", "idf", "specificity", "idf_entropy", "idf_entropy_divergence")
