@@ -64,6 +64,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder in the shared one, for files of other formats; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     fs, p = _file_system(spark, path)
     fs.delete(p, True)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, decontam, jaccard, langid, neardup, pii, secrets, sharding, toxicity
-from .common import count_kind, span_digest, table
+from . import bpe, chatfmt, decontam, jaccard, langid, neardup, pii, secrets, sharding, tokenfiles, toxicity
+from .common import count_kind, folder, span_digest, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, vocabulary_path())
+    return tokenfiles.checksums(tokenfiles.read(spark, path))
+
+
 QUERIES: dict = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -89,6 +95,7 @@ QUERIES: dict = {
     "op8_embeddings": op8_embeddings,
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
+    "op12_token_files": op12_token_files,
 }
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
