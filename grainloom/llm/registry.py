@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, decontam, jaccard, langid, neardup, pii, secrets, sharding, tokenfiles, toxicity
+from . import bpe, chatfmt, collocations, decontam, jaccard, langid, neardup, pii, secrets, sharding, tokenfiles, toxicity
 from .common import count_kind, folder, span_digest, table
 
 
@@ -78,6 +78,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-files")
     tokenfiles.write(table(spark, sf_dir, "documents"), path, vocabulary_path())
@@ -95,6 +99,7 @@ QUERIES: dict = {
     "op8_embeddings": op8_embeddings,
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
+    "op11_collocations": op11_collocations,
     "op12_token_files": op12_token_files,
 }
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -163,4 +168,14 @@ ORACLES: dict = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                (3 + sum(20 + {_ESCAPED_LENGTH.format("role")} + {_ESCAPED_LENGTH.format("text")}))::BIGINT AS formatted_chars
         FROM turns GROUP BY conv_id""",
+    "op11_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+             n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+             g AS (SELECT lang, size, phrase, count(*) AS f FROM (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, range(1, 5) s(size) WHERE len(w) >= size)) GROUP BY ALL HAVING count(*) >= 30),
+             c AS (SELECT lang, phrase, f AS a, size, string_split(phrase, ' ') AS ws FROM g WHERE size > 1),
+             k AS (SELECT c.*, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c),
+             s AS (SELECT k.lang, k.phrase, a, arg_min({'l': gl.f, 'r': gr.f}, (2000000::HUGEINT * a // (gl.f + gr.f)) * 4 + k) AS p, min(2000000::HUGEINT * a // (gl.f + gr.f)) AS score FROM k JOIN g gl ON gl.lang = k.lang AND gl.phrase = x JOIN g gr ON gr.lang = k.lang AND gr.phrase = y GROUP BY k.lang, k.phrase, a),
+             d AS (SELECT DISTINCT s.lang, s.phrase FROM s JOIN (SELECT lang, f, array_to_string(ws[i:i + m - 1], ' ') AS part FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT c.*, a AS f, unnest(range(2, size)) AS m FROM c))) b ON b.lang = s.lang AND part = s.phrase AND 100::HUGEINT * f >= 80 * a)
+        SELECT lang, rank, phrase, a, p.l AS l, p.r AS r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s ANTI JOIN d USING (lang, phrase)) JOIN n USING (lang) WHERE rank <= 2000""",
 }
