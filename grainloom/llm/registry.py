@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, collocations, decontam, jaccard, langid, neardup, pii, secrets, sharding, tokenfiles, toxicity
+from . import bpe, chatfmt, collocations, crosstok, decontam, jaccard, langid, neardup, pii, secrets, sharding, tokenfiles, toxicity
 from .common import count_kind, folder, span_digest, table
 
 
@@ -88,6 +88,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checksums(tokenfiles.read(spark, path))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return crosstok.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -101,6 +107,7 @@ QUERIES: dict = {
     "op10_bpe": op10_bpe,
     "op11_collocations": op11_collocations,
     "op12_token_files": op12_token_files,
+    "op13_alignment": op13_alignment,
 }
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
