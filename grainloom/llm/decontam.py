@@ -14,7 +14,8 @@ place to SLACK words behind (and the two rarest at most SLACK astray).
 
 Only SQL functions. Words are lower-cased in A-Z alone. Rows are told
 apart by key and a hash of the text, so repeated rows get equal results
-each, and rows of one key with different texts get their own. A null or
+each (the postings of one of them are searched), and rows of one key with
+different texts get their own. A null or
 wordless text has no words and no hits; a window whose words do not all
 occur in the corpus is dropped; null item ids are not listed; empty
 tables give empty results or no hits; extra columns are ignored. Long
@@ -86,15 +87,24 @@ def plans(found: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame, key: str, text: str, keys: DataFrame, reach: int) -> DataFrame:
-    """Postings (key, h, word, pos, around, first) of the words of keys (word, first), and one with word _END at the end of each text.
+    """Postings (key, h, row, word, pos, around, first) of the words of keys (word, first), and one with word _END at the end of each text.
 
     around: for words that searches start from, the words from `reach` before to `reach` behind, in their own letter case (few are compared).
     """
-    split = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("h"), words(F.col(text)).alias("w"))
-    each = split.select(key, "h", "w", F.posexplode_outer(F.array_append("w", F.lit(_END))).alias("pos", "raw")).withColumn("word", lowered(F.col("raw")))
+    split = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("row"), words(F.col(text)).alias("w"))
+    each = split.select(key, "h", "row", "w", F.posexplode_outer(F.array_append("w", F.lit(_END))).alias("pos", "raw")).withColumn("word", lowered(F.col("raw")))
     around = F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1)
     wanted = small(keys.unionByName(keys.sparkSession.createDataFrame([(_END, False)], "word string, first boolean")), "word")
-    return each.join(wanted, "word").select(key, "h", "word", "pos", F.when(F.col("first"), around).alias("around"), "first")
+    return each.join(wanted, "word").select(key, "h", "row", "word", "pos", F.when(F.col("first"), around).alias("around"), "first")
+
+
+def once(postings: DataFrame, key: str) -> DataFrame:
+    """The postings of words, of rows that repeat a key and text those of one row: else each would meet those of all others."""
+    ends, found = postings.where(F.col("word") == _END), postings.where(F.col("word") != _END)
+    repeats = ends.groupBy(F.col(key).alias("k"), F.col("h").alias("h2")).agg(F.min("row").alias("one"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("k", "h2", "one")
+    repeats = stored(repeats.withColumn("size", F.lit("")), "repeats")
+    same = (F.col("h") == F.col("h2")) & F.col(key).eqNullSafe(F.col("k"))
+    return found.join(small(repeats, "size").drop("size"), same, "left").where(F.col("one").isNull() | (F.col("one") == F.col("row"))).select(*postings.columns)
 
 
 def search(postings: DataFrame, key: str, plan: DataFrame, reach: int, slack: int = SLACK) -> DataFrame:
@@ -103,7 +113,7 @@ def search(postings: DataFrame, key: str, plan: DataFrame, reach: int, slack: in
     begun = first.join(small(plan, "word1"), "word1").withColumn("start", F.col("pos") - F.col("at1")).withColumn("there", F.col("start") + F.col("at2"))
     probes = F.array_distinct(F.array(F.floor((F.col("there") - slack) / _STRETCH), F.floor((F.col("there") + slack) / _STRETCH)))
     begun = begun.select(F.col(key).alias("k"), "h", "id", "start", "there", "pos", "around", "window", "size", "word2", F.explode(probes).alias("stretch"))
-    second = postings.where(F.col("word") != _END).select(F.col(key).alias("k2"), F.col("h").alias("h2"), F.col("word").alias("w2"), F.col("pos").alias("pos2"), F.floor(F.col("pos") / _STRETCH).alias("s2"))
+    second = postings.select(F.col(key).alias("k2"), F.col("h").alias("h2"), F.col("word").alias("w2"), F.col("pos").alias("pos2"), F.floor(F.col("pos") / _STRETCH).alias("s2"))
     same = (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2")) & (F.col("word2") == F.col("w2")) & (F.col("stretch") == F.col("s2"))
     met = begun.join(second, same & (F.abs(F.col("pos2") - F.col("there")) <= slack))
     left = F.greatest(F.col("pos") - reach, F.lit(0))
@@ -124,7 +134,7 @@ def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text:
     keys = plan.select(F.explode(F.array(F.struct(F.col("word1").alias("word"), F.lit(True).alias("first")), F.struct(F.col("word2").alias("word"), F.lit(False).alias("first")))).alias("x"))
     postings = stored(index(docs, key, text, keys.select("x.*").groupBy("word").agg(F.max("first").alias("first")), reach), "postings")
 
-    met = stored(search(postings, key, plan, reach, slack), "matches")
+    met = stored(search(once(postings, key), key, plan, reach, slack), "matches")
     hits = met.where("exact").select(key, "h", "start", "size").distinct().withColumn("end", F.col("start") + F.col("size"))
     before = Window.partitionBy(key, "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0))))

@@ -64,3 +64,20 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(df.limit(0), none).count() == 0
     assert [tuple(x)[:4] for x in decontam.contamination(df, none).collect()] == [(1, 2, 0, 0)]
+
+
+def test_repeated_rows_meet_once(spark, monkeypatch):
+    """Two thousand repeats of one row take the matches of one, and each gets its result; a null key too."""
+    test = " ".join(f"w{i}" for i in range(46))
+    tf = spark.createDataFrame([(9, test)], "item_id long, text string")
+    made = []
+    kept = decontam.stored
+    monkeypatch.setattr(decontam, "stored", lambda df, label: [made.append((label, out := kept(df, label))), out][1])
+    sizes = {}
+    for n in (1, 2000):
+        made.clear()
+        df = spark.range(n).selectExpr("cast(null AS long) AS doc_id", f"'{test}' AS text").union(spark.range(n).selectExpr("5L", f"'x {test}'"))
+        out = decontam.contamination(df, tf).groupBy("doc_id", "n_words", "n_hit", "n_items", "n_near").count().collect()
+        assert sorted((tuple(r) for r in out), key=str) == [(5, 47, 46, 1, 1, n), (None, 46, 46, 1, 1, n)]
+        sizes[n] = dict(made)["matches"].count()
+    assert sizes[2000] == sizes[1]
