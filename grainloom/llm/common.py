@@ -120,12 +120,18 @@ def slices(batch: pa.RecordBatch, column: int = 1, size: int = 1 << 20) -> Itera
         at = end
 
 
+#: The number of this option in glibc's malloc.h.
+_M_MMAP_THRESHOLD = -3
+
+
 def slim() -> None:
     """Gives memory that this worker no longer uses back to the machine: workers are reused, and hold on to it otherwise."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_M_MMAP_THRESHOLD, 1 << 20)  # fixed: it grows with what is freed otherwise, and freed arrays stay in the heap
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 

@@ -25,9 +25,11 @@ rule says how many lists count as long). A heap merges up to HEAP postings;
 above that, as in families of many copies, the merge counts in an array
 over the candidates, which gives the same and is faster in numpy.
 
-No list is held or paired by one task whatever its length: lists of
-frequent shingles are built in pieces of about PIECE documents, and lists
-are paired in blocks of CROSS documents.
+Lists of shingles that count as frequent are built in pieces of about
+PIECE documents, and all lists are paired in blocks of CROSS documents.
+Frequent are shingles that some tasks saw LOCAL times within two million
+shingles; a list of others is built by one task, and holds 12 bytes for
+each of its documents.
 
 Frequent shingles are last in the order and stay in all sets: which ones
 are taken as frequent changes the work, not the result. Hashes of 64 bits
@@ -169,6 +171,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 held, n = [], 0
         if n:
             yield counted()
+        slim()
 
     counts = docs.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MAX).select("token", "n").toArrow()
@@ -203,6 +206,7 @@ def described(docs: DataFrame, late: np.ndarray) -> DataFrame:
                  pa.array([prefix(s, shared.value).tobytes() if len(s) else None for s in sets], pa.binary())],
                 ["doc", "n", "d1", "d2", "prefix"],
             )
+        slim()
 
     return docs.mapInArrow(run, "doc bigint, n int, d1 bigint, d2 bigint, prefix binary")
 
@@ -243,6 +247,7 @@ def lists(reps: DataFrame, parts: int, hot: np.ndarray, pieces: np.ndarray) -> D
                 [pa.array([p for p, _ in rows], pa.int32()), pa.array([short[at].tobytes() for _, at in rows], pa.binary()), *(pa.array([r[i] for r in runs], pa.binary()) for i in range(3))],
                 ["part", "tokens", "docs", "sizes", "runs"],
             )
+        slim()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -324,6 +329,7 @@ def stars(found: DataFrame) -> DataFrame:
                 held, n = [[], [], [], []], 0
         if n:
             yield _pair_batch(*held)
+        slim()
 
     return found.select("least", "least_size", "ids", "sizes").mapInArrow(run, _PAIRS)
 
@@ -352,6 +358,7 @@ def central_stars(postings: DataFrame) -> DataFrame:
                 held, n = [[], [], [], []], 0
         if n:
             yield _pair_batch(*held)
+        slim()
 
     return postings.select("token", "id", "n", "score").mapInArrow(run, _PAIRS)
 
@@ -409,6 +416,7 @@ def across(postings: DataFrame) -> DataFrame:
                     held, n = [[], [], [], []], 0
         if n:
             yield _pair_batch(*held)
+        slim()
 
     return postings.select("token", "id", "n", "comp", "side").mapInArrow(run, _PAIRS)
 
@@ -515,6 +523,8 @@ def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, once: bool) -
         search()
         if links:
             yield out()
+        known.clear()
+        slim()
 
     return rows.select(*block, "a", "b", "packed").mapInArrow(run, "a bigint, b bigint")
 
@@ -598,6 +608,8 @@ def within(families: DataFrame, owners: DataFrame, docs: DataFrame, once: bool)
                     held.append((side, i, s))
         if (out := done()) is not None:
             yield out
+        held.clear()
+        slim()
 
     return rows.select(*block, "side", "id", "packed").mapInArrow(run, "a bigint, b bigint")
 
@@ -611,6 +623,7 @@ def with_sets(wanted: DataFrame, docs: DataFrame, once: bool) -> DataFrame:
         for owned, found in _blocks(batches):
             full = [(k, s) for k, s in zip(owned, found, strict=True) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int64()), pa.array([digest(s)[0] for _, s in full], pa.int64()), pa.array([s.tobytes() for _, s in full], pa.binary())], ["doc", "id", "packed"])
+        slim()
 
     packed = docs.join(F.broadcast(keys) if few else keys, "doc", "left_semi").mapInArrow(sets, "doc bigint, id bigint, packed binary")
     packed = packed if once else packed.dropDuplicates(["doc", "id"])
@@ -634,11 +647,12 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each row of df."""
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     late, seen = frequent(docs)
-    rows = stored(described(docs, late), "sets")
+    rows = stored(described(docs, late).withColumn("row", F.monotonically_increasing_id()), "sets")
     usable = rows.where(F.col("d1").isNotNull() & F.col("doc").isNotNull())
-    classes = stored(usable.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max(F.octet_length("prefix")).alias("size")), "classes")
+    classes = stored(usable.groupBy("d1", "d2").agg(F.min(F.struct("doc", "row")).alias("m"), F.max(F.octet_length("prefix")).alias("size")).select("d1", "d2", F.col("m.doc").alias("rep"), F.col("m.row").alias("rep_row"), "size"), "classes")
     copies = usable.select("doc", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where(F.col("doc") != F.col("rep")).select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
-    reps = usable.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where(F.col("doc") == F.col("rep")).select(F.col("d1").alias("id"), "n", "prefix")
+    held = usable.join(classes.select("d1", "d2", "rep", "rep_row"), ["d1", "d2"]).where(F.col("doc") == F.col("rep"))
+    reps = held.where(F.col("row") == F.col("rep_row")).select(F.col("d1").alias("id"), "n", "prefix")  # one row, however often it is repeated
     owners = classes.select(F.col("d1").alias("id"), F.col("rep").alias("doc"))
 
     postings = (classes.agg(F.sum("size")).first()[0] or 0) // 8
@@ -656,7 +670,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     central = central_stars(central.repartition("token").sortWithinPartitions("token"))
     proposed = stars(found).unionByName(central).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "na": F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")), "nb": F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))})
     first = stored(proposed.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(_related()).select("a", "b"), "stars")
-    once = reps.count() <= classes.count()
+    once = held.count() <= classes.count()
     families = stored(components(first), "families")
     near = stored(within(families, owners, docs, once), "links")
 

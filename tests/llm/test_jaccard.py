@@ -82,3 +82,22 @@ def test_search_and_empty(spark, monkeypatch):
         assert family.search(30, np.ones(31, bool)).tolist() == want
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(df).count() == 0
+
+
+def test_repeated_rows_are_listed_once(spark, monkeypatch):
+    """Two thousand repeats of a row leave the inverted lists and pairs as one does."""
+    r = random.Random(9)
+    words = [f"v{r.randrange(500)}" for _ in range(80)]
+    near = [" ".join(w if r.random() > 0.01 else "other" for w in words) for _ in range(6)]
+    made = []
+    kept = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, label: [made.append((label, out := kept(df, label))), out][1])
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
+    sizes = {}
+    for n in (1, 2000):
+        made.clear()
+        df = spark.range(n).selectExpr("3L AS doc_id", f"'{near[0]}' AS text").union(spark.createDataFrame([(i + 10, t) for i, t in enumerate(near[1:])], "doc_id long, text string"))
+        out = jaccard.join(df).groupBy("doc_id", "component_id").count().collect()
+        assert sorted(map(tuple, out)) == sorted((d, c, m) for (d, _, c), m in {row: n if row[0] == 3 else 1 for row in plain([(3, near[0])] + [(i + 10, t) for i, t in enumerate(near[1:])])}.items())
+        sizes[n] = {k: df.count() for k, df in made if k in ("lists", "stars", "pairs")}
+    assert sizes[2000] == sizes[1]
