@@ -84,3 +84,20 @@ def test_near_duplicates_by_row(spark, tmp_path):
     nine = [t for i, t in got if i == 9]
     assert len(nine) == 1 and nine[0] in (again, again + " more")
     assert [x for x in got if x[0] != 9] == sorted([(1, first), rows[1], *((7, t) for t in own), (7, None), (7, None), (None, first)], key=str)
+
+
+def test_many_repeats_and_map_columns(spark, tmp_path):
+    """Repeats of one row, with and without a key, end as one or as many; a column of maps passes through."""
+    r = random.Random(6)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    one, none, bench = say(40), say(45), say(30)
+    rows = [(1, one)] * 2000 + [(2, say(40)), (3, f"{say(9)} {bench}")] + [(None, none)] * 500 + [(None, bench)] * 500
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").selectExpr("*", "map('k', doc_id) AS extra")
+    df.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, str(tmp_path)).cache()
+    assert kept.columns == docs.columns
+    count = lambda d: sorted(((x.doc_id, x["count"]) for x in d.groupBy("doc_id").count().collect()), key=str)
+    assert count(kept) == [(1, 1), (2, 1), (3, 1), (None, 1000)]
+    assert count(corpus_pipeline.remove_contaminated(spark, kept, str(tmp_path))) == [(1, 1), (2, 1), (None, 500)]
