@@ -41,7 +41,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of rows whose texts link by n-gram Jaccard similarity, directly or through others, one with the smallest doc_id stays."""
     row, digest = fresh(docs, "row"), fresh(docs, "digest")
     number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
-    rows = stored(docs.withColumns({row: number, digest: F.xxhash64(*docs.columns)}), "rows")
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # maps have no hash
+    rows = stored(docs.withColumns({row: number, digest: F.xxhash64(*hashed)}), "rows")
     moved = stored(jaccard.join(rows, row).where(F.col(row) != F.col("component_id")).select(F.col(row).alias("at"), "component_id"), "moved")
     members = moved.unionByName(moved.select(F.col("component_id").alias("at"), "component_id").distinct())
     members = stored(rows.select(F.col(row).alias("at"), F.col("doc_id").alias("id"), F.col(digest).alias("digest")).join(_few(members), "at"), "members")
