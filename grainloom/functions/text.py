@@ -49,9 +49,15 @@ def normalize(c: Column, ascii_only: bool = False) -> Column:
     return F.trim(F.regexp_replace(F.lower(c if ascii_only else F.coalesce(_ascii_fold(_beyond_ascii(c)), c)), "[^a-z0-9%]+", " "))
 
 
+#: Texts of these characters alone are composed already: ASCII, letters of Latin-1, Greek, Cyrillic, Hebrew, kana and Han.
+_COMPOSED = "^[\\x00-\\x7FÀ-ÖØ-öø-ÿΆΈ-ΊΌΎ-ΡΤ-ώЀ-џא-תぁ-ゖァ-ヺ一-鿿]*$"
+
+
 def normalize_unicode(c: Column) -> Column:
-    """as F01 with letters of all scripts kept."""
-    return _unicode_words(_compose(F.coalesce(c, F.lit(""))))
+    """as F01 with letters of all scripts kept. Only texts that may need composing travel to Python."""
+    c = F.coalesce(c, F.lit(""))
+    here = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_%]+", " "))
+    return F.when(c.rlike(_COMPOSED), here).otherwise(_unicode_words(_compose(F.when(~c.rlike(_COMPOSED), c))))
 
 
 def casefolded(c: Column) -> Column:

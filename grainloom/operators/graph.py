@@ -169,3 +169,80 @@ def evidence_weight(x: Column) -> Column:
 
 def union_edges(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id and component (the smallest id that links reach) of every end of links (a, b): large and small stars in turn until nothing moves.
+
+    Each round is written, so a lost executor costs its tasks; the least neighbour of an end is an aggregate, so no task holds all neighbours.
+    """
+    now = written(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).where(F.col("id").isNotNull()).distinct()
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    seen = None
+    while (at := state(now)) != seen:
+        seen = at
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a")
+        small = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        now = written(small.where(F.col("a") != F.col("b")))
+    return ends.join(now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_c")), "id", "left").select("id", F.coalesce("_c", "id").alias("component"))
+
+
+def merged(graphs: list[tuple[DataFrame, DataFrame]], by_label: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Several graphs as one. Nodes of the kinds of by_label are named by their label (an expression); nodes that share an old or a new name,
+    in whatever graph, are one, under the new name of the first (by graph, then name). Edges follow, lose their missing ends (C21), and those that
+    become equal are one, with their number and largest value.
+    """
+    named = F.col("key")
+    for kind, name in by_label.items():
+        named = F.when(F.col("kind") == kind, name).otherwise(named)
+    nodes = written(reduce(DataFrame.unionByName, (n.select("key", "kind", "label").withColumn("graph", F.lit(i)) for i, (n, _) in enumerate(graphs))).withColumn("name", named))
+    old, new = F.concat(F.lit("key "), "key"), F.concat(F.lit("name "), "name")
+    group = written(components(nodes.select(old.alias("a"), new.alias("b"))))
+    placed = nodes.join(group, old == F.col("id")).select("component", "graph", "name", "kind", "label", "key")
+    first = placed.groupBy("component").agg(F.min(F.struct("graph", "name", "key", "kind", "label")).alias("f"), F.countDistinct("graph", "key").alias("n_merged"))
+    out = first.select("component", F.col("f.name").alias("key"), F.col("f.kind").alias("kind"), F.col("f.label").alias("label"), "n_merged")
+    moved = placed.select(F.col("key").alias("old"), "component").distinct().join(out.select("component", F.col("key").alias("new")), "component").select("old", "new")
+    edges = reduce(DataFrame.unionByName, (e.select("source", "target", "relation", "value") for _, e in graphs))
+    for side in ("source", "target"):
+        edges = edges.join(moved.withColumnRenamed("old", side), side).drop(side).withColumnRenamed("new", side)
+    edges = edges.groupBy("source", "target", "relation").agg(F.count(F.lit(1)).alias("n_merged"), F.max("value").alias("value"))
+    return out.drop("component"), edges
+
+
+def weighted_by(edges: DataFrame, info: DataFrame, metrics: list[str]) -> DataFrame:
+    """Source, target, relation, value, metric, weighted_value under all metrics: edges meet the information once, and are stored by metric."""
+    both = edges.join(info.select("relation", "target", *metrics), ["relation", "target"], "left")
+    weight = lambda m: F.coalesce("value", F.lit(1.0)) * F.coalesce(m, F.lit(0.0))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), weight(m).alias("weighted_value")) for m in metrics)))
+    return written(both.select("source", "target", "relation", "value", each.alias("_m")).select("source", "target", "relation", "value", "_m.*"), by=["metric"])
+
+
+def thresholds(weighted: DataFrame, by: str = "metric", quantiles: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.975, 0.99), usual: float = 0.9) -> DataFrame:
+    """threshold_summary() for each value of a column of few values: by, quantile, threshold, edges_retained, sources_covered, median_edges, recommended."""
+    rows = weighted.select(by, "source", "weighted_value")
+    cuts = ranks(rows, "weighted_value", list(quantiles), by).select(by, "quantile", F.col("value").alias("threshold"))
+    per_metric = cuts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("quantile", "threshold"))).alias("_c"))  # six cuts a metric
+    hit = rows.join(F.broadcast(per_metric), by).select(by, "source", F.explode(F.filter("_c", lambda c: c["threshold"] <= F.col("weighted_value"))).alias("c"))
+    per = hit.groupBy(by, "source", "c").agg(F.count(F.lit(1)).alias("n"))
+    out = per.groupBy(by, F.col("c.quantile").alias("quantile"), F.col("c.threshold").alias("threshold")).agg(F.sum("n").alias("edges_retained"), F.count(F.lit(1)).alias("sources_covered"), F.percentile("n", 0.5).alias("median_edges"))
+    out = out.join(F.broadcast(rows.groupBy(by).agg(F.countDistinct("source").alias("_s"))), by)  # a row a metric
+    viable = (F.col("sources_covered") >= 0.95 * F.col("_s")) & (F.col("median_edges") >= 20)
+    best = F.coalesce(F.max(F.when(viable, F.col("quantile"))).over(Window.partitionBy(by)), F.lit(usual))
+    return out.withColumn("recommended", F.col("quantile") == best).drop("_s")
+
+
+def retained(weighted: DataFrame, summary: DataFrame, by: str = "metric") -> DataFrame:
+    """The edges that reach the recommended threshold of their metric."""
+    cut = summary.where("recommended").select(by, "quantile", "threshold")  # a row a metric
+    return weighted.join(F.broadcast(cut), by).where(F.col("weighted_value") >= F.col("threshold"))
+
+
+def without_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges both of whose ends are nodes."""
+    keys = nodes.select("key").distinct()
+    return edges.join(keys.withColumnRenamed("key", "source"), "source", "left_semi").join(keys.withColumnRenamed("key", "target"), "target", "left_semi")

@@ -1,8 +1,7 @@
 """Name matching (J09-J17, C01-C03, C06, C07, G13): blocking by tokens, similarity, ranked candidates.
 
-Blocking joins on tokens; equal names are scored once. At scale the join is
-skewed by frequent tokens only as far as distinct names share them, and
-adaptive execution splits what remains.
+Blocking joins on tokens; equal names are scored once. Frequent tokens are
+dealt out over blocks of names.
 """
 
 from __future__ import annotations
@@ -10,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import confidence_tier, name_similarity, normalize, tokens, trigrams
+from ..functions.text import confidence_tier, name_similarity, normalize, normalize_unicode, tokens, trigrams
 from .windows import top_k
 
 #: Candidates that share most tokens and are scored, and candidates kept for an item.
 POOL, KEEP = 500, 5
+#: Pairs that one token makes in one place.
+SPLIT = 1_000_000
 
 
-def prepared(df: DataFrame, id_col: str, name_col: str, ascii_only: bool = False) -> DataFrame:
-    """id, name, norm, grams, toks of each row."""
-    base = df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")).withColumn("norm", normalize(F.col("name"), ascii_only))
+def prepared(df: DataFrame, id_col: str, name_col: str, ascii_only: bool = False, unicode: bool = False) -> DataFrame:
+    """id, name, norm, grams, toks of each row; unicode: names keep the letters of all scripts."""
+    norm = normalize_unicode(F.col("name")) if unicode else normalize(F.col("name"), ascii_only)
+    base = df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")).withColumn("norm", norm)
     return base.withColumn("grams", trigrams(F.col("norm"))).withColumn("toks", tokens(F.col("norm")))
 
 
@@ -28,11 +30,24 @@ def inverted_index(names: DataFrame) -> DataFrame:
     return names.select("id", F.explode("toks").alias("token")).groupBy("token").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.countDistinct("id").alias("n"))
 
 
-def candidate_pool(left: DataFrame, right: DataFrame, pool: int = POOL) -> DataFrame:
-    """Pairs of ids by shared tokens, the pool with most of them (ties by right id; N02); items that share none get the first of right."""
+def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every pair of ids that shares a token, and how many they share: no cap.
+
+    A token that would make more than SPLIT pairs is dealt out: its left names by hash into blocks of their own, each with the right names.
+    """
     a = left.select(F.col("id").alias("left_id"), F.explode("toks").alias("token"))
     b = right.select(F.col("id").alias("right_id"), F.explode("toks").alias("token"))
-    shared = a.join(b, "token").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared"))
+    n = a.groupBy("token").agg(F.count(F.lit(1)).alias("_a")).join(b.groupBy("token").agg(F.count(F.lit(1)).alias("_b")), "token")
+    frequent = n.select("token", F.ceil(F.col("_a") * F.col("_b") / SPLIT).cast("int").alias("_n")).where("_n > 1")
+    blocks = F.coalesce("_n", F.lit(1))
+    a = a.join(frequent, "token", "left").withColumn("_x", F.pmod(F.xxhash64("left_id"), blocks).cast("int")).drop("_n")
+    b = b.join(frequent, "token", "left").withColumn("_x", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_n")
+    return a.join(b, ["token", "_x"]).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def candidate_pool(left: DataFrame, right: DataFrame, pool: int = POOL) -> DataFrame:
+    """Pairs of ids by shared tokens, the pool with most of them (ties by right id; N02); items that share none get the first of right."""
+    shared = all_pairs(left, right)
     best = top_k(shared, ["left_id"], [F.desc("shared"), F.asc("right_id")], pool, "_r").drop("_r")
     first = right.select(F.col("id").alias("right_id")).orderBy("right_id").limit(pool)
     alone = left.select(F.col("id").alias("left_id")).join(shared.select("left_id").distinct(), "left_id", "left_anti")

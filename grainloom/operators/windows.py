@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 
+#: Rows up to which quantiles() takes the built-in aggregate (at most 16 bytes a distinct value).
+AT_ONCE = 2_000_000
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group, ranked from 1."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
@@ -65,9 +69,14 @@ def running_share(df: DataFrame, value: str, tie: str, share: str = "cumulative_
 def quantiles(df: DataFrame, value: str, at: list[float], by: str | None = None) -> DataFrame:
     """(by), quantile, value: exact, with linear interpolation between neighbours; nulls do not count. by: a column of few values.
 
-    Approximate quantiles cut the values into buckets; only the buckets that hold a wanted rank are ordered.
+    Up to AT_ONCE rows the built-in aggregate is used, which keeps the values in a task. Beyond, approximate quantiles cut
+    the values into buckets; only the buckets that hold a wanted rank are ordered.
     """
     rows = df.where(F.col(value).isNotNull()).select((F.col(by) if by else F.lit(0)).alias("_g"), F.col(value).cast("double").alias("_v"))
+    if rows.count() <= AT_ONCE:
+        found = rows.groupBy("_g").agg(F.percentile("_v", F.array(*map(F.lit, at))).alias("_p"))
+        out = found.select("_g", F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("_p").alias("v"))).alias("_x")).select("_g", F.col("_x.q").alias("quantile"), F.col("_x.v").alias("value"))
+        return out.withColumnRenamed("_g", by) if by else out.drop("_g")
     cuts = rows.groupBy(F.col("_g").alias("_h")).agg(F.percentile_approx("_v", [i / 128 for i in range(1, 128)], 2000).alias("_c"))
     placed = rows.join(F.broadcast(cuts), F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", F.size(F.filter("_c", lambda c: c < F.col("_v"))).alias("_b"))
     sizes = placed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -261,7 +261,7 @@ def token_inverted_index(spark, d):
 def token_jaccard_pairs(spark, d):
     """F06 over the pairs that blocking proposes."""
     a, b = _left(spark, d), _right(spark, d)
-    p = match.candidate_pool(a, b).join(a.select(F.col("id").alias("left_id"), F.col("toks").alias("x")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("toks").alias("y")), "right_id")
+    p = match.all_pairs(a, b).join(a.select(F.col("id").alias("left_id"), F.col("toks").alias("x")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("toks").alias("y")), "right_id")
     return p.select("left_id", "right_id", "shared", r(text.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
@@ -269,7 +269,7 @@ def token_jaccard_pairs(spark, d):
 def trigram_cosine_pairs(spark, d):
     """F04 F05."""
     a, b = _left(spark, d), _right(spark, d)
-    p = match.candidate_pool(a, b).join(a.select(F.col("id").alias("left_id"), F.col("grams").alias("x")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("grams").alias("y")), "right_id")
+    p = match.all_pairs(a, b).join(a.select(F.col("id").alias("left_id"), F.col("grams").alias("x")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("grams").alias("y")), "right_id")
     return p.select("left_id", "right_id", r(text.counted_cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
@@ -277,7 +277,7 @@ def trigram_cosine_pairs(spark, d):
 def name_similarity_pairs(spark, d):
     """F07."""
     a, b = _left(spark, d), _right(spark, d)
-    return match.scored(match.candidate_pool(a, b), a, b).select("left_id", "right_id", "match_score")
+    return match.scored(match.all_pairs(a, b), a, b).select("left_id", "right_id", "match_score")
 
 
 @query(f"{_SCORED} SELECT * FROM c")
@@ -880,4 +880,4 @@ def json_properties(spark, d):
     return read(spark, d, "events").select("event_id", F.coalesce(k, F.lit(0)).cast("long").alias("k"), r(text.clamp(F.col("value") / 100), 6).alias("clamped"))
 
 
-from . import columns, composite, files, layers  # noqa: E402, F401  register more queries
+from . import columns, composite, files, layers, studies  # noqa: E402, F401  register more queries
