@@ -23,6 +23,7 @@ No text is cut short.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _CHUNK, TreeBpe
+from .bpe import _CHUNK, _PRE, TreeBpe
 from .common import slices, slim
 
 #: The id behind each document.
@@ -41,35 +42,41 @@ END = 1
 ROW_GROUP, STRIPE, WRONG = 1000, 16 << 20, 0.01
 #: Files' offsets are broadcast up to so many files (about 40 bytes each), and joined by shuffle beyond.
 BROADCAST_FILES = 1_000_000
-#: Chunks of text without white space whose ids a worker remembers.
+#: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 200_000
 
+#: Text that is cut into pre-tokens here: see bpe._PLAIN.
+_TEXT = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*+")
+
 
 class PackedBpe(TreeBpe):
     """Ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
-        super().__init__(path, cache=REMEMBERED // 4)
+        super().__init__(path, cache=REMEMBERED)
         self.packed: dict[str, bytes] = {}
-
-    def pack(self, raw: str) -> bytes:
-        """The ids of text without white space, remembered if it is short."""
-        n, ids, _ = self.chunk(raw)
-        self.chunks.clear()  # this class has its own
-        out = np.array(ids.split(" ") if n else [], "<i4").tobytes()
-        if len(raw) < 64:
+        self.coded = [i.to_bytes(4, "little") for i in range(max(self.vocab.values()) + 1)]
+
+    def word(self, w: str) -> bytes:
+        """The ids of one pre-token in lower case, remembered if it is short."""
+        if len(w) >= self.long:
+            return b"".join([self.coded[self.vocab[t]] for t in self.slowly(w)])
+        alike = w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet)
+        out = b"".join([self.coded[t.id] for t in self.model.tokenize(alike)])
+        if len(w) < 64:
             if len(self.packed) >= REMEMBERED:
                 self.packed.clear()
-            self.packed[raw] = out
+            self.packed[w] = out
         return out
 
     def ids(self, text: str | None) -> bytes:
-        known = self.packed
-        return b"".join([known.get(raw) or self.pack(raw) for raw in _CHUNK.findall(text or "")])
-
-    def forget(self) -> None:
-        super().forget()
-        self.packed.clear()
+        """The ids of a text: by pre-tokens where its characters are plain, otherwise as the tokenizer cuts it."""
+        if not text:
+            return b""
+        if _TEXT.fullmatch(text) and "<|" not in text:
+            known = self.packed
+            return b"".join([known.get(w) or self.word(w) for w in _PRE.findall(text.lower())])
+        return b"".join([self.coded[self.vocab[t]] for raw in _CHUNK.findall(text) for t in self.slowly(raw)])
 
 
 _BUILT: dict[str, PackedBpe] = {}
@@ -99,7 +106,6 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
             at = before + np.concatenate([[0], ends[:-1]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(b), part), pa.int32()), pa.array(at, pa.int64()), ids], ["key", "part", "at", "ids"])
             before += int(ends[-1])
-        bpe.forget()
         slim()
 
     options = {"orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": WRONG, "orc.row.index.stride": ROW_GROUP, "orc.stripe.size": STRIPE, "orc.compress": "ZSTD"}
