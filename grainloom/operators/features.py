@@ -127,12 +127,18 @@ def pivot_mean(df: DataFrame, key: list[str], name: str, value: str, values: lis
     return df.groupBy(*key).pivot(name, values).agg(F.avg(value))
 
 
+def values_of(df: DataFrame, name: str, most: int = 5_000) -> list[str]:
+    """The distinct values of a column that are to be columns, sorted: more than `most` are an error."""
+    values = [r[0] for r in df.select(name).distinct().orderBy(name).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"more than {most} columns; raise the bound or keep the long form")
+    return values
+
+
 def pivot_sum(df: DataFrame, key: list[str], name: str, value: str, most: int = 5_000) -> DataFrame:
     """All values of name (found first, at most `most`), absent ones 0."""
     named = df.withColumn("_n", feature_token(F.col(name)))
-    values = [r[0] for r in named.select("_n").distinct().orderBy("_n").limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"more than {most} columns; raise the bound or keep the long form")
+    values = values_of(named, "_n", most)
     return named.groupBy(*key).pivot("_n", values).agg(F.sum(value)).na.fill(0)
 
 

@@ -49,7 +49,7 @@ def node_information(edges: DataFrame, categories: DataFrame) -> DataFrame:
     pairs = edges.select("source", "target", "relation").distinct().join(categories, "source")
     counts = pairs.groupBy("relation", "target", "category").agg(F.countDistinct("source").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("relation", "target"))
-    terms = counts.withColumn("p", p).join(F.broadcast(background), "category").crossJoin(F.broadcast(totals)).withColumn("q", F.greatest(F.col("_b") / F.col("n_sources"), F.lit(1e-12)))
+    terms = counts.withColumn("p", p).join(background, "category").crossJoin(F.broadcast(totals)).withColumn("q", F.greatest(F.col("_b") / F.col("n_sources"), F.lit(1e-12)))
     info = terms.groupBy("relation", "target").agg(
         F.sum("n").alias("prevalence"), F.max("n_sources").alias("n_sources"), F.max("n_categories").alias("n_categories"),
         F.sum(-F.col("p") * F.ln("p")).alias("entropy"), F.sum(-F.col("p") * F.ln("q")).alias("cross_entropy"), F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("divergence"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -38,13 +36,18 @@ def models(kind: str) -> dict:
     return {"logistic": LogisticRegression(labelCol="_y", weightCol="_w"), "forest": RandomForestClassifier(labelCol="_y", weightCol="_w", numTrees=300, seed=42)}
 
 
+def share_of(key: str, fold: int, seed: int = 42):
+    """A number from 0 to 1 by the key: below the test share a row is in the fold's test."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(fold)), F.lit(1_000_003)) / 1_000_003
+
+
 def split(df: DataFrame, key: str, fold: int, test: float = 0.2, seed: int = 42, strata: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Train and test by a hash of the key, so a split does not depend on partitions.
 
     strata: a column of few values; of each value's rows the share `test` with the smallest hashes is the test
     (to a hash's precision by its quantile), so that every class is in both.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(fold)), F.lit(1_000_003)) / 1_000_003
+    u = share_of(key, fold, seed)
     if strata is None:
         return df.where(u >= test), df.where(u < test)
     marked = df.withColumn("_u", u)
@@ -79,9 +82,41 @@ def classification_metrics(pred: DataFrame) -> DataFrame:
 
 
 def compared(df: DataFrame, key: str, sets: dict[str, list[str]], targets: list[str], folds: int = 5, names: list[str] | None = None) -> DataFrame:
-    """The scores of all feature sets and targets: feature_set, target and what summarised() gives."""
-    each = [summarised(evaluated(df, key, columns, y, folds, names)).select(F.lit(s).alias("feature_set"), F.lit(y).alias("target"), "*") for s, columns in sets.items() for y in targets]
-    return reduce(DataFrame.unionByName, each)
+    """The scores of all feature sets and targets: feature_set, target and what summarised() gives.
+
+    The linear models of numeric targets come from sums that one pass gathers (see moments); other models read one stored table.
+    """
+    from . import moments
+
+    columns = list(dict.fromkeys(c for cs in sets.values() for c in cs))
+    data = written(df.select(key, *columns, *targets))
+    kinds = {y: task_kind(data, y) for y in targets}
+    wanted = lambda kind: [n for n in models(kind) if not names or n in names]
+    out = None
+    add = lambda rows: rows if out is None else out.unionByName(rows)
+    numeric = [y for y in targets if kinds[y] == "regression"]
+    linear = [n for n in wanted("regression") if n in moments.MODELS]
+    if numeric and linear:
+        scores = moments.bank(data, key, sets, numeric, folds).where(F.col("model").isin(linear))
+        out = summarised(scores, "feature_set", "target")
+    for y in targets:
+        rest = [n for n in wanted(kinds[y]) if kinds[y] != "regression" or n not in moments.MODELS]
+        for s, chosen in sets.items() if rest else ():
+            out = add(summarised(evaluated(data.where(F.col(y).isNotNull()), key, chosen, y, folds, rest)).select(F.lit(s).alias("feature_set"), F.lit(y).alias("target"), "*"))
+    return out
+
+
+def run_from_files(spark, x_path: str, y_path: str, key: list[str], sets: dict[str, list[str]], targets: list[str], out: str, folds: int = 5, names: list[str] | None = None) -> DataFrame:
+    """Tables read by their extensions, aligned by key, compared, and the scores written below out; returns them as they are read back."""
+    from ..sources.readers import read_any
+    from ..sources.writers import write_table
+
+    x, y = read_any(spark, x_path), read_any(spark, y_path)
+    columns = list(dict.fromkeys(c for cs in sets.values() for c in cs))
+    rows = x.select(*key, *(F.col(c).cast("double").alias(c) for c in columns)).join(y.select(*key, *(F.col(t).cast("double").alias(t) for t in targets)), key)
+    rows = rows.withColumn("_id", F.concat_ws("|", *key)).drop(*key)
+    write_table(compared(rows, "_id", sets, targets, folds, names), f"{out}/summary_metrics.parquet")
+    return read_any(spark, f"{out}/summary_metrics.parquet")
 
 
 def evaluated(df: DataFrame, key: str, columns: list[str], target: str, folds: int = 5, names: list[str] | None = None) -> DataFrame:
@@ -109,6 +144,6 @@ def evaluated(df: DataFrame, key: str, columns: list[str], target: str, folds: i
     return out
 
 
-def summarised(scores: DataFrame) -> DataFrame:
+def summarised(scores: DataFrame, *by: str) -> DataFrame:
     """Mean and sample deviation over folds."""
-    return scores.groupBy("model", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("std"), F.count(F.lit(1)).alias("n_folds"))
+    return scores.groupBy(*by, "model", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("std"), F.count(F.lit(1)).alias("n_folds"))

@@ -880,4 +880,4 @@ def json_properties(spark, d):
     return read(spark, d, "events").select("event_id", F.coalesce(k, F.lit(0)).cast("long").alias("k"), r(text.clamp(F.col("value") / 100), 6).alias("clamped"))
 
 
-from . import columns, composite, files, layers, studies  # noqa: E402, F401  register more queries
+from . import columns, composite, files, layers, runs, studies  # noqa: E402, F401  register more queries

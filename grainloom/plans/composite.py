@@ -70,13 +70,6 @@ def classification_folds(spark, d):
     return learn.summarised(learn.evaluated(_classes(spark, d), "participant", ["price", "size"], "y"))
 
 
-@query()
-def feature_set_comparison(spark, d):
-    """Three sets of features for two targets, linear models."""
-    df = written(_design(spark, d)).withColumn("z", F.col("price") * 0.02 - F.col("y") * 0.5)
-    return learn.compared(df, "participant", {"price": ["price"], "size": ["size"], "both": ["price", "size"]}, ["y", "z"], names=["linear", "ridge"])
-
-
 @query(_SPLIT_SQL)
 def split_sizes(spark, d):
     """Repeated splits by class leave a fifth of each class for the test, and no row twice."""

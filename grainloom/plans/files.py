@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import quality
+from ..operators import adapters, quality
 from ..scratch import work_dir
 from ..sources import readers, sheets, writers
 from .catalogue import _EDGES, _NODES, edges, nodes, query, read
@@ -286,8 +286,12 @@ def category_options(spark, d):
     return pick("customer", "c_mktsegment").unionByName(pick("region", "r_name")).where("option <> ''").distinct()
 
 
-@query("SELECT 'customer' AS name, true AS unique_ids UNION ALL SELECT 'part', true")
+@query("""WITH x AS (SELECT o_custkey AS participant, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders), t AS (SELECT 'predict_' || lower(n_name) AS task, CASE n_nationkey % 3 WHEN 0 THEN 'balance' WHEN 1 THEN 'segment' ELSE 'unknown' END AS target FROM nation),
+    c("check", n_seen, n_failed) AS (SELECT 'participants are unique', count(*), count(*) FILTER (n > 1) FROM (SELECT count(*) AS n FROM x GROUP BY participant) UNION ALL SELECT 'participants are known', count(*), count(*) FILTER (participant IS NULL) FROM x UNION ALL SELECT 'values are finite', count(*), count(*) FILTER (price IS NULL) FROM x
+        UNION ALL SELECT 'features are numeric columns', 3, 2 UNION ALL SELECT 'tasks are unique', count(DISTINCT task), 0 FROM t UNION ALL SELECT 'targets are known', count(*), count(*) FILTER (target NOT IN ('balance', 'segment')) FROM t) SELECT "check", n_seen::BIGINT AS n_seen, n_failed::BIGINT AS n_failed, n_failed = 0 AS passed FROM c""")
 def checked_exports(spark, d):
-    """Which tables may go into an adapter's export; a repeated id would fail."""
-    n = lambda t, k: quality.checked_unique(read(spark, d, t).select(k), [k]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), (F.col("n") >= 0).alias("unique_ids"))
-    return n("customer", "c_custkey").unionByName(n("part", "p_partkey"))
+    """The constraints of an adapter's export as rows of a report: what was seen, and what failed."""
+    x = read(spark, d, "orders").select(F.col("o_custkey").alias("participant"), F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice")).alias("price"), "o_orderstatus")
+    k = F.col("n_nationkey") % 3
+    tasks = read(spark, d, "nation").select(F.concat(F.lit("predict_"), F.lower("n_name")).alias("task"), F.when(k == 0, "balance").when(k == 1, "segment").otherwise("unknown").alias("target"))
+    return adapters.checks(x, "participant", ["price", "o_orderstatus", "gone"], tasks, ["balance", "segment"])

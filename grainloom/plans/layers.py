@@ -355,7 +355,7 @@ def participant_lookup(spark, d):
 def abundance_summary(spark, d):
     """A long table made wide, its diversity and the sum of matching columns, side by side."""
     e = read(spark, d, "events")
-    kinds = [x[0] for x in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of types
+    kinds = features.values_of(e, "event_type")
     wide = features.shaped(e, "user_id", ("event_type", "value"), kinds)
     long = fuse.long_form(wide, ["user_id"], kinds, "event_type", "v").where("v > 0")
     share = long.join(long.groupBy("user_id").agg(F.sum("v").alias("t")), "user_id").withColumn("p", F.col("v") / F.col("t"))
