@@ -86,3 +86,16 @@ def test_dense_long_text(spark):
     assert got[1].out == "mail é[EMAIL] ip [IP] or [PHONE] and [CARD];\n" * n
     assert got[2].out == "x" * 3_000_000 and got[3].out == ""
     assert time.time() - began < 60
+
+
+def test_ibans_of_all_registered_countries(spark):
+    def iban(country):
+        body = "".join(str(i % 10) for i in range(pii.IBAN_LENGTHS[country] - 4))
+        rest = int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        return f"{country}{98 - rest:02d}{body}"
+
+    said = {c: iban(c) for c in pii.IBAN_LENGTHS} | {"given": "OM810180000001299123456"}
+    rows = spark.createDataFrame([(k, f"account {v} of") for k, v in said.items()], "doc_id string, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind == "iban"] for r in pii.find_personal(rows).collect()}
+    assert got == {k: [("iban", 8, 8 + len(v))] for k, v in said.items()}
+    assert {"OM", "BI", "DJ", "FK", "HN", "MN", "NI", "RU", "SO", "YE"} <= pii.IBAN_LENGTHS.keys()
