@@ -31,6 +31,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 KINDS = ("assign", "access", "hex", "literal")
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -38,7 +40,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # as greedy runs of 32 and more
 
 #: Of the text turned round, what stands before an assignment: a subscript, or a name with or without quotes (and the type that some languages put behind it).
-_BEFORE = re.compile(r"""[\x20\t]*+(?:gnirts[\x20\t]++)?(?:\][\x20\t]*+["']([A-Za-z0-9_.\-]++)["'][\x20\t]*+\[|["'`]?([A-Za-z0-9_.\-]++)["'`]?)""", re.A)
+_BEFORE = re.compile(r"""[\x20\t]*+(?:gnirts[\x20\t]++)?(?:\][\x20\t]*+["']([A-Za-z0-9_.\-]++)["'][\x20\t]*+\[([\w.$]*+)|["'`]?([A-Za-z0-9_.\-]++)["'`]?)""", re.A)
+#: A subscript that is a text.
+_SUBSCRIPT = re.compile(r"""\[[\x20\t]*+["']([A-Za-z0-9_.\-]++)["'][\x20\t]*+\]""", re.A)
 _ASSIGNS = re.compile(r"\+=|\?=|:=|=>|(?<![=!<>~:+*/%&|^-])=(?![=~])|:(?![:/=])")
 _TYPE = re.compile(r"[\x20\t]*+(?:[&*]|mut\b)*+[A-Za-z_][\w.]*+(?:\[[^\]\n=]*+\]|<[^<>\n=]*+>)?\??(?:[\x20\t]*+\|[\x20\t]*+None)?[\x20\t]*+=(?![=>~])", re.A)
 _ALONG, _OVER = re.compile(r"(?:[\x20\t]|\\\n)*+"), re.compile(r"(?:\s|\\\n|#[^\n]*+|//[^\n]*+)*+")
@@ -54,7 +58,7 @@ _KEY = re.compile(r"[\x20\t]*+(?:=(?!=)|:(?![:/=])|:=|=>|\+=)")
 _FOLDED = re.compile(r"[|>][+-]?[\x20\t]*+\n(?=([\x20\t]++))")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*+)(?:\s[^<>]*+)?>([^<>]++)</", re.A)
 _ATTRIBUTES = re.compile(r"""\b(?:key|name)\s*+=\s*+["']([^"'<>\n]++)["']\s++value\s*+=\s*+["']([^"'<>\n]++)["']""", re.A)
-_SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?(?![a-z])|pwd|secret|token|api_?key|access_?key|private_?key|credential|auth(?!or(?!iz))", re.I | re.A)
+_SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?(?![a-z])|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?!or(?!iz))", re.I | re.A)
 
 #: A literal is reported from this score on.
 MIN_SCORE = 0.6
@@ -133,8 +137,8 @@ class Lexer:
             at = 0
             while m := _ASSIGNS.search(self.text, at):
                 at = m.end()
-                if name := self.name_before(m.start()):
-                    at = self.assign(name, m.group(), at)
+                if found := self.name_before(m.start()):
+                    at = self.assign(*found, m.group(), at)
         if "</" in self.text:
             for m in _ELEMENT.finditer(self.text):
                 self.markup(m)
@@ -153,12 +157,13 @@ class Lexer:
         self.nodes.append(((start, end), []))
         return len(self.nodes) - 1
 
-    def name_before(self, at: int) -> str | None:
+    def name_before(self, at: int) -> tuple[str, str] | None:
+        """The name that is assigned to, and the constant that this makes known: the name, or a subscript with what it is of."""
         m = _BEFORE.match(self.turned, len(self.text) - at)
-        name = m and (m.group(1) or m.group(2))[::-1].lstrip("-.0123456789")
-        return name or None
+        name = m and (m.group(1) or m.group(3))[::-1].lstrip("-.0123456789")
+        return (name, f"{m.group(2)[::-1]}[{m.group(1)[::-1]}]" if m.group(1) else name) if name else None
 
-    def assign(self, name: str, op: str, at: int) -> int:
+    def assign(self, name: str, slot: str, op: str, at: int) -> int:
         """Reads the value behind an assignment; where the search for further ones goes on."""
         text = self.text
         if op == ":" and (m := _TYPE.match(text, at)):
@@ -167,17 +172,17 @@ class Lexer:
             found, at = self.folded(m)
         else:
             found, at = self.value(at, code=op != ":" and text[at : at + 1] == " ")
-        if op == "+=" and found and name in self.known:
-            found[0].insert(0, self.known[name])
+        if op == "+=" and found and slot in self.known:
+            found[0].insert(0, self.known[slot])
         for parts in found:
             if len(parts) > 1:
                 self.nodes.append((None, parts))
             node = len(self.nodes) - 1 if len(parts) > 1 else parts[0]
             self.assigned.append((name, node))
         if len(found) == 1:
-            self.known[name] = self.assigned[-1][1]
+            self.known[slot] = self.assigned[-1][1]
         else:
-            self.known.pop(name, None)
+            self.known.pop(slot, None)
         return at
 
     def folded(self, m: re.Match) -> tuple[list[list[int]], int]:
@@ -222,7 +227,10 @@ class Lexer:
                 if m and depth and _KEY.match(text, m.end()):
                     break
                 after = text[m.end() : m.end() + 1] if m else ""
-                if m and after == "(" or m and after == "[":
+                if m and (inside := _SUBSCRIPT.match(text, m.end())) and (slot := f"{m.group()}[{inside.group(1)}]") in self.known:
+                    found[-1].append(self.known[slot])
+                    at, due = inside.end(), False
+                elif m and after == "(" or m and after == "[":
                     depth, at = depth + 1, m.end() + 1
                 elif m and m.group() in self.known and not (after and _BARE.match(after)):
                     found[-1].append(self.known[m.group()])
@@ -305,7 +313,7 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     names = ("kind", "start", "end", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             spans = [[dict(zip(names, s, strict=True)) for s in scan(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(span))], [key, "spans"])
 

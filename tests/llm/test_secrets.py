@@ -93,3 +93,12 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, 'x_token = "abc123def456"', "c"), (1, None, "c"), (None, "password=abcdefgh", "c")], "doc_id long, text string, spans string")
     out = {(r.doc_id, len(r.spans)) for r in secrets.find_secrets(df).collect()}
     assert out == {(1, 2), (1, 0), (None, 2)} and secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_dashed_names_and_constants_by_subscript():
+    assert found("run --api-key=abcd1234efgh x") == {"abcd1234efgh"}
+    assert found("x-access-key: abcd1234efgh") == {"abcd1234efgh"}
+    assert found('d["k"] = "abcd1234efgh"\ntoken = d["k"]') == {"abcd1234efgh"}
+    assert found('cfg.d[\'k\'] = "abcd1234"\ncfg.d["k"] += "efgh"\nsecret = cfg.d["k"] + "zz"') == {"abcd1234", "efgh", "zz"}
+    assert found('d["k"] = "abcd1234efgh"\nd["k"] = f(x)\ntoken = d["k"]') == set()
+    assert found('a["k"] = "abcd1234efgh"\ntoken = b["k"]\nk = 1\ntoken = k') == set()
