@@ -140,3 +140,24 @@ def test_layers_columns_scenarios_identities(spark):
     people = spark.createDataFrame([(1, "Crème Brûlée"), (2, None), (3, "")], "id long, name string")
     links = runs.identity_links({"a": (people, "id", "name"), "b": (spark.createDataFrame([("k", "creme-brulee"), ("l", "")], "id string, name string"), "id", "name")})
     assert [tuple(x) for x in links.collect()] == [("a", "1", "b", "k", "creme brulee")]
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_vector_means(spark, monkeypatch, cells):
+    """Partial sums over tasks, a hot key, null keys and elements, weights of 0, and vectors of two lengths."""
+    from grainloom.operators import features
+
+    monkeypatch.setattr(features, "CELLS", cells)
+    r = random.Random(5)
+    vectors = [(i, [r.random() if r.random() > 0.1 else None for _ in range(r.choice([3, 5]))]) for i in range(12)] + [(90, None), (91, [])]
+    events = [(r.choice(["hot"] * 8 + ["a", "b", None]), r.randrange(14), r.choice([0.0, 1.0, 2.5, None])) for _ in range(600)] + [("none", 0, 0.0)]
+    df = spark.createDataFrame(events, "who string, item int, grams double").repartition(6)
+    got = {(x.who, x.dim): x.value for x in features.vector_mean(df, spark.createDataFrame(vectors, "item int, embedding array<double>"), ["who"]).collect()}
+    sums = defaultdict(lambda: [0.0, 0.0])
+    known = dict(vectors)
+    for who, item, g in events:
+        for dim, v in enumerate(known.get(item) or []):
+            sums[who, dim][0] += (v or 0) * (g or 0)
+            sums[who, dim][1] += g or 0
+    assert got.keys() == sums.keys()
+    assert all(got[k] == pytest.approx(s / w if w else 0.0) for k, (s, w) in sums.items())
