@@ -55,10 +55,15 @@ def lowered(word: Column) -> Column:
     return F.when(F.lower(word) == word, word).otherwise(ascii_lower(word))
 
 
-def small(df: DataFrame, column: str) -> DataFrame:
-    """df, marked for broadcast if the texts of column and 64 bytes a row are within BROADCAST_BYTES."""
+def fits(df: DataFrame, column: str, most: int | None = None) -> bool:
+    """Whether the texts of column and 64 bytes a row are within `most` bytes (BROADCAST_BYTES)."""
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
-    return F.broadcast(df) if rows * 64 + size <= BROADCAST_BYTES else df
+    return rows * 64 + size <= (BROADCAST_BYTES if most is None else most)
+
+
+def small(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
+    """df, marked for broadcast if it fits()."""
+    return F.broadcast(df) if fits(df, column, most) else df
 
 
 def windows(tests: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -91,11 +96,19 @@ def index(docs: DataFrame, key: str, text: str, keys: DataFrame, reach: int) ->
 
     around: for words that searches start from, the words from `reach` before to `reach` behind, in their own letter case (few are compared).
     """
-    split = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("row"), words(F.col(text)).alias("w"))
-    each = split.select(key, "h", "row", "w", F.posexplode_outer(F.array_append("w", F.lit(_END))).alias("pos", "raw")).withColumn("word", lowered(F.col("raw")))
     around = F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1)
-    wanted = small(keys.unionByName(keys.sparkSession.createDataFrame([(_END, False)], "word string, first boolean")), "word")
-    return each.join(wanted, "word").select(key, "h", "row", "word", "pos", F.when(F.col("first"), around).alias("around"), "first")
+    out = [key, "h", "row", "word", "pos", F.when(F.col("first"), around).alias("around"), "first"]
+    wanted = keys.unionByName(keys.sparkSession.createDataFrame([(_END, False)], "word string, first boolean"))
+    rows = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("_text"))
+    each = F.posexplode_outer(F.array_append("w", F.lit(_END))).alias("pos", "raw")
+    if fits(wanted, "word"):
+        found = rows.select(key, "h", "row", words(F.col("_text")).alias("w")).select(key, "h", "row", "w", each).withColumn("word", lowered(F.col("raw")))
+        return found.join(F.broadcast(wanted), "word").select(*out)
+    # Words meet the wanted ones by shuffle without their texts; what is found goes back to each text at once.
+    rows = stored(rows, "texts")
+    found = rows.select("row", words(F.col("_text")).alias("w")).select("row", each).withColumn("word", lowered(F.col("raw"))).join(wanted, "word")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("word", "pos", "first")).alias("found"))
+    return rows.join(found, "row").select(key, "h", "row", words(F.col("_text")).alias("w"), F.explode("found").alias("x")).select(key, "h", "row", "w", "x.*").select(*out)
 
 
 def once(postings: DataFrame, key: str) -> DataFrame:

@@ -81,3 +81,18 @@ def test_repeated_rows_meet_once(spark, monkeypatch):
         assert sorted((tuple(r) for r in out), key=str) == [(5, 47, 46, 1, 1, n), (None, 46, 46, 1, 1, n)]
         sizes[n] = dict(made)["matches"].count()
     assert sizes[2000] == sizes[1]
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    """Where nothing may be broadcast, words are joined by shuffle, and results stay."""
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice(["the", "of", "É", "x1", "Word", "to", "zq", "in"]) for _ in range(n))
+    tests = [(i, say(r.choice([2, 10, 14]))) for i in range(6)]
+    docs = [(i, f"{say(r.randint(0, 20))} {r.choice(tests)[1]} {say(3)}" if i % 2 else say(r.randint(0, 30))) for i in range(30)] + [(90, None), (91, ""), (None, tests[0][1])] + [(92, tests[1][1])] * 3
+    df, tf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")
+    want = sorted(map(tuple, decontam.contamination(df, tf).collect()), key=str)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = sorted(map(tuple, decontam.contamination(df, tf).collect()), key=str)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and [x[:6] for x in got] == plain(docs, tests)
