@@ -77,6 +77,7 @@ def quantiles(df: DataFrame, value: str, at: list[float], by: str | None = None)
         found = rows.groupBy("_g").agg(F.percentile("_v", F.array(*map(F.lit, at))).alias("_p"))
         out = found.select("_g", F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("_p").alias("v"))).alias("_x")).select("_g", F.col("_x.q").alias("quantile"), F.col("_x.v").alias("value"))
         return out.withColumnRenamed("_g", by) if by else out.drop("_g")
+    rows = written(rows)  # read three times
     cuts = rows.groupBy(F.col("_g").alias("_h")).agg(F.percentile_approx("_v", [i / 128 for i in range(1, 128)], 2000).alias("_c"))
     placed = rows.join(F.broadcast(cuts), F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", F.size(F.filter("_c", lambda c: c < F.col("_v"))).alias("_b"))
     sizes = placed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
