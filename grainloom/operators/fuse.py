@@ -106,7 +106,7 @@ def coverage_registry(features: DataFrame, items: DataFrame, amounts: DataFrame)
 
     features: feature; items: item, primary_id, proxy_id, ratio; amounts: feature, donor, amount (a row each).
     """
-    grid = items.crossJoin(F.broadcast(features))  # a stated grid: every feature of every item is an output row
+    grid = items.crossJoin(features)  # a stated grid: every feature of every item is an output row
     ok = amounts.where(covered(F.col("amount")))
     own = ok.select("feature", F.col("donor").alias("primary_id"), F.col("amount").alias("own"))
     proxy = ok.select("feature", F.col("donor").alias("proxy_id"), F.col("amount").alias("other"))

@@ -140,6 +140,15 @@ def merged_graph_edges(spark, d):
     return _both(spark, d)[1].withColumn("value", r("value", 2))
 
 
+@query(f"""WITH {_EDGES}, {_NODES}, k AS (SELECT * FROM nodes WHERE kind <> 'brand' AND key <> 'supplier:1') SELECT source, target, relation, CASE WHEN length(a.label || ' > ' || b.label) > 60 THEN substr(a.label || ' > ' || b.label, 1, 60) ELSE a.label || ' > ' || b.label END AS caption
+    FROM edges JOIN k a ON a.key = source JOIN k b ON b.key = target""")
+def full_graph_export(spark, d):
+    """The edges whose ends are both in the export, with a caption of bounded length; edges of nodes that were left out go."""
+    n = written(nodes(spark, d).where("kind <> 'brand' AND key <> 'supplier:1'"))
+    whole = graph.labelled(graph.without_dangling(n, edges(spark, d)), n)
+    return whole.select("source", "target", "relation", F.substring(F.concat_ws(" > ", "source_label", "target_label"), 1, 60).alias("caption"))
+
+
 _METRICS = ["idf", "idf_entropy", "idf_entropy_divergence"]
 _QUANTILES = (0.5, 0.75, 0.9, 0.95, 0.975, 0.99)
 _BY_METRIC = f"""{_INFO}, wm AS ({" UNION ALL ".join(f"SELECT source, target, relation, '{m}' AS metric, round(coalesce(value, 1) * coalesce({m}, 0), 6) AS x FROM edges LEFT JOIN info USING (relation, target)" for m in _METRICS)}),
