@@ -30,23 +30,25 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, slim, stored
 
 #: Units whose alignment a worker remembers, and their characters.
-REMEMBERED, CHARACTERS = 150_000, 8 << 20
+REMEMBERED, CHARACTERS = 300_000, 16 << 20
 #: Pairs of ids whose counts are sent to the tasks at once (17 bytes each); more go in further rounds.
 PAIRS = 2_000_000
 
-#: Text that is cut into units, and the place of a cut; the second pattern finds spaces where no cut is made.
+#: Text that is cut into units, and the place of a cut; and spaces where no cut is made.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*+")
 _PLACE = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ]) (?=.)", re.S)
-_UNCUT = re.compile(r"(?:^|[\t\n\r ]) | $")
+_UNCUT = ("  ", "\t ", "\n ", "\r ")
 _SPACE = "▁"
 
 
@@ -105,9 +107,9 @@ class Aligner:
     def forget(self) -> None:
         #: The number of each known unit; by number: A's tokens, B's tokens, groups (-1: the bytes differ); the groups as text; where its links begin in `links`.
         self.number: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int]] = []
+        self.counts = np.empty((0, 3), np.int64)
         self.shown: list[str] = []
-        self.first = [0]
+        self.first = np.zeros(1, np.int64)
         self.links = np.empty(0, np.int64)
         self.characters = 0
 
@@ -116,30 +118,37 @@ class Aligner:
         """The text's units without the space in front of each."""
         if not _PLAIN.fullmatch(text):
             return [text]
-        return _PLACE.split(text) if _UNCUT.search(text) else text.split(" ")
+        uncut = text[0] == " " or text[-1] == " " or any(x in text for x in _UNCUT)
+        return _PLACE.split(text) if uncut else text.split(" ")
+
+    @staticmethod
+    def spelled(ids: np.ndarray, n: np.ndarray, table: list[bytes], lengths: np.ndarray, whole: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each unit's tokens (n of ids) are the unit's."""
+        parts = [table[i] for i in ids.tolist()]
+        upto = np.append(0, np.cumsum(n))
+        if (np.append(0, np.cumsum(lengths[ids]))[upto[1:]] == np.cumsum(size)).all() and b"".join(parts) == b"".join(whole):
+            return np.ones(len(whole), bool)
+        return np.array([b"".join(parts[i:j]) == w for i, j, w in zip(upto[:-1], upto[1:], whole, strict=True)], bool)
 
     def learn(self, units: list[str]) -> None:
         """Encodes units that are not known, all at once: their bitsets are stretches of two long ones."""
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         ids_b = self.b.encode(units, num_threads=1)
         whole = [b" " + u.encode() for u in units]
-        joined = lambda table, ids: b"".join([table[i] for i in ids])
-        good = [i for i, w in enumerate(whole) if joined(self.bytes_a, ids_a[i]) == w == joined(self.bytes_b, ids_b[i])]
-        a = np.fromiter((t for i in good for t in ids_a[i]), np.int64)
-        b = np.fromiter((t for i in good for t in ids_b[i]), np.int64)
-        size = np.array([len(whole[i]) for i in good], np.int64)
+        n_a, n_b, size = (np.fromiter(map(len, x), np.int64, len(units)) for x in (ids_a, ids_b, whole))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        good = self.spelled(a, n_a, self.bytes_a, self.size_a, whole, size) & self.spelled(b, n_b, self.bytes_b, self.size_b, whole, size)
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        size = size * good
         places, rank_a, rank_b = shared_cuts(self.size_a[a], self.size_b[b], int(size.sum()))
-        text_a, text_b = [str(t) for t in a.tolist()], [str(t) for t in b.tolist()]
-        begin_a, begin_b = [0, *rank_a.tolist()], [0, *rank_b.tolist()]
-        groups = [",".join(text_a[begin_a[g] : begin_a[g + 1]]) + "|" + ",".join(text_b[begin_b[g] : begin_b[g + 1]]) for g in range(len(places))]
-        upto = [0, *(np.searchsorted(places, np.cumsum(size) - 1) + 1).tolist()]  # groups before the end of each unit: it is a shared cut
-        span = {i: (upto[k], upto[k + 1]) for k, i in enumerate(good)}
-        for i, u in enumerate(units):
-            begin, end = span.get(i, (0, 0))
-            self.number[u] = len(self.counts)
-            self.counts.append((len(ids_a[i]), len(ids_b[i]), end - begin if i in span else -1))
-            self.shown.append(";".join(groups[begin:end]))
-            self.first.append(self.first[-1] + end - begin)
+        upto = np.searchsorted(places, np.cumsum(size) - 1, side="right")  # groups up to the end of each unit: it is a shared cut
+        n_groups = np.diff(upto, prepend=0)
+        joined = lambda upto, parts, by: pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, upto), pa.int32()), parts.cast(pa.string())), by)
+        groups = pc.binary_join_element_wise(joined(rank_a, pa.array(a), ","), joined(rank_b, pa.array(b), ","), "|")
+        self.shown += joined(upto, groups, ";").to_pylist()
+        self.number.update(zip(units, range(len(self.counts), len(self.counts) + len(units)), strict=True))
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, np.where(good, n_groups, -1)], axis=1)])
+        self.first = np.concatenate([self.first, self.first[-1] + upto])
         self.links = np.concatenate([self.links, (a[rank_a - 1] << 32) | b[rank_b - 1]])
         self.characters += sum(map(len, units))
 
@@ -150,20 +159,20 @@ class Aligner:
             self.forget()
         if new := list({u: None for us in split for u in us if u not in self.number}):
             self.learn(new)
-        counts, first = np.array(self.counts, np.int64).reshape(-1, 3), np.array(self.first, np.int64)
+        number, shown = self.number, self.shown
         rows, numbers = [], [np.empty(0, np.int64)]
         for us in split:
-            n = np.array([self.number[u] for u in us], np.int64)
-            if len(n) == 0 or counts[n, 2].min() < 0:
+            at = [number[u] for u in us]
+            n = np.array(at, np.int64)
+            if not at or self.counts[n, 2].min() < 0:
                 rows.append((0, 0, 0, ""))
                 continue
-            shown = self.shown
-            digest = hashlib.sha256(";".join([shown[i] for i in n.tolist()]).encode()).hexdigest()
-            rows.append((*counts[n].sum(axis=0).tolist(), digest))
+            digest = hashlib.sha256(";".join([shown[i] for i in at]).encode()).hexdigest()
+            rows.append((*self.counts[n].sum(axis=0).tolist(), digest))
             numbers.append(n)
         n = np.concatenate(numbers)
-        size = first[n + 1] - first[n]
-        at = np.arange(int(size.sum())) + np.repeat(first[n] - (np.cumsum(size) - size), size)
+        size = self.first[n + 1] - self.first[n]
+        at = np.arange(int(size.sum())) + np.repeat(self.first[n] - (np.cumsum(size) - size), size)
         return rows, self.links[at], np.array([r[2] for r in rows], np.int64)
 
 
