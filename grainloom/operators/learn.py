@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 from ..scratch import written
 from .windows import quantiles
 
+#: Models of different feature sets and targets that are fitted side by side.
+AT_ONCE = 4
+
 
 def aligned(x: DataFrame, y: DataFrame, key: list[str], target: str) -> DataFrame:
     """Rows with a target, by key."""
@@ -92,18 +98,16 @@ def compared(df: DataFrame, key: str, sets: dict[str, list[str]], targets: list[
     data = written(df.select(key, *columns, *targets))
     kinds = {y: task_kind(data, y) for y in targets}
     wanted = lambda kind: [n for n in models(kind) if not names or n in names]
-    out = None
-    add = lambda rows: rows if out is None else out.unionByName(rows)
     numeric = [y for y in targets if kinds[y] == "regression"]
     linear = [n for n in wanted("regression") if n in moments.MODELS]
+    rest = {y: [n for n in wanted(kinds[y]) if y not in numeric or n not in moments.MODELS] for y in targets}
+    fit = lambda s, y: summarised(evaluated(data.where(F.col(y).isNotNull()), key, sets[s], y, folds, rest[y])).select(F.lit(s).alias("feature_set"), F.lit(y).alias("target"), "*")
+    jobs = [(s, y) for y in targets if rest[y] for s in sets]
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # small fits wait for their own steps, so some go side by side
+        parts = list(pool.map(lambda job: fit(*job), jobs))
     if numeric and linear:
-        scores = moments.bank(data, key, sets, numeric, folds).where(F.col("model").isin(linear))
-        out = summarised(scores, "feature_set", "target")
-    for y in targets:
-        rest = [n for n in wanted(kinds[y]) if kinds[y] != "regression" or n not in moments.MODELS]
-        for s, chosen in sets.items() if rest else ():
-            out = add(summarised(evaluated(data.where(F.col(y).isNotNull()), key, chosen, y, folds, rest)).select(F.lit(s).alias("feature_set"), F.lit(y).alias("target"), "*"))
-    return out
+        parts.append(summarised(moments.bank(data, key, sets, numeric, folds).where(F.col("model").isin(linear)), "feature_set", "target"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def run_from_files(spark, x_path: str, y_path: str, key: list[str], sets: dict[str, list[str]], targets: list[str], out: str, folds: int = 5, names: list[str] | None = None) -> DataFrame:
