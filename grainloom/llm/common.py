@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -120,6 +121,23 @@ def slices(batch: pa.RecordBatch, column: int = 1, size: int = 1 << 20) -> Itera
         at = end
 
 
+#: Rows of an Arrow batch: the JVM's buffers and a worker's are as large as a batch of texts or lists.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gets Arrow batches of BATCH_ROWS rows at most."""
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 #: The number of this option in glibc's malloc.h.
 _M_MMAP_THRESHOLD = -3
 

@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, slim, stored
+from .common import discard, slices, slim, small_batches, stored
 from .components import components
 
 WORDS = 5
@@ -383,7 +383,8 @@ def across(postings: DataFrame) -> DataFrame:
     Both sides of a pair differ in `side`, unless all of the block are equal.
     """
 
-    def cross(doc, size, comp, side, held) -> int:
+    def cross(doc, size, comp, side, held) -> Iterator[int]:
+        """Adds the pairs of a block to held, and says from time to time, and in the end, how many are new."""
         made = 0
         order = np.argsort(size, kind="stable")
         doc, size, comp, side = doc[order], size[order].astype(np.int64), comp[order], side[order]
@@ -400,7 +401,10 @@ def across(postings: DataFrame) -> DataFrame:
                 held[2].append(np.where(low, nx, size[i]))
                 held[3].append(np.where(low, size[i], nx))
                 made += len(x)
-        return made
+                if made > PAIRS // 4:
+                    yield made
+                    made = 0
+        yield made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
@@ -410,10 +414,13 @@ def across(postings: DataFrame) -> DataFrame:
             end = np.concatenate([begin[1:], [len(token)]])
             for k in np.flatnonzero(np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)):
                 a, e = begin[k], end[k]
-                n += cross(doc[a:e], size[a:e], comp[a:e], side[a:e], held)
-                if n > PAIRS:
-                    yield _pair_batch(*held)
-                    held, n = [[], [], [], []], 0
+                for made in cross(doc[a:e], size[a:e], comp[a:e], side[a:e], held):
+                    n += made
+                    if n > PAIRS:
+                        yield _pair_batch(*held)
+                        n = 0
+                        for h in held:
+                            h.clear()
         if n:
             yield _pair_batch(*held)
         slim()
@@ -645,6 +652,11 @@ def _related():
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each row of df."""
+    with small_batches(df.sparkSession):
+        return _join(df, key, text)
+
+
+def _join(df: DataFrame, key: str, text: str) -> DataFrame:
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     late, seen = frequent(docs)
     rows = stored(described(docs, late).withColumn("row", F.monotonically_increasing_id()), "sets")
