@@ -21,24 +21,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainloom.llm import bpe, decontam, jaccard, pii, toxicity
-from grainloom.llm.common import discard, fresh, settled, stored, table
+from grainloom.llm.common import BATCH_ROWS, discard, fresh, settled, stored, table
 from grainloom.llm.registry import vocabulary_path
 
 #: Rejected keys are broadcast up to this number (about 50 bytes each), and joined by shuffle beyond.
 BROADCAST_KEYS = 1_000_000
 
 
+def modest(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold BATCH_ROWS rows at most: texts may be long, and memory is as large as a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go."""
+    modest(spark)
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose texts link by n-gram Jaccard similarity, directly or through others, one with the smallest doc_id stays."""
+    modest(spark)
     row, digest = fresh(docs, "row"), fresh(docs, "digest")
     number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
     hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # maps have no hash
@@ -68,6 +77,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document left."""
+    modest(spark)
     return bpe.digest_texts(docs, vocabulary_path())
 
 
