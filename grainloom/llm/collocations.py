@@ -35,13 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, slices, slim, stored
+from .common import discard, slices, slim, small_batches, stored
 from .decontam import small
 
 #: The least count of a phrase, the words of the longest phrase, and the percentage of its occurrences in a longer phrase that drops it.
 LEAST, LONGEST, COVERED = 30, 4, 80
 #: Words of a shard, and containers that are extended at once.
-SHARD_WORDS, BATCH = 2 << 20, 1 << 17
+SHARD_WORDS, BATCH = 2 << 20, 1 << 16
+#: Phrases that are joined by broadcast are of so many bytes at most, and go by shuffle beyond.
+BROADCAST_BYTES = 8 << 20
 #: Bits of the tables of frequent words and pairs at most (16 MB).
 FILTER_BITS = 1 << 27
 
@@ -121,6 +123,7 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
                 g.add(b.column(1).filter(pc.equal(b.column(0), name)))
                 if g.n >= SHARD_WORDS:
                     yield pa.RecordBatch.from_pylist([g.shard(name)], _SHARD)
+                    slim()
         for name, g in held.items():
             if g.n:
                 yield pa.RecordBatch.from_pylist([g.shard(name)], _SHARD)
@@ -235,7 +238,8 @@ def pair_counts(parts: DataFrame, frequent: np.ndarray) -> DataFrame:
             shard, hashes, v = _read(row, table.value)
             for keys, counts, *_ in pairs(shard, v):
                 yield pa.RecordBatch.from_arrays([pa.array(pair_hash(hashes[keys // v], hashes[keys % v]).view(np.int64)), pa.array(counts)], ["hash", "n"])
-        slim()
+            del row, shard, hashes
+            slim()
 
     return parts.select("lang", "words", "hashes", "n", "packed").mapInArrow(run, "hash bigint, n bigint")
 
@@ -264,6 +268,7 @@ def grown(shard: Bitmaps, hashes: np.ndarray, frequent_pairs: np.ndarray) -> Ite
             if len(longer) < LONGEST:
                 yield from deeper(longer, place.astype(np.int32), blocks[known][order], masks[known][order])
 
+    held.reverse()
     while held:
         keys, node, block, mask = held.pop()
         yield from deeper([keys // v, keys % v], node, block, mask)
@@ -279,7 +284,8 @@ def phrase_counts(parts: DataFrame, frequent: np.ndarray, frequent_pairs: np.nda
             for words, counts in grown(shard, hashes, tables.value[1]):
                 phrase = pc.binary_join_element_wise(*(row["words"].take(pa.array(w)) for w in words), " ")
                 yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(counts), np.int32)), pa.array([row["lang"]])).cast(pa.string()), phrase, pa.array(np.full(len(counts), len(words), np.int32)), pa.array(counts)], ["lang", "phrase", "size", "n"])
-        slim()
+            del row, shard, hashes
+            slim()
 
     return parts.select("lang", "words", "hashes", "n", "packed").mapInArrow(run, "lang string, phrase string, size int, n bigint")
 
@@ -289,7 +295,7 @@ def score(phrases: DataFrame, words: DataFrame) -> DataFrame:
 
     phrases: lang, phrase, size, f; words: lang, phrase, f. l and r count the two parts.
     """
-    known = small(words.select("lang", "phrase", "f").unionByName(phrases.select("lang", "phrase", "f")), "phrase")
+    known = small(words.select("lang", "phrase", "f").unionByName(phrases.select("lang", "phrase", "f")), "phrase", BROADCAST_BYTES)
     part = lambda begin, length: F.array_join(F.slice(F.split("phrase", " "), begin, length), " ")
     cuts = phrases.select("lang", "phrase", F.col("f").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size")).alias("right"))
@@ -307,7 +313,7 @@ def uncovered(scored: DataFrame, phrases: DataFrame) -> DataFrame:
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), starts))
     most = longer.select("lang", F.explode(inner).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("most"))
     whole = lambda n, c: F.lit(n).cast("decimal(3,0)") * F.col(c).cast("decimal(19,0)")
-    return scored.join(small(most, "phrase"), ["lang", "phrase"], "left").where(F.col("most").isNull() | (whole(100, "most") < whole(COVERED, "a"))).drop("most")
+    return scored.join(small(most, "phrase", BROADCAST_BYTES), ["lang", "phrase"], "left").where(F.col("most").isNull() | (whole(100, "most") < whole(COVERED, "a"))).drop("most")
 
 
 def ranked(scored: DataFrame, first: int) -> DataFrame:
@@ -323,6 +329,11 @@ def ranked(scored: DataFrame, first: int) -> DataFrame:
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, first: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n (words of the language) and score of each language's first phrases."""
+    with small_batches(docs.sparkSession):
+        return _collocations(docs, text, lang, least, first)
+
+
+def _collocations(docs: DataFrame, text: str, lang: str, least: int, first: int) -> DataFrame:
     parts = stored(shards(docs, text, lang), "shards")
     each = parts.select("lang", F.explode(F.arrays_zip("words", "counts", "hashes")).alias("x"))
     words = each.groupBy("lang", F.col("x.words").alias("phrase")).agg(F.sum("x.counts").alias("f"), F.min("x.hashes").alias("hash")).where(F.col("f") >= least)
