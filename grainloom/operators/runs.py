@@ -67,6 +67,21 @@ def identity_links(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
         rows = df.select(F.lit(name).alias("source"), F.col(ident).cast("string").alias("id"), normalize(F.col(said)).alias("norm")).where("norm <> ''").distinct()
         every = rows if every is None else every.unionByName(rows)
     every = written(every)
-    a, b = every.toDF("left_source", "left_id", "norm"), every.toDF("right_source", "right_id", "norm")
-    return a.join(b, "norm").where("left_source < right_source").select("left_source", "left_id", "right_source", "right_id", "norm")
-
+    # Names that would make more than match.SPLIT pairs are dealt out by their left ids, each block with the right ids; rows of one source never meet.
+    order = sorted(sources)
+    n = every.groupBy("norm").pivot("source", order).agg(F.count(F.lit(1))).na.fill(0, order)
+    pairs = sum((F.col(f"`{a}`") * F.col(f"`{b}`") for i, a in enumerate(order) for b in order[i + 1 :]), F.lit(0))
+    n = written(n.select("norm", pairs.alias("_p")))
+    tasks = 1 + (n.agg(F.sum("_p")).first()[0] or 0) // (4 * match.SPLIT)
+    blocks = n.select("norm", F.ceil(F.col("_p") / match.SPLIT).cast("int").alias("_n")).where("_n > 1")
+    dealt = every.join(blocks, "norm", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    out = None
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            left = dealt.where(F.col("source") == a).select(F.col("source").alias("left_source"), F.col("id").alias("left_id"), "norm", F.pmod(F.xxhash64("id"), "_n").cast("int").alias("_x"))
+            right = dealt.where(F.col("source") == b).select(F.col("source").alias("right_source"), F.col("id").alias("right_id"), "norm", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_x"))
+            found = left.repartition(tasks, "norm", "_x").join(right, ["norm", "_x"])  # tasks by pairs, as the rows themselves are few
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return every.where("false").select(F.col("source").alias("left_source"), F.col("id").alias("left_id"), F.col("source").alias("right_source"), F.col("id").alias("right_id"), "norm")
+    return out.select("left_source", "left_id", "right_source", "right_id", "norm")

@@ -142,6 +142,20 @@ def test_layers_columns_scenarios_identities(spark):
     assert [tuple(x) for x in links.collect()] == [("a", "1", "b", "k", "creme brulee")]
 
 
+@pytest.mark.parametrize("split", [1_000_000, 5])
+def test_identity_links_of_a_common_name(spark, monkeypatch, split):
+    """A name that many records of one source share: all pairs of different sources, and rows of one source never meet in the join."""
+    monkeypatch.setattr(runs.match, "SPLIT", split)
+    rows = lambda x: spark.createDataFrame(x, "id string, name string")
+    a, b, c = rows([(f"a{i}", "one name") for i in range(40)]), rows([("b1", "One-Name"), ("b2", "two")]), rows([(f"c{i}", "ONE NAME") for i in range(3)] + [("c9", "two")])
+    links = runs.identity_links({"z": (a, "id", "name"), "m": (b, "id", "name"), "c": (c, "id", "name")})
+    got = sorted(tuple(x) for x in links.select("left_source", "left_id", "right_source", "right_id").collect())
+    said = {"z": a, "m": b, "c": c}
+    known = [(s, x.id, x.name.lower().replace("-", " ")) for s, df in said.items() for x in df.collect()]
+    assert got == sorted((s, i, t, j) for s, i, n in known for t, j, m in known if s < t and n == m) and len(got) == 40 + 120 + 3 + 1
+    assert "left_source#" not in "".join(x for x in links._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)  # sources are no condition on pairs
+
+
 @pytest.mark.parametrize("cells", [1 << 20, 4])
 def test_vector_means(spark, monkeypatch, cells):
     """Partial sums over tasks, a hot key, null keys and elements, weights of 0, and vectors of two lengths."""
