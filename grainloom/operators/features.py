@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,71 +178,27 @@ def windowed(events: DataFrame, ts: str, unit: str, name: str = "window_id") ->
     return events.withColumn(name, window_label(F.col(ts), unit))
 
 
-#: Cells of sums that a task holds before it passes them on (16 bytes each).
-CELLS = 1 << 20
-
-
-def _summed(batches: Iterator[pa.RecordBatch], keys: int, partial: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key columns, weights, sums: arrays, or a weight and a vector if partial) added up by key.
-
-    Partial sums go on after CELLS cells; whole ones are of rows sorted by key, and go on when a batch begins with another key.
-    """
-    index: dict[tuple, int] = {}
-    weight = total = np.zeros((0, 0))
-
-    def out() -> pa.RecordBatch:
-        columns = [pa.array(list(c), t) for c, t in zip(zip(*index, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(list(weight[: len(index)])), pa.array(list(total[: len(index)]))], [*(f"k{i}" for i in range(keys)), "weights", "sums"])
-
-    def cells(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """A row of values for each list, null ones 0, and which places the list has."""
-        ends = column.offsets.to_numpy()
-        there = np.arange(width) < np.diff(ends)[:, None]
-        flat = np.nan_to_num(np.asarray(column.values.to_numpy(zero_copy_only=False), float)[ends[0] : ends[-1]], nan=0.0)
-        full = np.zeros(there.shape)
-        full[there] = flat
-        return full, there
-
-    for b in batches:
-        kinds = [b.column(i).type for i in range(keys)]
-        if not len(b):
-            continue
-        found = list(zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True))
-        if index and not partial and found[0] not in index:
-            yield out()
-            index, weight, total = {}, np.zeros((0, 0)), np.zeros((0, 0))
-        at = np.array([index.setdefault(k, len(index)) for k in found])
-        vectors = b.column(keys + 1)
-        width = max(int(np.diff(vectors.offsets.to_numpy()).max()), total.shape[1])
-        grown = [np.zeros((max(len(index), len(m)), width)) for m in (weight, total)]
-        for new, old in zip(grown, (weight, total), strict=True):
-            new[: len(old), : old.shape[1]] = old
-        weight, total = grown
-        values, there = cells(vectors, width)
-        g = np.nan_to_num(b.column(keys).to_numpy(zero_copy_only=False).astype(float), nan=0.0)[:, None] * there if partial else cells(b.column(keys), width)[0]
-        np.add.at(weight, at, g)
-        np.add.at(total, at, values * g if partial else values)
-        if partial and total.size > CELLS:
-            yield out()
-            index, weight, total = {}, np.zeros((0, 0)), np.zeros((0, 0))
-    if index:
-        yield out()
+#: Cells of vectors up to which they are broadcast.
+CELLS = 1 << 23
 
 
 def vector_mean(events: DataFrame, vectors: DataFrame, key: list[str], item: str = "item", grams: str = "grams", vector: str = "embedding") -> DataFrame:
     """Weighted mean vector in long form: key, dim, value.
 
-    Vectors are added up in the tasks that join them, so a key sends one row of sums from each task; only then are keys brought together.
+    Up to CELLS cells of vectors the weights of a key, which are at most one an item, come together before they meet the vectors, so no vector is shuffled.
+    Beyond, both sides meet by item, and sums are made where they meet before keys come together. Each dimension is a sum of its own.
     """
-    g = events.groupBy(*key, item).agg(F.sum(grams).alias("_g"))
-    each = g.join(vectors.select(item, F.col(vector).cast("array<double>").alias("_v")), item).where(F.col("_v").isNotNull()).select(*key, F.col("_g").cast("double").alias("_g"), "_v")
-    names = [f"k{i}" for i in range(len(key))]
-    schema = ", ".join([f"{n} {each.schema[k].dataType.simpleString()}" for n, k in zip(names, key, strict=True)] + ["weights array<double>", "sums array<double>"])
-    parts = each.toDF(*names, "_g", "_v").mapInArrow(lambda x: _summed(x, len(key), True), schema)
-    whole = parts.repartition(*names).sortWithinPartitions(*names).mapInArrow(lambda x: _summed(x, len(key), False), schema)
-    dims = whole.select(*names, F.posexplode(F.arrays_zip("weights", "sums")).alias("dim", "_x"))
-    out = dims.select(*names, "dim", F.coalesce(F.try_divide("_x.sums", "_x.weights"), F.lit(0.0)).alias("value"))
-    return out.toDF(*key, "dim", "value")
+    v = vectors.select(item, F.col(vector).alias("_v")).where(F.col(vector).isNotNull())
+    least, width, cells = v.agg(F.min(F.size("_v")), F.max(F.size("_v")), F.sum(F.size("_v"))).first()
+    few = (cells or 0) <= CELLS
+    g = events.groupBy(*key, item).agg(F.coalesce(F.sum(grams).cast("double"), F.lit(0.0)).alias("_g"))
+    each = g.repartition(*key).join(F.broadcast(v), item) if few else g.join(v, item)
+    dims = range(max(width or 0, 1))
+    weight = lambda i: F.sum("_g") if least == width and width else F.sum(F.when(F.size("_v") > i, F.col("_g")))
+    total = lambda i: F.sum(F.coalesce(F.get("_v", F.lit(i)).cast("double"), F.lit(0.0)) * F.col("_g"))
+    sums = each.groupBy(*key).agg(*(weight(i).alias(f"_w{i}") for i in dims), *(total(i).alias(f"_t{i}") for i in dims))
+    mean = lambda i: F.when(F.col(f"_w{i}").isNotNull(), F.coalesce(F.try_divide(f"_t{i}", f"_w{i}"), F.lit(0.0)))
+    return sums.select(*key, F.posexplode(F.array(*map(mean, dims))).alias("dim", "value")).where("value IS NOT NULL")
 
 
 def assembled(df: DataFrame, key: list[str], dim: str = "dim", value: str = "value", name: str = "embedding") -> DataFrame:

@@ -175,3 +175,15 @@ def test_vector_means(spark, monkeypatch, cells):
             sums[who, dim][1] += g or 0
     assert got.keys() == sums.keys()
     assert all(got[k] == pytest.approx(s / w if w else 0.0) for k, (s, w) in sums.items())
+
+
+def test_vector_means_by_sums(spark):
+    """A key has the dimensions of its own vectors only, whatever vectors other keys have, and no rows go to Python."""
+    from grainloom.operators import features
+
+    e = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("b", 3, 2.0), ("c", 4, 1.0)], "who string, item int, grams double").coalesce(1)
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [5.0, None]), (3, [1.0, 1.0, 7.0])], "item int, embedding array<float>")
+    out = features.vector_mean(e, v, ["who"])
+    assert sorted(tuple(x) for x in out.collect()) == [("a", 0, 4.0), ("a", 1, 0.5), ("b", 0, 1.0), ("b", 1, 1.0), ("b", 2, 7.0)]
+    assert "InArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert features.vector_mean(e, v.limit(0), ["who"]).count() == 0
