@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from ..scratch import written
 #: Rows up to which quantiles() takes the built-in aggregate (at most 16 bytes a distinct value).
 AT_ONCE = 2_000_000
 
+#: Accuracy of the approximate quantiles around wanted ranks.
+FINE = 5_000
+
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group, ranked from 1."""
@@ -70,7 +75,7 @@ def quantiles(df: DataFrame, value: str, at: list[float], by: str | None = None)
     """(by), quantile, value: exact, with linear interpolation between neighbours; nulls do not count. by: a column of few values.
 
     Up to AT_ONCE rows the built-in aggregate is used, which keeps the values in a task. Beyond, approximate quantiles cut
-    the values into buckets; only the buckets that hold a wanted rank are ordered.
+    the values close to the wanted ranks into buckets; only the buckets that hold a wanted rank are ordered.
     """
     rows = df.where(F.col(value).isNotNull()).select((F.col(by) if by else F.lit(0)).alias("_g"), F.col(value).cast("double").alias("_v"))
     if rows.count() <= AT_ONCE:
@@ -78,8 +83,11 @@ def quantiles(df: DataFrame, value: str, at: list[float], by: str | None = None)
         out = found.select("_g", F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("_p").alias("v"))).alias("_x")).select("_g", F.col("_x.q").alias("quantile"), F.col("_x.v").alias("value"))
         return out.withColumnRenamed("_g", by) if by else out.drop("_g")
     rows = written(rows)  # read three times
-    cuts = rows.groupBy(F.col("_g").alias("_h")).agg(F.percentile_approx("_v", [i / 128 for i in range(1, 128)], 2000).alias("_c"))
-    placed = rows.join(F.broadcast(cuts), F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", F.size(F.filter("_c", lambda c: c < F.col("_v"))).alias("_b"))
+    # Cuts close on both sides of each wanted rank; they settle the work only, as ranks come from exact counts.
+    near = sorted({min(max(q + e / FINE, 0.0), 1.0) for q in at for e in (-2, 2)})
+    cuts = rows.groupBy(F.col("_g").alias("_h")).agg(F.percentile_approx("_v", near, FINE).alias("_c"))
+    bucket = reduce(lambda a, b: a + b, ((F.col("_v") > F.get("_c", F.lit(i))).cast("int") for i in range(len(near))))
+    placed = rows.join(F.broadcast(cuts), F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", bucket.alias("_b"))
     sizes = placed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_g")
     sizes = sizes.withColumns({"_s": F.sum("_n").over(w.orderBy("_b")) - F.col("_n"), "_t": F.sum("_n").over(w)})
