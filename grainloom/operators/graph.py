@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import spread, written
 from .windows import quantiles as ranks
 from .windows import top_k
 
@@ -44,10 +44,13 @@ def node_information(edges: DataFrame, categories: DataFrame) -> DataFrame:
 
     categories: source, category (a row a source). The number of sources and of categories are one-row tables.
     """
-    background = categories.groupBy("category").agg(F.countDistinct("source").alias("_b"))
-    totals = categories.agg(F.countDistinct("source").alias("n_sources"), F.countDistinct("category").alias("n_categories"))
-    pairs = edges.select("source", "target", "relation").distinct().join(categories, "source")
-    counts = pairs.groupBy("relation", "target", "category").agg(F.countDistinct("source").alias("n"))
+    # Edges and categories come together by source, where equal ones become one; after that all counts are of rows.
+    n = max(edges.count(), categories.count())
+    own = spread(categories.select("source", "category"), n, "source").distinct()
+    background = own.groupBy("category").agg(F.count("source").alias("_b"))
+    totals = own.select("source").distinct().agg(F.count("source").alias("n_sources")).crossJoin(F.broadcast(background.agg(F.count("category").alias("n_categories"))))  # one row each
+    pairs = spread(edges.select("source", "target", "relation"), n, "source").distinct().join(own, "source")
+    counts = pairs.groupBy("relation", "target", "category").agg(F.count(F.lit(1)).alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("relation", "target"))
     terms = counts.withColumn("p", p).join(background, "category").crossJoin(F.broadcast(totals)).withColumn("q", F.greatest(F.col("_b") / F.col("n_sources"), F.lit(1e-12)))
     info = terms.groupBy("relation", "target").agg(
@@ -63,7 +66,8 @@ def node_information(edges: DataFrame, categories: DataFrame) -> DataFrame:
 
 def weighted_edges(edges: DataFrame, info: DataFrame, metric: str) -> DataFrame:
     """Value (null: 1) times the target's metric (null: 0)."""
-    return edges.join(info.select("relation", "target", F.col(metric).alias("_w")), ["relation", "target"], "left").withColumn("weighted_value", F.coalesce("value", F.lit(1.0)) * F.coalesce("_w", F.lit(0.0))).drop("_w")
+    rows = spread(edges, edges.count(), "relation", "target")
+    return rows.join(info.select("relation", "target", F.col(metric).alias("_w")), ["relation", "target"], "left").withColumn("weighted_value", F.coalesce("value", F.lit(1.0)) * F.coalesce("_w", F.lit(0.0))).drop("_w")
 
 
 def threshold_summary(weighted: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.975, 0.99)) -> DataFrame:
@@ -72,8 +76,9 @@ def threshold_summary(weighted: DataFrame, quantiles: tuple[float, ...] = (0.5,
     rows = written(weighted.select("source", "weighted_value"))  # read for the thresholds and for the counts
     cuts = ranks(rows, "weighted_value", list(quantiles))
     cuts = cuts.agg(*(F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(n) for q, n in zip(quantiles, names, strict=True)))
-    totals = rows.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("source").alias("n_sources"))
-    per = rows.crossJoin(F.broadcast(cuts)).groupBy("source").agg(*(F.count_if(F.col("weighted_value") >= F.col(n)).alias(n) for n in names))  # one row
+    own = spread(rows, rows.count(), "source")
+    totals = own.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n").alias("total"), F.count("source").alias("n_sources"))
+    per = own.crossJoin(F.broadcast(cuts)).groupBy("source").agg(*(F.count_if(F.col("weighted_value") >= F.col(n)).alias(n) for n in names))  # one row
     each = F.array(*(F.struct(F.lit(q).alias("quantile"), F.col(n).alias("n")) for q, n in zip(quantiles, names, strict=True)))
     per = per.select(F.explode(each).alias("e")).select("e.*").where("n > 0")
     # Numbers of edges are few, so their quantiles are small aggregates.
@@ -87,7 +92,8 @@ def threshold_summary(weighted: DataFrame, quantiles: tuple[float, ...] = (0.5,
 
 def signatures(weighted: DataFrame, n: int = 25) -> DataFrame:
     """The heaviest edges of each source."""
-    return top_k(weighted, ["source"], [F.desc("weighted_value"), F.asc("relation"), F.asc("target")], n)
+    rows = written(weighted)  # read for its number and for the ranks
+    return top_k(spread(rows, rows.count(), "source"), ["source"], [F.desc("weighted_value"), F.asc("relation"), F.asc("target")], n)
 
 
 def signature_matrix(weighted: DataFrame, n: int) -> DataFrame:
@@ -216,7 +222,7 @@ def merged(graphs: list[tuple[DataFrame, DataFrame]], by_label: dict[str, Column
 
 def weighted_by(edges: DataFrame, info: DataFrame, metrics: list[str]) -> DataFrame:
     """Source, target, relation, value, metric, weighted_value under all metrics: edges meet the information once, and are stored by metric."""
-    both = edges.join(info.select("relation", "target", *metrics), ["relation", "target"], "left")
+    both = spread(edges, edges.count(), "relation", "target").join(info.select("relation", "target", *metrics), ["relation", "target"], "left")
     weight = lambda m: F.coalesce("value", F.lit(1.0)) * F.coalesce(m, F.lit(0.0))
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), weight(m).alias("weighted_value")) for m in metrics)))
     return written(both.select("source", "target", "relation", "value", each.alias("_m")).select("source", "target", "relation", "value", "_m.*"), by=["metric"])
@@ -226,11 +232,13 @@ def thresholds(weighted: DataFrame, by: str = "metric", quantiles: tuple[float,
     """threshold_summary() for each value of a column of few values: by, quantile, threshold, edges_retained, sources_covered, median_edges, recommended."""
     rows = weighted.select(by, "source", "weighted_value")
     cuts = ranks(rows, "weighted_value", list(quantiles), by).select(by, "quantile", F.col("value").alias("threshold"))
-    per_metric = cuts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("quantile", "threshold"))).alias("_c"))  # six cuts a metric
-    hit = rows.join(F.broadcast(per_metric), by).select(by, "source", F.explode(F.filter("_c", lambda c: c["threshold"] <= F.col("weighted_value"))).alias("c"))
-    per = hit.groupBy(by, "source", "c").agg(F.count(F.lit(1)).alias("n"))
-    out = per.groupBy(by, F.col("c.quantile").alias("quantile"), F.col("c.threshold").alias("threshold")).agg(F.sum("n").alias("edges_retained"), F.count(F.lit(1)).alias("sources_covered"), F.percentile("n", 0.5).alias("median_edges"))
-    out = out.join(F.broadcast(rows.groupBy(by).agg(F.countDistinct("source").alias("_s"))), by)  # a row a metric
+    places = range(len(quantiles))
+    cuts = cuts.groupBy(by).agg(*(F.max(F.when(F.col("quantile") == q, F.col("threshold"))).alias(f"_c{i}") for i, q in enumerate(quantiles)))
+    counts = (F.count_if(F.col("weighted_value") >= F.col(f"_c{i}")).alias(f"_n{i}") for i in places)
+    per = spread(rows, rows.count(), by, "source").join(F.broadcast(cuts), by).groupBy(by, "source").agg(*(F.first(f"_c{i}").alias(f"_c{i}") for i in places), *counts)  # cuts: a row a metric
+    found = lambda i: F.when(F.col(f"_n{i}") > 0, F.col(f"_n{i}"))
+    each = lambda i: F.struct(F.lit(quantiles[i]).alias("quantile"), F.first(f"_c{i}").alias("threshold"), F.sum(found(i)).alias("edges_retained"), F.count(found(i)).alias("sources_covered"), F.percentile(found(i), 0.5).alias("median_edges"))
+    out = per.groupBy(by).agg(F.count("source").alias("_s"), F.array(*map(each, places)).alias("_e")).select(by, "_s", F.explode("_e").alias("_e")).select(by, "_e.*", "_s")
     viable = (F.col("sources_covered") >= 0.95 * F.col("_s")) & (F.col("median_edges") >= 20)
     best = F.coalesce(F.max(F.when(viable, F.col("quantile"))).over(Window.partitionBy(by)), F.lit(usual))
     return out.withColumn("recommended", F.col("quantile") == best).drop("_s")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import features, fuse, graph, match, quality, vectors, windows
-from ..scratch import written
+from ..scratch import spread, written
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,7 +493,8 @@ def edges(spark, d) -> DataFrame:
     p, c = read(spark, d, "part"), canonical(spark, d)
     key = text.node_key
     none = F.lit(None).cast("double").alias("value")
-    supplied = read(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("double").alias("value"))
+    lines = read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    supplied = spread(lines, lines.count(), "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("double").alias("value"))
     s, n = read(spark, d, "supplier"), read(spark, d, "nation")
     pick = lambda df, a, b, rel, v=none: df.select(a.alias("source"), b.alias("target"), F.lit(rel).alias("relation"), v)
     return graph.union_edges(
@@ -555,7 +556,7 @@ _INFO = f"""WITH {_EDGES}, cat AS (SELECT 'part:' || p_partkey AS source, p_type
 
 def _information(spark, d, e=None):
     cats = read(spark, d, "part").select(text.node_key("part", F.col("p_partkey")).alias("source"), F.col("p_type").alias("category"))
-    return graph.node_information(edges(spark, d) if e is None else e, cats)
+    return graph.node_information(written(edges(spark, d)) if e is None else e, cats)
 
 
 def _weighted(spark, d):

@@ -31,3 +31,12 @@ def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/table"
     df.write.partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Rows that a task of spread() gets, about.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys in as many partitions as `rows` (about its number of rows) ask for, so that a task's share does not grow with the table; what groups or joins by these keys afterwards stays there."""
+    return df.repartition(1 + rows // TASK_ROWS, *keys)

@@ -172,3 +172,30 @@ def test_quantiles_both_ways(spark, monkeypatch, at_once):
     want = {(g, q): float(np.quantile([v for k, v in rows if k == g and v is not None], q)) for g in "ab" for q in at}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert sorted(x.quantile for x in windows.quantiles(df, "v", at).collect()) == at
+
+
+def test_graph_steps_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Repeated edges and categories count once, and shares of a task are dealt by rows, with the same results for any share."""
+    from grainloom import scratch
+
+    r = random.Random(4)
+    rows = [(f"s{r.randrange(40)}", f"t{r.randrange(6)}", "r", r.choice([None, 1.0, 2.5])) for _ in range(400)]
+    cats = [(f"s{i}", "xyz"[i % 3]) for i in range(40)] * 2 + [(None, "x")]
+    e, c = spark.createDataFrame(rows, "source string, target string, relation string, value double"), spark.createDataFrame(cats, "source string, category string")
+    found = []
+    for share in (250_000, 7):
+        monkeypatch.setattr(scratch, "TASK_ROWS", share)
+        info = graph.node_information(e, c)
+        w = graph.weighted_edges(e, info, "idf")
+        found.append([sorted(map(repr, x.collect())) for x in (info.select("target", "prevalence", "n_sources", "n_categories"), w.select("source", "target", "value", F.round("weighted_value", 9)), graph.signatures(w, 2).select("source", "target", "rank"), graph.threshold_summary(w.withColumn("weighted_value", F.round("weighted_value", 6))))])
+    assert found[0] == found[1]
+    assert {(x.target, x.prevalence, x.n_sources, x.n_categories) for x in info.where("divergence IS NOT NULL").collect()} == {(t, len({s for s, u, *_ in rows if u == t}), 40, 3) for t in {x[1] for x in rows}}
+
+
+def test_thresholds_without_arrays(spark, monkeypatch):
+    """Cuts of any number of rows are compared as columns: no array is walked for each row."""
+    monkeypatch.setattr(windows, "AT_ONCE", 0)
+    w = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("metric"), (F.col("id") % 50).cast("string").alias("source"), F.floor(F.col("id") / 2).cast("double").alias("weighted_value"))
+    out = graph.thresholds(w, quantiles=(0.25, 0.5, 0.9))
+    assert sorted((x.metric, x.quantile, x.threshold, x.edges_retained, x.sources_covered) for x in out.collect()) == sorted((m, q, 1499 * q, sum(v >= 1499 * q for v in range(1500)), 25) for m in "ab" for q in (0.25, 0.5, 0.9))
+    assert "filter(" not in out._jdf.queryExecution().optimizedPlan().toString()
