@@ -123,7 +123,8 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def path_counts(first: DataFrame, second: DataFrame) -> DataFrame:
     """By source: distinct middles and ends of paths of two edges, and paths."""
     b = second.select(F.col("source").alias("target"), F.col("target").alias("end"))
-    return first.select("source", "target").join(b, "target").groupBy("source").agg(F.countDistinct("target").alias("n_middle"), F.countDistinct("end").alias("n_end"), F.count(F.lit(1)).alias("n_paths"))
+    paths = written(spread(first.select("source", "target"), first.count(), "target").join(b, "target"))  # their number is known once they are written
+    return spread(paths, paths.count(), "source").groupBy("source").agg(F.countDistinct("target").alias("n_middle"), F.countDistinct("end").alias("n_end"), F.count(F.lit(1)).alias("n_paths"))
 
 
 def top_labels(df: DataFrame, key: list[str], label: str, k: int) -> DataFrame:
@@ -213,10 +214,11 @@ def merged(graphs: list[tuple[DataFrame, DataFrame]], by_label: dict[str, Column
     first = placed.groupBy("component").agg(F.min(F.struct("graph", "name", "key", "kind", "label")).alias("f"), F.countDistinct("graph", "key").alias("n_merged"))
     out = first.select("component", F.col("f.name").alias("key"), F.col("f.kind").alias("kind"), F.col("f.label").alias("label"), "n_merged")
     moved = placed.select(F.col("key").alias("old"), "component").distinct().join(out.select("component", F.col("key").alias("new")), "component").select("old", "new")
-    edges = reduce(DataFrame.unionByName, (e.select("source", "target", "relation", "value") for _, e in graphs))
+    edges = written(reduce(DataFrame.unionByName, (e.select("source", "target", "relation", "value") for _, e in graphs)))
+    rows = edges.count()
     for side in ("source", "target"):
-        edges = edges.join(moved.withColumnRenamed("old", side), side).drop(side).withColumnRenamed("new", side)
-    edges = edges.groupBy("source", "target", "relation").agg(F.count(F.lit(1)).alias("n_merged"), F.max("value").alias("value"))
+        edges = spread(edges, rows, side).join(moved.withColumnRenamed("old", side), side).drop(side).withColumnRenamed("new", side)
+    edges = spread(edges, rows, "source", "target").groupBy("source", "target", "relation").agg(F.count(F.lit(1)).alias("n_merged"), F.max("value").alias("value"))
     return out.drop("component"), edges
 
 

@@ -602,9 +602,9 @@ def kg_top_signatures(spark, d):
     SELECT source, feature, round(sum(x), 4) AS value FROM w WHERE feature IN (FROM top) GROUP BY ALL""")
 def kg_signature_matrix(spark, d):
     """The 50 features of most weight."""
-    w = _weighted(spark, d).withColumn("feature", F.concat_ws("=", "relation", "target")).withColumn("x", r("weighted_value"))
+    w = written(_weighted(spark, d).select("source", F.concat_ws("=", "relation", "target").alias("feature"), r("weighted_value").alias("x")))  # read for the features and for their values
     top = w.groupBy("feature").agg(r(F.sum("x"), 2).alias("t")).orderBy(F.desc("t"), "feature").limit(50).select("feature")
-    return w.join(F.broadcast(top), "feature", "left_semi").groupBy("source", "feature").agg(r(F.sum("x")).alias("value"))
+    return spread(w.join(F.broadcast(top), "feature", "left_semi"), w.count(), "source").groupBy("source", "feature").agg(r(F.sum("x")).alias("value"))
 
 
 @query(f"""WITH {_EDGES}, p AS (SELECT source, regexp_replace(target, '[^a-zA-Z0-9]+', '_', 'g') AS t FROM edges WHERE relation = 'has_brand')
@@ -628,7 +628,7 @@ def ego_subgraph(spark, d):
 @query(f"""WITH {_EDGES} SELECT a.source, count(DISTINCT a.target) AS n_middle, count(DISTINCT b.target) AS n_end, count(*) AS n_paths FROM edges a JOIN edges b ON a.target = b.source WHERE a.relation = 'supplied_by' GROUP BY a.source""")
 def two_hop_disease_counts(spark, d):
     """Item, supplier, nation."""
-    e = edges(spark, d)
+    e = written(edges(spark, d))
     return graph.path_counts(e.where("relation = 'supplied_by'"), e)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import features, vectors
+from ..scratch import written
 from .catalogue import _CANON, _EDGES, _INFO, _weighted, edges, query, r, read
 
 
@@ -223,6 +224,6 @@ def threshold_filtered_edges(spark, d):
     """Edges from a quantile of their weights on."""
     from ..operators import windows
 
-    w = _weighted(spark, d).select("source", "target", "relation", r("weighted_value", 6).alias("weighted_value"))
+    w = written(_weighted(spark, d).select("source", "target", "relation", r("weighted_value", 6).alias("weighted_value")))  # read for the cut and for the edges
     cut = windows.quantiles(w, "weighted_value", [0.9]).select(F.col("value").alias("t"))
     return w.crossJoin(F.broadcast(cut)).where("weighted_value >= t").drop("t").withColumn("metric", F.lit("idf_entropy"))  # one row

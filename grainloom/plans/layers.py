@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import features, fuse, graph, match, quality, vectors, windows
-from .catalogue import _CANON, _EDGES, _EVENTS, _INFO, _MAPPED, _NODES, _PANEL, _SCORED, _TIER, _candidates, _left, _mapped, _panels, _right, _weighted, canonical, edges, events, items, nodes, query, r, read
+from ..scratch import spread, written
+from .catalogue import _CANON, _EDGES, _EVENTS, _INFO, _MAPPED, _NODES, _PANEL, _SCORED, _TIER, _candidates, _information, _left, _mapped, _panels, _right, canonical, edges, events, items, nodes, query, r, read
 
 _SUPPLIED = "s AS (SELECT l_partkey AS item, l_suppkey, n_name AS label, l_returnflag, l_linestatus, l_orderkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"
 
@@ -306,15 +307,19 @@ def sampled_subgraph(spark, d):
     SELECT DISTINCT source, target, relation, round(value, 2) AS value FROM (SELECT * FROM c UNION ALL SELECT * FROM s UNION ALL SELECT * FROM m)""")
 def display_graph(spark, d):
     """Capped edges of each item, signed edges, and edges between nodes of one name, each once."""
-    e = edges(spark, d).where("relation IN ('supplied_by', 'has_brand')")
+    # The three kinds have relations of their own, so each is made distinct where its sources lie.
+    n = read(spark, d, "lineitem").count() + 2 * read(spark, d, "part").count()
+    e = spread(edges(spark, d).where("relation IN ('supplied_by', 'has_brand')"), n, "source")
     capped = windows.top_k(e, ["source", "relation"], [F.desc(F.coalesce("value", F.lit(0.0))), F.asc("target")], 4).drop("rank")
-    l = read(spark, d, "lineitem").where("l_linestatus = 'F'")  # noqa: E741
-    signed = l.groupBy(text.node_key("part", F.col("l_partkey")).alias("source"), text.node_key("supplier", F.col("l_suppkey")).alias("target"), F.when(F.col("l_returnflag") == "R", "negative").otherwise("positive").alias("relation")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    l = spread(read(spark, d, "lineitem").where("l_linestatus = 'F'").select("l_partkey", "l_suppkey", "l_returnflag"), n, "l_partkey", "l_suppkey")  # noqa: E741
+    signs = l.groupBy("l_partkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", "negative").otherwise("positive").alias("relation")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    signed = signs.select(text.node_key("part", F.col("l_partkey")).alias("source"), text.node_key("supplier", F.col("l_suppkey")).alias("target"), "relation", "value")
     b = read(spark, d, "part").select("p_brand").distinct()
     left = b.select(text.node_key("brand", F.col("p_brand")).alias("id"), text.normalize(F.col("p_brand"), True).alias("norm"))
     right = b.select(F.concat(F.lit("kind:"), F.lower("p_brand")).alias("id"), text.normalize(F.lower("p_brand"), True).alias("norm"))
     named = match.exact_links(left, right).select(F.col("left_id").alias("source"), F.col("right_id").alias("target"), F.lit("same_name").alias("relation"), F.lit(1.0).alias("value"))
-    return graph.union_edges(capped, signed, named).withColumn("value", r("value", 2)).distinct()
+    rounded = lambda df: df.withColumn("value", r("value", 2))
+    return graph.union_edges(rounded(capped).distinct(), rounded(signed), rounded(named).distinct())
 
 
 @query(f"""{_INFO}, w AS (SELECT source, target, relation, round(weighted_value, 6) AS x FROM weighted WHERE source IN ('part:1', 'part:2', 'part:3'))
@@ -322,7 +327,9 @@ def display_graph(spark, d):
 def signature_rows(spark, d):
     """The heaviest edges of chosen items, by scenario and metric."""
     chosen = spark.createDataFrame([("part:1",), ("part:2",), ("part:3",)], "source string")
-    w = _weighted(spark, d).withColumn("weighted_value", r("weighted_value", 6)).join(F.broadcast(chosen), "source", "left_semi")
+    e = written(edges(spark, d))
+    some = e.join(F.broadcast(chosen), "source", "left_semi")  # targets are weighed by all edges, the chosen items' edges alone are ranked
+    w = graph.weighted_edges(some, _information(spark, d, e), "idf_entropy").withColumn("weighted_value", r("weighted_value", 6))
     return graph.signatures(w, 3).select(F.lit("base").alias("scenario"), F.lit("idf_entropy").alias("metric"), "source", "target", "relation", "weighted_value", "rank")
 
 
@@ -426,8 +433,6 @@ def multi_block_vectors(spark, d):
 @query(f"{_VECTOR_SQL} SELECT item, count(*)::INTEGER AS n_dims, round(sqrt(sum(value * value)), 3) AS length FROM vec GROUP BY item")
 def embedding_export(spark, d):
     """Vectors as an array column, written and read."""
-    from ..scratch import written
-
     v, dims = vectors.blocks_of(_described(spark, d), "item", _BLOCKS, "text")
     back = written(v)
     assert sum(n for _, n in dims) == len(_ALL) + 64

@@ -199,3 +199,36 @@ def test_thresholds_without_arrays(spark, monkeypatch):
     out = graph.thresholds(w, quantiles=(0.25, 0.5, 0.9))
     assert sorted((x.metric, x.quantile, x.threshold, x.edges_retained, x.sources_covered) for x in out.collect()) == sorted((m, q, 1499 * q, sum(v >= 1499 * q for v in range(1500)), 25) for m in "ab" for q in (0.25, 0.5, 0.9))
     assert "filter(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paths_and_merging_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Shares of a task are dealt by rows, not by Spark's number of shuffle partitions, with the same results."""
+    from grainloom import scratch
+
+    r = random.Random(5)
+    first = [(f"p{r.randrange(30)}", f"s{r.randrange(9)}", "a", r.choice([None, 1.0])) for _ in range(300)]
+    second = [(f"s{r.randrange(9)}", f"n{r.randrange(4)}", "b", 2.0) for _ in range(20)]
+    schema = "source string, target string, relation string, value double"
+    a, b = spark.createDataFrame(first, schema), spark.createDataFrame(second, schema)
+    n = a.unionByName(b).select(F.explode(F.array("source", "target")).alias("key")).distinct().select("key", F.lit("k").alias("kind"), F.col("key").alias("label"))
+    found = []
+    for share in (250_000, 10):
+        monkeypatch.setattr(scratch, "TASK_ROWS", share)
+        paths, edges = graph.path_counts(a, b), graph.merged([(n, a), (n, b)], {})[1]
+        found.append([sorted(map(repr, x.collect())) for x in (paths, edges)])
+    assert found[0] == found[1]
+    both = [(s, t, e) for s, t, *_ in first for m, e, *_ in second if t == m]
+    assert {(x.source, x.n_middle, x.n_end, x.n_paths) for x in paths.collect()} == {(s, len({t for k, t, _ in both if k == s}), len({e for k, _, e in both if k == s}), sum(k == s for k, *_ in both)) for s in {x[0] for x in both}}
+    assert edges.agg(F.sum("n_merged")).first()[0] == 320
+    assert paths._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1 and edges._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 3
+
+
+def test_weights_are_stored_before_they_are_read_twice(spark):
+    """The cut and the edges, and the features and their values, read one stored table; chosen items alone are weighed; capped and signed edges are dealt out by rows."""
+    from grainloom.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    plan = lambda q: catalogue.QUERIES[q](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    for q in ("threshold_filtered_edges", "kg_signature_matrix"):
+        assert "l_partkey" not in plan(q) and "specificity" not in plan(q)
+    assert plan("display_graph").count("RepartitionByExpression") == 3
