@@ -232,3 +232,31 @@ def test_weights_are_stored_before_they_are_read_twice(spark):
     for q in ("threshold_filtered_edges", "kg_signature_matrix"):
         assert "l_partkey" not in plan(q) and "specificity" not in plan(q)
     assert plan("display_graph").count("RepartitionByExpression") == 3
+
+
+def test_hashed_text_without_shuffled_tokens(spark):
+    """Keys of one row are counted where they stand; rows that share a key, null among them, are counted together."""
+    from grainloom.operators import vectors
+
+    whole = [(1, "Apple pie apple, of KELVIN Kelvin İstanbul"), (2, None), (3, "a b"), (4, "red-green red_blue 123 apple")]
+    rows = [*whole, (5, "apple pear"), (5, "apple"), (None, "plum"), (None, "plum pear"), (6, None), (6, "")]
+    df = lambda x: spark.createDataFrame(x, "k int, t string")
+    got = {(x.k, x.dim): x.value for x in vectors.hashed_text(df(rows), "k", "t").collect()}
+    joined = [*whole, (5, "apple pear apple"), (None, "plum plum pear"), (6, "")]
+    plain = df(joined).select("k", F.explode(text.evidence_tokens(F.col("t"))).alias("w")).groupBy("k", "w").agg(F.count(F.lit(1)).alias("n"))
+    plain = plain.groupBy("k", text.hash_bucket(F.col("w")).alias("dim")).agg(F.sum(text.hash_sign(F.col("w")) * F.log1p("n")).alias("v")).collect()
+    assert got.keys() == {(x.k, x.dim) for x in plain} and all(abs(got[x.k, x.dim] - x.v) < 1e-12 for x in plain)
+    assert sorted((x.k or 0) for x in vectors.text_block(df(rows), "k", "t").collect()) == [0, 1, 2, 3, 4, 5, 6]
+    assert "Exchange" not in vectors.hashed_text(df(whole), "k", "t")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_in_tiles(spark, monkeypatch):
+    from grainloom.operators import vectors
+
+    r = random.Random(2)
+    e = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)], i % 3) for i in range(200)], "vec_id int, embedding array<double>, label int")
+    find = lambda: sorted(map(tuple, vectors.nearest(e.where("vec_id % 20 = 0"), e, 2, group="label", skip_same_group=True).collect()))
+    want = find()
+    monkeypatch.setattr(vectors, "TILE_ROWS", 7)
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 3)
+    assert find() == want and len(want) == 20
