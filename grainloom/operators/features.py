@@ -156,7 +156,9 @@ def design_matrix(mode: str, events: DataFrame, unit: str, items: DataFrame, col
     if mode == "kg":
         return exposure_mean(e, items, columns, key)
     if mode == "embedding":
-        return assembled(vector_mean(e, items, key), key)
+        # A label that all rows share is no key.
+        out = vector_means(e, items, ["participant"]).withColumn("window_id", window_label(F.lit(None), unit)) if unit == "participant" else vector_means(e, items, key)
+        return out.select(*key, F.filter("_m", lambda x: x.isNotNull()).alias("embedding")).where(F.size("embedding") > 0)
     raise ValueError(mode)
 
 
@@ -183,22 +185,30 @@ CELLS = 1 << 23
 
 
 def vector_mean(events: DataFrame, vectors: DataFrame, key: list[str], item: str = "item", grams: str = "grams", vector: str = "embedding") -> DataFrame:
-    """Weighted mean vector in long form: key, dim, value.
+    """Weighted mean vector in long form: key, dim, value."""
+    return vector_means(events, vectors, key, item, grams, vector).select(*key, F.posexplode("_m").alias("dim", "value")).where("value IS NOT NULL")
 
-    Up to CELLS cells of vectors the weights of a key, which are at most one an item, come together before they meet the vectors, so no vector is shuffled.
-    Beyond, both sides meet by item, and sums are made where they meet before keys come together. Each dimension is a sum of its own.
+
+def vector_means(events: DataFrame, vectors: DataFrame, key: list[str], item: str = "item", grams: str = "grams", vector: str = "embedding") -> DataFrame:
+    """Key and _m, its weighted mean vector (null in dimensions that none of its vectors has).
+
+    Up to CELLS cells of vectors events come together by key, once, and meet the vectors there, so no vector is shuffled and a task holds the sums of its keys alone.
+    Beyond, weights come together by key and item, both sides meet by item, and sums are made where they meet before keys come together. Each dimension is a sum of its own.
     """
     v = vectors.select(item, F.col(vector).alias("_v")).where(F.col(vector).isNotNull())
     least, width, cells = v.agg(F.min(F.size("_v")), F.max(F.size("_v")), F.sum(F.size("_v"))).first()
     few = (cells or 0) <= CELLS
-    g = events.groupBy(*key, item).agg(F.coalesce(F.sum(grams).cast("double"), F.lit(0.0)).alias("_g"))
-    each = g.repartition(*key).join(F.broadcast(v), item) if few else g.join(v, item)
+    none = F.lit(0.0)
+    if few:
+        each = events.select(*key, item, F.coalesce(F.col(grams).cast("double"), none).alias("_g")).repartition(*key).join(F.broadcast(v), item)
+    else:
+        each = events.groupBy(*key, item).agg(F.coalesce(F.sum(grams).cast("double"), none).alias("_g")).join(v, item)
     dims = range(max(width or 0, 1))
     weight = lambda i: F.sum("_g") if least == width and width else F.sum(F.when(F.size("_v") > i, F.col("_g")))
     total = lambda i: F.sum(F.coalesce(F.get("_v", F.lit(i)).cast("double"), F.lit(0.0)) * F.col("_g"))
     sums = each.groupBy(*key).agg(*(weight(i).alias(f"_w{i}") for i in dims), *(total(i).alias(f"_t{i}") for i in dims))
     mean = lambda i: F.when(F.col(f"_w{i}").isNotNull(), F.coalesce(F.try_divide(f"_t{i}", f"_w{i}"), F.lit(0.0)))
-    return sums.select(*key, F.posexplode(F.array(*map(mean, dims))).alias("dim", "value")).where("value IS NOT NULL")
+    return sums.select(*key, F.array(*map(mean, dims)).alias("_m"))
 
 
 def assembled(df: DataFrame, key: list[str], dim: str = "dim", value: str = "value", name: str = "embedding") -> DataFrame:

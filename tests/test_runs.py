@@ -187,3 +187,25 @@ def test_vector_means_by_sums(spark):
     assert sorted(tuple(x) for x in out.collect()) == [("a", 0, 4.0), ("a", 1, 0.5), ("b", 0, 1.0), ("b", 1, 1.0), ("b", 2, 7.0)]
     assert "InArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert features.vector_mean(e, v.limit(0), ["who"]).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["participant", "year"])
+def test_mean_vectors_meet_once(spark, unit):
+    """Events are shuffled once on the way to mean vectors, which are never rows of single dimensions."""
+    import datetime
+
+    from grainloom.operators import features
+
+    at = [datetime.datetime(2020, 1, 1), datetime.datetime(2021, 5, 1)]
+    r = random.Random(6)
+    events = [(r.choice([1, 2, None]), r.randrange(5), float(r.randrange(4)), r.choice([*at, None])) for _ in range(200)] + [(7, 99, 1.0, at[0]), (8, 4, 1.0, at[0])]
+    e = spark.createDataFrame(events, "participant int, item int, grams double, ts timestamp")
+    v = spark.createDataFrame([(i, [float(i), 1.0, i / 2][: 3 - i % 2]) for i in range(4)] + [(4, [])], "item int, embedding array<double>")
+    out = features.design_matrix("embedding", e, unit, v)
+    key = ["participant", "window_id"]
+    want = features.assembled(features.vector_mean(features.windowed(e, "ts", unit), v, key), key)
+    assert out.columns == want.columns and sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Repartition") == 1 and "collect_list" not in plan
+    done = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert done.count("Exchange hashpartitioning") == 1
