@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -62,6 +62,15 @@ def split(df: DataFrame, key: str, fold: int, test: float = 0.2, seed: int = 42,
     return both.where("_u >= _cut").drop("_u", "_c", "_cut"), both.where("_u < _cut").drop("_u", "_c", "_cut")
 
 
+def held_out(df: DataFrame, key: str, fold: int, test: float = 0.2, seed: int = 42, strata: str | None = None) -> Column:
+    """Whether a row is in the test of split(), as a condition; the classes' cuts are found first."""
+    u = share_of(key, fold, seed)
+    if strata is None:
+        return u < test
+    cuts = quantiles(df.withColumn("_u", u), "_u", [test], strata).where(F.col(strata).isNotNull()).select(strata, "value").collect()  # a row a class
+    return reduce(lambda found, c: F.when(F.col(strata) == c[0], u < c[1]).otherwise(found), cuts, F.lit(False))
+
+
 def regression_metrics(pred: DataFrame) -> DataFrame:
     """R2, RMSE and Pearson's r of (_y, prediction), one row."""
     y, p = F.col("_y"), F.col("prediction")
@@ -124,23 +133,34 @@ def run_from_files(spark, x_path: str, y_path: str, key: list[str], sets: dict[s
 
 
 def evaluated(df: DataFrame, key: str, columns: list[str], target: str, folds: int = 5, names: list[str] | None = None) -> DataFrame:
-    """Model, fold, metric, value for each model and repeated split (by class for classes)."""
+    """Model, fold, metric, value for each model and repeated split (by class for classes).
+
+    Forests of few columns come from sums that one pass gathers for all splits (see forests); other models are fitted split by split.
+    """
+    from . import forests
+
     kind = task_kind(df, target)
     data = written(df.select(key, *(F.col(c).cast("double").alias(c) for c in columns), F.col(target).cast("double").alias("_y")))  # read by every split
-    if kind != "regression":
+    strata = None if kind == "regression" else "_y"
+    bank = {name: model for name, model in models(kind).items() if not names or name in names}
+    out = None
+    if strata:
         sizes = data.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
         total, k = data.count(), sizes.count()
+    if "forest" in bank and forests.BINS ** len(columns) <= forests.CELLS:
+        del bank["forest"]
+        classes = {y: n for y, n in sizes.where("_y IS NOT NULL").collect()} if strata else None  # a row a class
+        found = forests.scores(data, key, columns, "_y", [held_out(data, key, fold, strata=strata) for fold in range(folds)], classes)
+        out = df.sparkSession.createDataFrame([("forest", *row) for row in found], "model string, fold int, metric string, value double")
+    if strata:
         data = data.join(F.broadcast(sizes), "_y").withColumn("_w", F.lit(float(total)) / (k * F.col("_n"))).drop("_n")  # a row a class
-    out = None
-    for fold in range(folds):
-        train, test = split(data, key, fold, strata=None if kind == "regression" else "_y")
+    for fold in range(folds if bank else 0):
+        train, test = split(data, key, fold, strata=strata)
         steps = [Imputer(strategy="mean", inputCols=columns, outputCols=columns), VectorAssembler(inputCols=columns, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]
         prepared = Pipeline(stages=steps).fit(train)  # once a fold, for all models
         train, test = prepared.transform(train).cache(), prepared.transform(test)
-        for name, model in models(kind).items():
-            if names and name not in names:
-                continue
-            pred = model.fit(train).transform(test)
+        for name, model in bank.items():
+            pred = written(model.fit(train).transform(test).select("_y", "prediction", *(["probability"] if strata else [])))  # read for each metric
             m = regression_metrics(pred) if kind == "regression" else classification_metrics(pred)
             row = m.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), *m.columns).unpivot(["model", "fold"], m.columns, "metric", "value")
             out = row if out is None else out.unionByName(row)
