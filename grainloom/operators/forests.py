@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 #: As the bank's forests have them; trees that grow in one group.
 TREES, DEPTH, BINS, GROUP = 300, 5, 32, 10
 
-#: Cells up to which a forest comes from sums: columns of BINS bins each.
-CELLS = BINS**2
+#: Cells (columns of BINS bins each) and classes up to which a forest comes from sums.
+CELLS, CLASSES = BINS**2, 10
 
 #: Rows whose draws a worker holds at once.
 ROWS = 4_096

@@ -147,7 +147,7 @@ def evaluated(df: DataFrame, key: str, columns: list[str], target: str, folds: i
     if strata:
         sizes = data.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
         total, k = data.count(), sizes.count()
-    if "forest" in bank and forests.BINS ** len(columns) <= forests.CELLS:
+    if "forest" in bank and forests.BINS ** len(columns) <= forests.CELLS and not (strata and k > forests.CLASSES):
         del bank["forest"]
         classes = {y: n for y, n in sizes.where("_y IS NOT NULL").collect()} if strata else None  # a row a class
         found = forests.scores(data, key, columns, "_y", [held_out(data, key, fold, strata=strata) for fold in range(folds)], classes)
