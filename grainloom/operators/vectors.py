@@ -17,6 +17,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ BLOCK_ROWS = 50_000
 TILE_ROWS = 2_048
 TILE_QUERIES = 512
 
+#: Pairs of a block of queries and base from which on base is dealt out, and half of which a task then gets, about.
+MANY_PAIRS = 200_000_000
+
 
 def numeric_block(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Medians for what is missing, log1p of what is above 0, sample z-scores, over the root of the number of columns."""
@@ -130,21 +134,32 @@ def blocks_of(df: DataFrame, key: str, blocks: dict[str, list[str]], text: str,
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, skip_same_group: bool = False) -> DataFrame:
-    """(query_id, base_id, base_group, cosine, rank): the k best of all base rows, or of each group; a row is not its own neighbour.
+    """(query_id, query_group, base_id, base_group, cosine, rank): the k best of all base rows, or of each group; a row is not its own neighbour.
 
+    skip_same_group: neighbours are of another group, so rows without one neither ask nor are found.
     Queries are broadcast in blocks of about BLOCK_ROWS; for each block base is scanned once, and each
     of its partitions returns its own best only. With several blocks each one's result is written.
+    From MANY_PAIRS a block on, base is dealt out by id first, whatever files it comes in.
     """
+    if skip_same_group:
+        queries, base = (df.where(F.col(group).isNotNull()) for df in (queries, base))
     usable = queries.where(F.col(vector).isNotNull())
-    blocks = max(1, -(-usable.count() // BLOCK_ROWS))
+    n = usable.count()
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    pairs = min(n, BLOCK_ROWS) * base.count()
+    if pairs > MANY_PAIRS:
+        tasks = max(2 * pairs // MANY_PAIRS, base.sparkSession.sparkContext.defaultParallelism)
+        base = written(base.select(id_col, vector, *([group] if group else [])).repartition(tasks, id_col))
     parts = []
     for i in range(blocks):
-        found = _nearest(usable.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i) if blocks > 1 else usable, base, k, id_col, vector, group, skip_same_group)
+        found, sent = _nearest(usable.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i) if blocks > 1 else usable, base, k, id_col, vector, group, skip_same_group)
         parts.append(written(found) if blocks > 1 else found)
+        if blocks > 1:
+            sent.destroy()  # what it was for is written
     return reduce(DataFrame.unionByName, parts)
 
 
-def _nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector: str, group: str | None, skip_same_group: bool) -> DataFrame:
+def _nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector: str, group: str | None, skip_same_group: bool) -> tuple[DataFrame, Broadcast]:
     sent = queries.sparkSession.sparkContext.broadcast(_prepared(queries, id_col, vector, group))
     each = bool(group) and not skip_same_group
     kind = base.schema[id_col].dataType.simpleString()
@@ -156,26 +171,35 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector: s
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, q, qg = sent.value
+        kinds = pd.Index(pd.unique(qg))
+        qk = kinds.get_indexer(qg)
         held: list[pd.DataFrame] = []
         for pdf in (whole.iloc[at : at + TILE_ROWS] for whole in parts for at in range(0, len(whole), TILE_ROWS)):
             pdf = pdf[pdf["v"].map(lambda x: x is not None and len(x) == q.shape[1])]
             if pdf.empty:
                 continue
             b = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+            size = np.linalg.norm(b, axis=1)
             bid, bg = pdf["id"].to_numpy(), pdf["g"].to_numpy()
+            order = np.argsort(bid, kind="stable")  # so that ties go to the smaller id
+            order = order[np.isfinite(size[order])]
+            if not len(order):
+                continue
+            b, bid, bg = b[order] / np.maximum(size[order, None], 1e-12), bid[order], bg[order]
+            bk = kinds.get_indexer(bg)
             for at in range(0, len(q), TILE_QUERIES):
-                s = np.round(q[at : at + TILE_QUERIES] @ b.T, 9)
+                s = q[at : at + TILE_QUERIES] @ b.T
+                np.round(s, 9, out=s)
                 s[bid[None, :] == qid[at : at + TILE_QUERIES, None]] = -np.inf
                 if skip_same_group:
-                    s[bg[None, :] == qg[at : at + TILE_QUERIES, None]] = -np.inf
+                    s[bk[None, :] == qk[at : at + TILE_QUERIES, None]] = -np.inf
                 for g in pd.unique(bg) if each else [None]:
                     cols = np.arange(len(bid)) if g is None else np.flatnonzero(bg == g)
-                    cols = cols[np.argsort(bid[cols], kind="stable")]  # so that ties go to the smaller id
-                    part = s[:, cols]
-                    top = np.argsort(-part, axis=1, kind="stable")[:, : min(k, len(cols))]
+                    part = s if g is None else s[:, cols]
+                    top = part.argmax(axis=1)[:, None] if k == 1 else np.argsort(-part, axis=1, kind="stable")[:, : min(k, len(cols))]
                     rows = np.repeat(np.arange(len(part)), top.shape[1])
-                    out = pd.DataFrame({"query_id": qid[at : at + TILE_QUERIES][rows], "base_id": bid[cols[top.ravel()]], "base_group": bg[cols[top.ravel()]], "cosine": part[rows, top.ravel()]})
+                    asked = slice(at, at + TILE_QUERIES)
+                    out = pd.DataFrame({"query_id": qid[asked][rows], "query_group": qg[asked][rows], "base_id": bid[cols[top.ravel()]], "base_group": bg[cols[top.ravel()]], "cosine": part[rows, top.ravel()]})
                     held.append(out[np.isfinite(out["cosine"])])
             if sum(map(len, held)) > 2 * k * max(1, len(q)):
                 held = [best(pd.concat(held))]
@@ -183,8 +207,8 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str, vector: s
             yield best(pd.concat(held))
 
     g = F.col(group).cast("string") if group else F.lit("")
-    found = base.select(F.col(id_col).alias("id"), g.alias("g"), F.col(vector).alias("v")).mapInPandas(run, f"query_id {kind}, base_id {kind}, base_group string, cosine double")
-    return top_k(found, ["query_id", "base_group"] if each else ["query_id"], [F.desc("cosine"), F.asc("base_id")], k)
+    found = base.select(F.col(id_col).alias("id"), g.alias("g"), F.col(vector).alias("v")).mapInPandas(run, f"query_id {kind}, query_group string, base_id {kind}, base_group string, cosine double")
+    return top_k(found, ["query_id", "base_group"] if each else ["query_id"], [F.desc("cosine"), F.asc("base_id")], k), sent
 
 
 def encoded_once(df: DataFrame, path: str, key: str, text: str, encode: Callable[[Column], Column]) -> DataFrame:
@@ -200,9 +224,10 @@ def encoded_once(df: DataFrame, path: str, key: str, text: str, encode: Callable
 
 
 def _prepared(df: DataFrame, id_col: str, vector: str, group: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pdf = df.select(id_col, vector, *([group] if group else [])).toPandas()  # about BLOCK_ROWS
-    q = np.stack(pdf[vector].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
-    return pdf[id_col].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12), (pdf[group].astype(str).to_numpy() if group else np.array([""] * len(pdf)))
+    g = F.col(group).cast("string") if group else F.lit("")
+    pdf = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), g.alias("g")).toPandas()  # about BLOCK_ROWS
+    q = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
+    return pdf["id"].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12), pdf["g"].to_numpy()
 
 
 def balanced(queries: DataFrame, base: DataFrame, k: int, per_group: int, group: str) -> DataFrame:

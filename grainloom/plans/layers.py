@@ -386,14 +386,14 @@ def participant_artifact(spark, d):
     return features.participant_vectors(rows, "participant", ["price", "size"]).join(splits, "participant", "left").select("participant", F.element_at("embedding", 2).alias("second"), F.size("embedding").alias("n_features"), "split")
 
 
-@query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), b AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, q.label AS query_group, b.label AS donor, round(list_cosine_similarity(q.v, b.v), 9) AS cosine, b.vec_id AS base_id FROM q, b WHERE q.vec_id <> b.vec_id AND q.label <> b.label),
+@query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, q.label AS query_group, b.label AS donor, round(list_cosine_similarity(q.v, b.v), 9) AS cosine, b.vec_id AS base_id FROM q, b WHERE q.vec_id <> b.vec_id AND q.label <> b.label),
     t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, base_id) AS rn FROM s), v AS (SELECT query_group, donor, sum(query_id % 7 + 1) AS votes, count(*) AS n, avg(cosine) AS similarity FROM t WHERE rn = 1 GROUP BY ALL)
     SELECT query_group::VARCHAR AS query_group, donor::VARCHAR AS donor, votes::BIGINT AS votes, n FROM (SELECT *, row_number() OVER (PARTITION BY query_group ORDER BY votes DESC, n DESC, similarity DESC, donor::VARCHAR) AS rn FROM v) WHERE rn = 1""")
 def donor_vote(spark, d):
-    """Each group's donor with most weight, then number, then similarity."""
+    """Each group's donor with most weight, then number, then similarity; every vector votes."""
     e = read(spark, d, "embeddings")
-    near = vectors.nearest(e.where("vec_id % 20 = 0"), e, 1, group="label", skip_same_group=True)
-    near = near.join(e.select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("query_group")), "query_id").select("query_group", F.col("base_group").alias("donor"), "cosine", (F.col("query_id") % 7 + 1).alias("weight"))
+    near = vectors.nearest(e, e, 1, group="label", skip_same_group=True)
+    near = near.select("query_group", F.col("base_group").alias("donor"), "cosine", (F.col("query_id") % 7 + 1).alias("weight"))
     return vectors.donor_votes(near, e.select(F.col("label").cast("string").alias("donor")).distinct(), "weight").select("query_group", "donor", "votes", "n")
 
 

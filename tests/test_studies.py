@@ -260,3 +260,32 @@ def test_nearest_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TILE_ROWS", 7)
     monkeypatch.setattr(vectors, "TILE_QUERIES", 3)
     assert find() == want and len(want) == 20
+
+
+def test_every_vector_votes(spark, monkeypatch, tmp_path):
+    """No id is divisible by 20; an id repeats, and a row has no label."""
+    from collections import defaultdict
+
+    import numpy as np
+
+    from grainloom.operators import vectors
+    from grainloom.plans import layers
+
+    g = np.random.default_rng(11)
+    rows = [(i, g.normal(size=8), int(i % 5)) for i in range(1, 300) if i % 20]
+    rows += [(7, rows[6][1], rows[6][2]), (1001, rows[2][1], None)]
+    spark.createDataFrame([(i, x.tolist(), c) for i, x, c in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = np.array([v for _, v, _ in rows]).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    votes = defaultdict(list)
+    for key, (i, c) in {key: (i, c) for i, (key, _, c) in enumerate(rows)}.items():
+        if c is not None:
+            cos, _, donor = min((-round(float(x[i] @ x[j]), 9), k2, c2) for j, (k2, _, c2) in enumerate(rows) if c2 is not None and c2 != c and k2 != key)
+            votes[str(c), str(donor)].append((key % 7 + 1, -cos))
+    each = [(a, b, sum(w for w, _ in v), len(v), sum(s for _, s in v) / len(v)) for (a, b), v in votes.items()]
+    want = sorted(max((e for e in each if e[0] == a), key=lambda e: e[2:])[:4] for a in {e[0] for e in each})
+    find = lambda: sorted(map(tuple, layers.donor_vote(spark, str(tmp_path)).collect()))
+    assert find() == want and len(want) == 5
+    for name, size in (("BLOCK_ROWS", 150), ("MANY_PAIRS", 20_000), ("TILE_ROWS", 7), ("TILE_QUERIES", 3)):
+        monkeypatch.setattr(vectors, name, size)
+    assert find() == want
